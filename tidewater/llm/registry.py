@@ -9,6 +9,8 @@ _WHERE = {
     1: ("packing", "op1_packing"),
     4: ("topk", "op4_exact_topk"),
     7: ("chat", "op7_chat_format"),
+    9: ("pii", "op9_pii"),
+    10: ("langid", "op10_language_id"),
 }
 
 
