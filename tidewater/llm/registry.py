@@ -7,8 +7,10 @@ import importlib
 #: Module and query of each operator, by number.
 _WHERE = {
     1: ("packing", "op1_packing"),
+    3: ("sharding", "op3_sharding"),
     4: ("topk", "op4_exact_topk"),
     7: ("chat", "op7_chat_format"),
+    8: ("decontaminate", "op8_decontamination"),
     9: ("pii", "op9_pii"),
     10: ("langid", "op10_language_id"),
 }

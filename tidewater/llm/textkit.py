@@ -21,6 +21,9 @@ _MASK = (1 << 64) - 1
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: The same with ASCII punctuation: everything up to 0x7F but letters and digits.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -87,15 +90,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, marks: bool = False) -> Words:
     """Split every text of the column at ASCII white space and hash each word.
 
-    ``lower`` folds A-Z only.  A null or blank text has no words.
+    ``lower`` folds A-Z only; with ``marks`` all ASCII controls and punctuation part
+    words too.  A null or blank text has no words.
     """
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    word = ~_IS_SPACE[data]
+    word = ~(_IS_MARK if marks else _IS_SPACE)[data]
     before = np.empty_like(word)
     before[:1] = False
     before[1:] = word[:-1]
