@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import slices, table
 from .textkit import windows_of, words_of
 
-SEED_WORDS = 4
+SEED_WORDS = 3
 #: A seed is rare if at most this share of the documents have it; an item's rarest seeds count anyway.
 RARE_SHARE, RAREST = 1e-3, 24
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -126,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     below ``least`` are left out.  ``start`` and ``end`` are the passage's words (parted at
     ASCII white space and punctuation, A-Z folded); ``seeds`` counts the distinct seeds.
 
-    Null or empty texts match nothing, and an item of fewer than four words has no seed
+    Null or empty texts match nothing, and an item of fewer than three words has no seed
     and takes no part.  Ids may be null; repeated documents or items each give their
     rows; an empty table on either side gives no rows.  Other columns are ignored.
     """
