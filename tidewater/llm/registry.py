@@ -9,6 +9,7 @@ _WHERE = {
     1: ("packing", "op1_packing"),
     3: ("sharding", "op3_sharding"),
     4: ("topk", "op4_exact_topk"),
+    5: ("substrings", "op5_substring_dedup"),
     6: ("ngramjoin", "op6_ngram_jaccard"),
     7: ("chat", "op7_chat_format"),
     8: ("decontaminate", "op8_decontamination"),
