@@ -9,6 +9,7 @@ copies score as far as they follow the item.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,42 @@ def _seed_counts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return seeds[order], np.array([r.n for r in rows], np.int64)[order]
 
 
+def _matches(batch: pa.RecordBatch, items: Items, least: float) -> dict[tuple[int, int], tuple]:
+    """The best alignment (score, start, end, seeds) of each (row, item) of a batch that reaches ``least``."""
+    words = words_of(batch.column("text"), lower=True, marks=True)
+    h, at = windows_of(words, SEED_WORDS)
+    where, seed = items.met(h)
+    pos, item = at[where], items.item[seed]
+    doc = words.doc_of()[pos] if len(pos) else pos
+    diagonal = pos - (items.at[seed] - items.first[item])  # where the item would begin
+    order = np.lexsort((pos, item, doc))
+    pos, item, doc, diagonal = pos[order], item[order], doc[order], diagonal[order]
+    size = np.diff(items.first)
+    new = np.ones(len(pos), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[item[1:]])
+    starts = np.flatnonzero(new)
+    best: dict[tuple[int, int], tuple] = {}
+    for a, b in zip(starts, [*starts[1:], len(pos)]):
+        d, i = int(doc[a]), int(item[a])
+        n, slack = int(size[i]), int(size[i]) // 4 + 2
+        lo = max(int(words.first[d]), int(diagonal[a:b].min()) - slack)
+        hi = min(int(words.first[d + 1]), int(diagonal[a:b].max()) + n + slack)
+        score, x, y = smith_waterman(items.words[items.first[i] : items.first[i + 1]], words.hashes[lo:hi])
+        share = score / (MATCH * n)
+        if share >= least and share > best.get((d, i), (0,))[0]:
+            off = lo - int(words.first[d])
+            best[d, i] = (share, off + x, off + y, len(np.unique(pos[a:b])))
+    return best
+
+
+def _shared_parts(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcast each part of the benchmark with the seeds that are rare over all documents."""
+    context, documents = rows.sparkSession.sparkContext, rows.count()
+    for items in _parts(benchmark.select(item_id, item_text)):
+        items.keep(*_seed_counts(rows, context.broadcast(items)), documents)
+        yield context.broadcast(items)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document and test item that it repeats: ``doc_id, item_id, score, start, end, seeds``.
 
@@ -130,55 +167,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     and takes no part.  Ids may be null; repeated documents or items each give their
     rows; an empty table on either side gives no rows.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString())
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start long, end long, seeds long"
-    documents = rows.count()
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items: Items = shared.value
             for batch in slices(batches, "text"):
-                words = words_of(batch.column("text"), lower=True, marks=True)
-                h, at = windows_of(words, SEED_WORDS)
-                where, seed = items.met(h)
-                pos, item = at[where], items.item[seed]
-                doc = words.doc_of()[pos] if len(pos) else pos
-                diagonal = pos - (items.at[seed] - items.first[item])  # where the item would begin
-                order = np.lexsort((pos, item, doc))
-                pos, item, doc, diagonal = pos[order], item[order], doc[order], diagonal[order]
-                size = np.diff(items.first)
-                new = np.ones(len(pos), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[item[1:]])
-                starts = np.flatnonzero(new)
-                best: dict[tuple[int, int], tuple] = {}
-                for a, b in zip(starts, [*starts[1:], len(pos)]):
-                    d, i = int(doc[a]), int(item[a])
-                    n, slack = int(size[i]), int(size[i]) // 4 + 2
-                    lo = max(int(words.first[d]), int(diagonal[a:b].min()) - slack)
-                    hi = min(int(words.first[d + 1]), int(diagonal[a:b].max()) + n + slack)
-                    score, x, y = smith_waterman(items.words[items.first[i] : items.first[i + 1]], words.hashes[lo:hi])
-                    share, met = score / (MATCH * n), len(np.unique(pos[a:b]))
-                    if share >= least and share > best.get((d, i), (0,))[0]:
-                        off = lo - int(words.first[d])
-                        best[d, i] = (share, off + x, off + y, met)
+                best = _matches(batch, shared.value, least)
                 found = sorted(best)
-                columns = [batch.column("doc_id").take(pa.array([d for d, _ in found], pa.int64())), pa.array([items.ids[i] for _, i in found])]
-                values = [best[k] for k in found]
-                columns += [pa.array([v[j] for v in values], pa.float64() if j == 0 else pa.int64()) for j in range(4)]
                 if found:
+                    columns = [batch.column("doc_id").take(pa.array([d for d, _ in found], pa.int64())), pa.array([shared.value.ids[i] for _, i in found])]
+                    columns += [pa.array([best[k][j] for k in found], pa.float64() if j == 0 else pa.int64()) for j in range(4)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "start", "end", "seeds"])
 
         return rows.mapInArrow(run, schema)
 
-    result = None
-    for items in _parts(benchmark.select(item_id, item_text)):
-        counted = spark.sparkContext.broadcast(items)
-        items.keep(*_seed_counts(rows, counted), documents)
-        found = search(spark.sparkContext.broadcast(items))
-        result = found if result is None else result.union(found)
-    return spark.createDataFrame([], schema) if result is None else result
+    found = [search(shared) for shared in _shared_parts(rows, benchmark, item_id, item_text)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """The documents, with all their columns, that repeat no test item; rules as for :func:`contaminated`.
+
+    Rows are judged where they are read: none moves.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias("text"))
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                bad = {d for d, _ in _matches(pa.RecordBatch.from_arrays([batch.column(text)], ["text"]), shared.value, least)}
+                yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))
+
+        return run
+
+    for shared in _shared_parts(rows, benchmark, item_id, item_text):
+        docs = docs.mapInArrow(keep(shared), docs.schema)
+    return docs
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,8 @@ def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text:
     nothing was learned, is ``und`` with score 0.  Ids may be null or repeat; an empty
     table gives no rows.
     """
+    if carry and {"lang_pred", "score"} & set(carry):
+        raise ValueError("the columns lang_pred and score cannot be carried")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) if carry is None else docs.select(*carry)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields if carry is not None or f.name == 'doc_id')}, lang_pred string, score double"
     body, names, known = ("text" if carry is None else text), profiles.languages, profiles.vectors

@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator, by number.
 _WHERE = {
     1: ("packing", "op1_packing"),
+    2: ("lines", "op2_line_dedup"),
     3: ("sharding", "op3_sharding"),
     4: ("topk", "op4_exact_topk"),
     5: ("substrings", "op5_substring_dedup"),
