@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, slices, stored, table
@@ -128,11 +128,13 @@ def _counters(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
 def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broadcast | None) -> DataFrame:
     """The prefix shingles of the wanted documents: without ``hot`` the bare tokens, with it those that may be shared.
 
-    Rows then are (token, doc, n, level, matches): level is the l from which the token
-    counts, matches the document's l.
+    Rows then are (token, doc, n, level, matches, most): level is the l from which the
+    token counts, matches the document's l.  ``most`` bounds what the document shares with
+    any other that has this token in its prefix: whatever that one has of the shingles
+    before the token is in its prefix too, so those that no second prefix has are its own.
     """
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
-    schema = "token long" if hot is None else "token long, doc long, n int, level int, matches int"
+    schema = "token long" if hot is None else "token long, doc long, n int, level int, matches int, most int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counters.value
@@ -149,8 +151,9 @@ def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broa
                     token, level, matches = prefix(s, counts, background)
                     if hot is not None:
                         shared = hot.value.has(token)
+                        most = (len(s) - np.cumsum(~shared))[shared]
                         token, level = token[shared], level[shared]
-                        out.append((token, np.full(len(token), doc), np.full(len(token), len(s), np.int32), level.astype(np.int32), np.full(len(token), matches, np.int32)))
+                        out.append((token, np.full(len(token), doc), np.full(len(token), len(s), np.int32), level.astype(np.int32), np.full(len(token), matches, np.int32), most.astype(np.int32)))
                     else:
                         out.append((token,))
             if out:
@@ -193,6 +196,12 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("x", "y", "zx", "zy").mapInArrow(compare, "x long, y long")
 
 
+def _may_link(n: str, most: str, other_n: str, other_most: str) -> Column:
+    """Sizes of sets, and bounds of what they share, that allow the similarity."""
+    size = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT
+    return size & (F.least(most, other_most) * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
@@ -217,12 +226,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = _prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     hot = bitmap(shared, "token")
     tokens = _prefixes(rows, counters, wanted, hot).join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    tokens = stored(tokens.select("token", "doc", "n", "level", "matches").distinct())
+    tokens = stored(tokens.groupBy("token", "doc", "n", "level", "matches").agg(F.max("most").alias("most")))
 
     # first round: each class with the one that leads most of its prefix
-    leader = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("l"), F.max("doc").alias("last")).where("l.doc < last")
-    led = tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn")), "token")
-    led = led.where((F.col("doc") > F.col("x")) & (F.least("n", "xn") * 100 >= F.greatest("n", "xn") * PERCENT))
+    leader = tokens.groupBy("token").agg(F.min(F.struct("doc", "n", "most")).alias("l"), F.max("doc").alias("last")).where("l.doc < last")
+    led = tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.most").alias("xm")), "token")
+    led = led.where((F.col("doc") > F.col("x")) & _may_link("n", "most", "xn", "xm"))
     star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
     links = stored(_verified(rows, star.select("x", F.col("doc").alias("y"))))
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -232,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = stored(placed)
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     mixed = placed.join(sizes.select("token", "main"), "token")
-    cols = ["doc", "n", "level", "matches", "comp"]
+    cols = ["doc", "n", "level", "matches", "most", "comp"]
     left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
     right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
     met = left.join(
@@ -240,7 +249,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         (left["token"] == right["token"])
         & (F.col("l_comp") != F.col("r_comp"))
         & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc")))
-        & (F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * PERCENT),
+        & _may_link("l_n", "l_most", "r_n", "r_most"),
     )
     larger = F.struct("l_n", "l_doc") > F.struct("r_n", "r_doc")
     matches = F.when(larger, F.col("l_matches")).otherwise(F.col("r_matches"))
