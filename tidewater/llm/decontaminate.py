@@ -20,8 +20,8 @@ from .common import slices, table
 from .textkit import windows_of, words_of
 
 SEED_WORDS = 3
-#: A seed is rare if at most this share of the documents have it; an item's rarest seeds count anyway.
-RARE_SHARE, RAREST = 1e-3, 24
+#: A seed is rare if at most so many documents, or this share of all, have it; an item's rarest seeds count anyway.
+RARE, RARE_SHARE, RAREST = 100, 1e-3, 24
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score, as a share of a verbatim copy's, from which a document counts as contaminated.
 LEAST = 0.5
@@ -65,15 +65,17 @@ class Items:
         self.item = np.searchsorted(self.first, self.at, "right") - 1
 
     def keep(self, distinct: np.ndarray, counts: np.ndarray, documents: int) -> None:
-        """Drop the seeds that are neither rare nor among their item's rarest."""
+        """Keep the seeds that occur and are rare, or among their item's rarest that occur."""
         df = np.zeros(len(self.seeds), np.int64)
         if len(distinct):
             at = np.minimum(np.searchsorted(distinct, self.seeds), len(distinct) - 1)
             df = np.where(distinct[at] == self.seeds, counts[at], 0)
+        met = df > 0
+        self.seeds, self.at, self.item, df = self.seeds[met], self.at[met], self.item[met], df[met]
         order = np.lexsort((self.seeds, df, self.item))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        good = (df <= RARE_SHARE * documents) | (rank < RAREST)
+        good = (df <= max(RARE, RARE_SHARE * documents)) | (rank < RAREST)
         self.seeds, self.at, self.item = self.seeds[good], self.at[good], self.item[good]
 
     def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -250,6 +250,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents:
     parts, base = [[np.zeros((0, FEATURES))], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]], 0
     for f, label, chain, skip in rows:
         label = np.frombuffer(label, "<i4").astype(np.int64)
+        if not len(label):
+            continue
         parts[0].append(np.unpackbits(np.frombuffer(f, np.uint8).reshape(len(label), -1), axis=1)[:, :FEATURES].astype(float))
         parts[1].append(label)
         for k, e in ((2, chain), (3, skip)):
