@@ -57,19 +57,18 @@ def _least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """A set's longest prefix, the l from which each of its shingles belongs to the prefix, and the l picked."""
+def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[np.ndarray, int]:
+    """A set's longest prefix, in order, and the l picked."""
     n, overlap = len(hashes), _least_overlap(len(hashes))
     seen = counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
     most = min(MATCHES, overlap)
     first = n - overlap + 1
     order = np.lexsort((hashes, seen))[: first + most - 1]
-    level = np.maximum(np.arange(len(order)) - first + 2, 1)
     others = np.maximum(seen[order] - background, 1.0) - 1
     met = np.cumsum(others)[first - 1 :]
     ls = np.arange(1, most + 1)
     picked = int(np.argmin(met + first + ls + COMPARISON * met / ls)) + 1
-    return hashes[order], level, picked
+    return hashes[order], picked
 
 
 def _profile(rows: DataFrame) -> DataFrame:
@@ -128,13 +127,11 @@ def _counters(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
 def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broadcast | None) -> DataFrame:
     """The prefix shingles of the wanted documents: without ``hot`` the bare tokens, with it those that may be shared.
 
-    Rows then are (token, doc, n, level, matches, most): level is the l from which the
-    token counts, matches the document's l.  ``most`` bounds what the document shares with
-    any other that has this token in its prefix: whatever that one has of the shingles
-    before the token is in its prefix too, so those that no second prefix has are its own.
+    Rows then are (token, doc, n, pos, matches): the token's place in the document's order,
+    and the document's l.
     """
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
-    schema = "token long" if hot is None else "token long, doc long, n int, level int, matches int, most int"
+    schema = "token long" if hot is None else "token long, doc long, n int, pos int, matches int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counters.value
@@ -148,12 +145,11 @@ def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broa
             out: list[tuple] = []
             for doc, s in zip(ids, shingle_sets(batch.column("text"))):
                 if len(s):
-                    token, level, matches = prefix(s, counts, background)
+                    token, matches = prefix(s, counts, background)
                     if hot is not None:
-                        shared = hot.value.has(token)
-                        most = (len(s) - np.cumsum(~shared))[shared]
-                        token, level = token[shared], level[shared]
-                        out.append((token, np.full(len(token), doc), np.full(len(token), len(s), np.int32), level.astype(np.int32), np.full(len(token), matches, np.int32), most.astype(np.int32)))
+                        pos = np.flatnonzero(hot.value.has(token))
+                        out.append((token[pos], np.full(len(pos), doc), *(np.full(len(pos), x, np.int32) for x in (len(s), 0, matches))))
+                        out[-1][3][:] = pos
                     else:
                         out.append((token,))
             if out:
@@ -196,10 +192,15 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("x", "y", "zx", "zy").mapInArrow(compare, "x long, y long")
 
 
-def _may_link(n: str, most: str, other_n: str, other_most: str) -> Column:
-    """Sizes of sets, and bounds of what they share, that allow the similarity."""
+def _counts(n: str, pos: str, other_n: str, other_pos: str, matches: Column) -> Column:
+    """Whether a shared token counts: sizes allow the similarity, and both places the l-th match.
+
+    A pair that shares ``need`` shingles has its l-th common one among the first
+    n - need + l of each side.
+    """
+    need = F.ceil((F.col(n) + F.col(other_n)) * PERCENT / (100 + PERCENT))
     size = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT
-    return size & (F.least(most, other_most) * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT)
+    return size & (F.col(pos) < F.col(n) - need + matches) & (F.col(other_pos) < F.col(other_n) - need + matches)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,35 +226,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = bitmap(reps.select(F.xxhash64("rep").alias("key")), "key")
     shared = _prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     hot = bitmap(shared, "token")
-    tokens = _prefixes(rows, counters, wanted, hot).join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    tokens = stored(tokens.groupBy("token", "doc", "n", "level", "matches").agg(F.max("most").alias("most")))
+    tokens = stored(_prefixes(rows, counters, wanted, hot))
 
     # first round: each class with the one that leads most of its prefix
-    leader = tokens.groupBy("token").agg(F.min(F.struct("doc", "n", "most")).alias("l"), F.max("doc").alias("last")).where("l.doc < last")
-    led = tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.most").alias("xm")), "token")
-    led = led.where((F.col("doc") > F.col("x")) & _may_link("n", "most", "xn", "xm"))
+    leader = tokens.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("l"), F.max("doc").alias("last")).where("l.doc < last")
+    tokens = stored(tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.pos").alias("xpos")), "token"))
+    led = tokens.where((F.col("doc") > F.col("x")) & _counts("n", "pos", "xn", "xpos", F.lit(MATCHES)))
     star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
     links = stored(_verified(rows, star.select("x", F.col("doc").alias("y"))))
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # second round: pairs of different components, of which one is not the token's largest
-    placed = tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    placed = tokens.drop("x", "xn", "xpos").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     placed = stored(placed)
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     mixed = placed.join(sizes.select("token", "main"), "token")
-    cols = ["doc", "n", "level", "matches", "most", "comp"]
+    cols = ["doc", "n", "pos", "matches", "comp"]
     left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
     right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
+    matches = F.when(F.struct("l_n", "l_doc") > F.struct("r_n", "r_doc"), F.col("l_matches")).otherwise(F.col("r_matches"))
     met = left.join(
         right,
         (left["token"] == right["token"])
         & (F.col("l_comp") != F.col("r_comp"))
         & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc")))
-        & _may_link("l_n", "l_most", "r_n", "r_most"),
+        & _counts("l_n", "l_pos", "r_n", "r_pos", matches),
     )
-    larger = F.struct("l_n", "l_doc") > F.struct("r_n", "r_doc")
-    matches = F.when(larger, F.col("l_matches")).otherwise(F.col("r_matches"))
-    met = met.where(F.greatest("l_level", "r_level") <= matches)
     pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.max(matches).alias("matches")).where("c >= matches")
     more = stored(_verified(rows, stored(pairs.select("x", "y"))))
     joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
