@@ -19,7 +19,7 @@ from .common import durable, stored, table
 #: Shorter lines (list marks, headings, "Chapter 2") are never removed, nor do they remove others.
 SHORTEST = 20
 #: Blocks of the first level and of each further one.
-COARSE, FINE = 4, 8
+COARSE, FINE = 2, 8
 #: Blocks of at most so many characters are taken character by character.
 SINGLE = 64
 #: The filter between a level's two scans has 2**24 bits: 262,144 rows at most are broadcast, whatever the corpus.
@@ -28,8 +28,7 @@ FILTER_BITS = 24
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= SHORTEST)
-    return lines.select("doc_id", "line_no", "line", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return lines.withColumn("n", F.length("line")).where(F.col("n") >= SHORTEST)
 
 
 def _variants(key: Column, inner: Column, extra: Column, length: Column, blocks: int) -> list[Column]:
@@ -48,12 +47,17 @@ def _variants(key: Column, inner: Column, extra: Column, length: Column, blocks:
     ]
 
 
-def _first_level(lines: DataFrame) -> DataFrame:
-    """Every line twice: as a line of its length, and as one that is a character longer than its partner."""
-    both = lines.withColumn("extra", F.explode(F.array(F.lit(0), F.lit(1))))
-    length = F.col("n") - F.col("extra")
-    variants = F.explode(F.array(*_variants(length.cast("long"), F.col("line"), F.col("extra"), length, COARSE)))
-    return both.withColumn("v", variants).select("doc_id", "line_no", "line", "h", "h2", "extra", F.col("v.key").alias("key"), F.col("v.a").alias("a"), F.col("v.size").alias("size"))
+def _profile(lines: DataFrame) -> DataFrame:
+    """A row per line without its text: two hashes of it, and the keys of its first-level variants.
+
+    A line has its variants twice: as a line of its length, and as one that is a
+    character longer than its partner.
+    """
+    keys = []
+    for extra in (0, 1):
+        length = F.col("n") - extra
+        keys += [v["key"] for v in _variants(length.cast("long"), F.col("line"), F.lit(extra), length, COARSE)]
+    return lines.select("doc_id", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.array(*keys).alias("keys"))
 
 
 def _shared(variants: DataFrame) -> DataFrame:
@@ -73,15 +77,23 @@ def _thinned(rows: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``h, h2, kept``: the lines with an earlier one within an edit, and the earliest such (doc_id, line_no) met."""
-    variants = _first_level(lines)
+    variants = profile.select("doc_id", "line_no", "n", "h", "h2", F.posexplode("keys").alias("i", "key"))
     shared = stored(_shared(variants))
     rows = _thinned(variants, shared).join(shared, "key", "left_semi")
-    inner = F.substring("line", F.col("a") + F.lit(1), F.col("size"))
-    # equal lines fold into their first occurrence
-    rows = rows.groupBy("key", "extra", "h", "h2", "line", inner.alias("inner")).agg(F.min(F.struct("doc_id", "line_no")).alias("pos"))
-    rows = durable(rows)
+    # equal lines fold into their first occurrence; only of these is the text fetched
+    rows = durable(rows.groupBy("key", "i", "n", "h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos")))
+    wanted = rows.select(F.xxhash64("pos.doc_id").alias("key")).distinct()
+    some = _thinned(docs.withColumn("key", F.xxhash64(F.col(doc_id))), wanted)
+    text_of = _lines(some, doc_id, text).select("doc_id", "line_no", "line")
+    rows = rows.join(text_of, F.col("pos.doc_id").eqNullSafe(text_of["doc_id"]) & (F.col("pos.line_no") == text_of["line_no"])).where(F.xxhash64("line") == F.col("h"))
+    extra, j = F.floor(F.col("i") / COARSE).cast("int"), F.col("i") % COARSE
+    cut = lambda j: F.floor((F.col("n") - F.col("extra")) * j / COARSE).cast("int")
+    rows = rows.withColumns({"extra": extra, "j": j}).select(
+        "key", "extra", "h", "h2", "line", F.substring("line", cut(F.col("j")) + 1, cut(F.col("j") + 1) - cut(F.col("j")) + F.col("extra")).alias("inner"), "pos"
+    )
+    rows = durable(rows.distinct())
     while (rows.agg(F.max(F.length("inner"))).first()[0] or 0) > SINGLE:
         length = F.length("inner") - F.col("extra")
         whole = F.array(F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(0).alias("a"), F.length("inner").alias("size")))
@@ -123,9 +135,9 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     line number are told apart by nothing, so equal lines there are one.  An empty table
     gives no rows.
     """
-    lines = _lines(docs, doc_id, text)
+    lines = stored(_profile(_lines(docs, doc_id, text)))
     firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"))
-    near = near_lines(lines)
+    near = near_lines(lines, docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text")
     decided = firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL")
     rows = lines.select("doc_id", "line_no", "h", "h2").join(decided, ["h", "h2"])
     again = F.struct("doc_id", "line_no") > F.col("first")
