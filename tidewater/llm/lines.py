@@ -65,16 +65,22 @@ def _shared(variants: DataFrame) -> DataFrame:
     return variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
 
 
+def _flagged(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Adds ``_td_may``: whether a row may have one of the keys.  A bitmap of fixed size is broadcast; exact joins follow."""
+    bits = (1 << FILTER_BITS) - 1
+    low = lambda at: at.bitwiseAND(F.lit(63)).cast("int")
+    at = F.col("key").bitwiseAND(F.lit(bits))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("_td_word"), F.call_function("shiftleft", F.lit(1).cast("long"), low(at)).alias("_td_bit"))
+    words = words.groupBy("_td_word").agg(F.bit_or("_td_bit").alias("_td_bits"))
+    at = F.col(key).bitwiseAND(F.lit(bits))
+    bit = F.call_function("shiftrightunsigned", F.col("_td_bits"), low(at)).bitwiseAND(F.lit(1)) == 1
+    joined = rows.withColumn("_td_word", F.shiftright(at, 6).cast("int")).join(F.broadcast(words), "_td_word", "left")
+    return joined.withColumn("_td_may", F.coalesce(bit, F.lit(False))).drop("_td_word", "_td_bits")
+
+
 def _thinned(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows that may have one of the keys: a bitmap of fixed size is broadcast, exact joins follow."""
-    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return (
-        rows.withColumn("word", F.shiftright(at, 6).cast("int"))
-        .join(F.broadcast(words), "word")
-        .where(F.call_function("shiftrightunsigned", F.col("bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        .drop("word", "bits")
-    )
+    """The rows that may have one of the keys."""
+    return _flagged(rows, keys).where("_td_may").drop("_td_may")
 
 
 def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -155,13 +161,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     if "removed_lines" in docs.columns:
         raise ValueError("the documents already have a column removed_lines")
-    gone = duplicate_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone"))
-    both = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
+    gone = stored(duplicate_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
+    # only documents that may lose a line move
+    keyed = _flagged(docs.withColumn("_td_key", F.xxhash64(F.col(f"`{doc_id}`"))), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
+    both = keyed.where("_td_may").join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_td_gone"))
     cut = F.when(F.col("_td_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_td_lines"), i)), "\n"))
     columns = [cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return both.withColumn("_td_lines", lines).select(*columns, F.coalesce(F.size("_td_gone"), F.lit(0)).cast("long").alias("removed_lines"))
+    some = both.withColumn("_td_lines", lines).select(*columns, F.coalesce(F.size("_td_gone"), F.lit(0)).cast("long").alias("removed_lines"))
+    return some.union(keyed.where("NOT _td_may").select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("removed_lines")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
