@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code handles at once; its arrays take some 60 times that.
 SLICE_BYTES = 1 << 19
+#: Rows of text that Spark hands to Python at once; Spark's own limit of 10,000 rows is meant for short ones.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Bound the session's Arrow batches at ``BATCH_ROWS`` rows, unless they are smaller already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice have about ``most`` bytes (one row at least)."""
     for batch in batches:
@@ -69,8 +79,8 @@ class Bitmap:
     """A fixed-size set of 64-bit hashes: no false negatives, some false positives.
 
     It only thins what is shuffled; exact joins follow it, so results do not
-    depend on how full it is.  ``bits`` bounds what is broadcast (2**27 bits are
-    16 MiB) whatever the size of the corpus.
+    depend on how full it is.  ``bits`` bounds what is broadcast (2**25 bits are
+    4 MiB) whatever the size of the corpus; a larger one suits a larger corpus.
     """
 
     def __init__(self, words: np.ndarray, bits: int):
@@ -81,7 +91,7 @@ class Bitmap:
         return (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int = 27):
+def bitmap(hashes: DataFrame, column: str, bits: int = 25):
     """Broadcast a :class:`Bitmap` of a bigint column's values.
 
     Spark builds 4 KiB bitmaps per 32,768 positions with map-side combination; the

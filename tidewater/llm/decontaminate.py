@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import short_batches, slices, table
 from .textkit import windows_of, words_of
 
 SEED_WORDS = 3
@@ -152,7 +152,7 @@ def _matches(batch: pa.RecordBatch, items: Items, least: float) -> dict[tuple[in
 
 def _shared_parts(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
     """Broadcast each part of the benchmark with the seeds that are rare over all documents."""
-    context, documents = rows.sparkSession.sparkContext, rows.count()
+    context, documents = rows.sparkSession.sparkContext, short_batches(rows).count()
     for items in _parts(benchmark.select(item_id, item_text)):
         items.keep(*_seed_counts(rows, context.broadcast(items)), documents)
         yield context.broadcast(items)

@@ -21,7 +21,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, slices, stored, table
+from .common import bitmap, components, short_batches, slices, stored, table
 from .textkit import mix, window_hashes, windows_of, words_of
 
 SHINGLE = 5
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     has no links but to equal sets.  An empty table gives no rows.  The driver holds the
     fixed-size counters and bitmaps only.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = short_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = rows.sparkSession
     profile = _profile(rows)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")

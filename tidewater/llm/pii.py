@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import short_batches, slices, table
 from .textkit import _LOWER, _range_hash, mix, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +235,7 @@ def marginals(g: Graph, model: Model, rounds: int = 12, damping: float = 0.3) ->
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = 4000) -> Model:
     """Learn the potentials from pattern labels on about ``documents`` documents chosen by a hash of id and text."""
-    n = docs.count()
+    n = short_batches(docs).count()
     chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.where(F.col(text).isNotNull() & (chance < min(1.0, documents / max(n, 1)))).select(F.col(text).alias("text"))
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, slices, stored, table
+from .common import bitmap, short_batches, slices, stored, table
 from .textkit import Words, _range_hash, _WORD_BASE, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ordered by their checksum; a null id comes before all others.  An empty table gives
     no rows.  Windows are compared by 64-bit hashes.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"))
+    rows = short_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     spans = repeats(rows, window, anchor).distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
