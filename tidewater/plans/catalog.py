@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, newsroom, research
 
-QUERIES: dict = {**market.QUERIES}
-ORACLES: dict[str, str] = {**market.ORACLES}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES}
+ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES}
