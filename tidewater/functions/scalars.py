@@ -56,7 +56,7 @@ def on_grid(start: Column, session_open: Column, minutes: Column) -> Column:
 def valid_isin(code: Column) -> Column:
     """Two letters, nine letters or digits, and a Luhn check digit over letters read as 10 to 35."""
     digits = F.array_join(F.transform(F.split(code, "(?!^)"), lambda c: F.conv(c, 36, 10)), "")
-    return F.coalesce(code.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(code.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def key_segment(key: Column) -> Column:
