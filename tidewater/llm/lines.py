@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, stored, table
+from .common import stored, table
 
 #: Shorter lines (list marks, headings, "Chapter 2") are never removed, nor do they remove others.
 SHORTEST = 20
@@ -88,27 +88,26 @@ def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     variants = profile.select("doc_id", "line_no", "n", "h", "h2", F.posexplode("keys").alias("i", "key"))
     shared = stored(_shared(variants))
     rows = _thinned(variants, shared).join(shared, "key", "left_semi")
-    # equal lines fold into their first occurrence; only of these is the text fetched
-    rows = durable(rows.groupBy("key", "i", "n", "h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos")))
-    wanted = rows.select(F.xxhash64("pos.doc_id").alias("key")).distinct()
-    some = _thinned(docs.withColumn("key", F.xxhash64(F.col(doc_id))), wanted)
-    text_of = _lines(some, doc_id, text).select("doc_id", "line_no", "line")
-    rows = rows.join(text_of, F.col("pos.doc_id").eqNullSafe(text_of["doc_id"]) & (F.col("pos.line_no") == text_of["line_no"])).where(F.xxhash64("line") == F.col("h"))
-    extra, j = F.floor(F.col("i") / COARSE).cast("int"), F.col("i") % COARSE
+    # equal lines fold into their first occurrence; only of these is the text fetched, once a line
+    rows = stored(rows.groupBy("key", "i", "n", "h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos")))
+    wanted = rows.select("h", "h2", "pos").distinct()
+    some = _thinned(docs.withColumn("key", F.xxhash64(F.col(doc_id))), wanted.select(F.xxhash64("pos.doc_id").alias("key")))
+    some = _thinned(_lines(some, doc_id, text).withColumn("key", F.xxhash64("doc_id", "line_no")), wanted.select(F.xxhash64("pos.doc_id", "pos.line_no").alias("key")))
+    text_of = some.select("doc_id", "line_no", "line")
+    found = wanted.join(text_of, F.col("pos.doc_id").eqNullSafe(text_of["doc_id"]) & (F.col("pos.line_no") == text_of["line_no"])).where(F.xxhash64("line") == F.col("h"))
+    texts = stored(found.groupBy("h", "h2").agg(F.min("line").alias("line")))
     cut = lambda j: F.floor((F.col("n") - F.col("extra")) * j / COARSE).cast("int")
-    rows = rows.withColumns({"extra": extra, "j": j}).select(
-        "key", "extra", "h", "h2", "line", F.substring("line", cut(F.col("j")) + 1, cut(F.col("j") + 1) - cut(F.col("j")) + F.col("extra")).alias("inner"), "pos"
-    )
-    rows = durable(rows.distinct())
+    rows = rows.withColumns({"extra": F.floor(F.col("i") / COARSE).cast("int"), "j": F.col("i") % COARSE}).join(texts, ["h", "h2"])
+    inner = F.substring("line", cut(F.col("j")) + 1, cut(F.col("j") + 1) - cut(F.col("j")) + F.col("extra"))
+    rows = stored(rows.select("key", "extra", "h", "h2", inner.alias("inner"), "pos"))
     while (rows.agg(F.max(F.length("inner"))).first()[0] or 0) > SINGLE:
         length = F.length("inner") - F.col("extra")
         whole = F.array(F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(0).alias("a"), F.length("inner").alias("size")))
         # by reference length, so that partners are divided alike
         divided = F.when(length >= SINGLE, F.array(*_variants(F.col("key"), F.col("inner"), F.col("extra"), length, FINE))).otherwise(whole)
-        finer = rows.withColumn("v", F.explode(divided)).select(
-            F.col("v.key").alias("key"), "extra", "h", "h2", "line", F.substring("inner", F.col("v.a") + F.lit(1), F.col("v.size")).alias("inner"), "pos"
-        )
-        rows = durable(finer.join(_shared(finer), "key", "left_semi"))
+        finer = rows.withColumn("v", F.explode(divided)).select(F.col("v.key").alias("key"), "extra", "h", "h2", F.substring("inner", F.col("v.a") + F.lit(1), F.col("v.size")).alias("inner"), "pos")
+        shared = stored(_shared(finer))
+        rows = stored(_thinned(finer, shared).join(shared, "key", "left_semi"))
     # single characters: "s" keys join lines that differ at one place, "d" keys a line and those that have one character more
     size = F.length("inner")
     without = lambda p: F.struct(F.substring("inner", F.lit(1), p).alias("l"), F.substring(F.col("inner"), p + F.lit(2), size).alias("r"))
@@ -117,15 +116,19 @@ def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     itself = F.array(F.struct(F.lit("d").alias("kind"), F.xxhash64("key", "inner").alias("at")))
     deleted = F.transform(places, lambda p: F.struct(F.lit("d").alias("kind"), F.xxhash64(F.col("key"), F.concat(without(p)["l"], without(p)["r"])).alias("at")))
     last = rows.withColumn("v", F.explode(F.when(F.col("extra") == 0, F.concat(replaced, itself)).otherwise(deleted)))
-    last = last.select(F.col("v.kind").alias("kind"), F.col("v.at").alias("at"), "extra", "h", "h2", "pos", "line").distinct()
-    entry = F.struct("pos", "line")
-    groups = last.groupBy("kind", "at").agg(
+    last = last.select(F.col("v.kind").alias("kind"), F.col("v.at").alias("key"), "extra", "h", "h2", "pos")
+    shared = stored(_shared(last))
+    last = _thinned(last, shared)
+    entry = F.struct("pos", "h", "h2")
+    groups = last.groupBy("kind", "key").agg(
         F.min(F.when(F.col("extra") == 0, entry)).alias("same"), F.min(F.when(F.col("extra") == 1, entry)).alias("longer"), F.min("h").alias("lo"), F.max("h").alias("hi")
     ).where("lo <> hi")
-    met = last.join(groups, ["kind", "at"])
+    met = last.join(groups, ["kind", "key"])
     other = F.when((F.col("kind") == "d") & (F.col("extra") == 0), F.col("longer")).otherwise(F.col("same"))
-    met = met.withColumn("other", other).where(F.col("other.pos") < F.col("pos"))
-    met = met.where(F.levenshtein(F.col("line"), F.col("other.line"), 1) == 1)
+    met = met.withColumn("other", other).where(F.col("other.pos") < F.col("pos")).select("h", "h2", "other").distinct()
+    first, second = texts.withColumnRenamed("line", "x"), texts.select(F.col("h").alias("oh"), F.col("h2").alias("oh2"), F.col("line").alias("y"))
+    met = met.join(first, ["h", "h2"]).join(second, (F.col("other.h") == F.col("oh")) & (F.col("other.h2") == F.col("oh2")))
+    met = met.where(F.levenshtein("x", "y", 1) == 1)
     return met.groupBy("h", "h2").agg(F.min("other.pos").alias("kept"))
 
 
@@ -144,8 +147,9 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lines = stored(_profile(_lines(docs, doc_id, text)))
     firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"))
     near = near_lines(lines, docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text")
-    decided = firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL")
-    rows = lines.select("doc_id", "line_no", "h", "h2").join(decided, ["h", "h2"])
+    decided = stored(firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL").select("h", "h2", "first", "kept"))
+    rows = lines.select("doc_id", "line_no", "h", "h2", F.col("h").alias("key"))
+    rows = _thinned(rows, decided.select(F.col("h").alias("key"))).drop("key").join(decided, ["h", "h2"])
     again = F.struct("doc_id", "line_no") > F.col("first")
     gone = rows.where(again | F.col("kept").isNotNull())
     earlier = F.when(F.col("kept").isNull(), F.col("first")).otherwise(F.least("first", "kept"))
