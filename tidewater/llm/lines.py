@@ -166,9 +166,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if "removed_lines" in docs.columns:
         raise ValueError("the documents already have a column removed_lines")
     gone = stored(duplicate_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
-    # only documents that may lose a line move
+    # only documents that may lose a line move; one plan at every size, for what goes grows with the corpus
     keyed = _flagged(docs.withColumn("_td_key", F.xxhash64(F.col(f"`{doc_id}`"))), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
-    both = keyed.where("_td_may").join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
+    both = keyed.where("_td_may").join(gone.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_td_gone"))
     cut = F.when(F.col("_td_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_td_lines"), i)), "\n"))
