@@ -228,10 +228,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hot = bitmap(shared, "token")
     tokens = stored(_prefixes(rows, counters, wanted, hot))
 
-    # first round: each class with the one that leads most of its prefix
-    leader = tokens.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("l"), F.max("doc").alias("last")).where("l.doc < last")
+    # first round: each class with the one that leads most of its prefix.  A copy's own edits come first in its
+    # order, so the member that has a token earliest is the least edited one: the centre of a group of near copies
+    leader = tokens.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
     tokens = stored(tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.pos").alias("xpos")), "token"))
-    led = tokens.where((F.col("doc") > F.col("x")) & _counts("n", "pos", "xn", "xpos", F.lit(MATCHES)))
+    led = tokens.where((F.col("doc") != F.col("x")) & _counts("n", "pos", "xn", "xpos", F.lit(MATCHES)))
     star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
     links = stored(_verified(rows, star.select("x", F.col("doc").alias("y"))))
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
