@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market, newsroom, research
+from . import desk, market, newsroom, research
 
-QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES}
-ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES, **desk.QUERIES}
+ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES, **desk.ORACLES}

@@ -34,22 +34,22 @@ KNOWN_SQL = bars_sql() + """, known AS (SELECT *, bucket + to_hours(CAST(1 + vol
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corporate actions by rule from ``part``: a factor per key and ex-date, knowable a day before or a day after."""
-    return table(spark, sf_dir, "part").where("p_partkey < 60").selectExpr(
-        "element_at(array('view','error','purchase','click','signup'), CAST(p_partkey % 5 AS INT) + 1) AS key",
-        "p_partkey AS action_id",
-        "timestampadd(HOUR, CAST((p_partkey * 37) % 700 AS INT), timestamp_ntz'2024-01-01') AS ex_at",
-        "timestampadd(HOUR, CAST((p_partkey * 37) % 700 + CASE WHEN p_partkey % 3 = 0 THEN 24 ELSE -24 END AS INT), timestamp_ntz'2024-01-01') AS knowable_at",
-        "CAST(1 + (p_partkey % 4) AS DECIMAL(24,12)) / CAST(2 AS DECIMAL(24,12)) AS raw_factor",
+    """Corporate actions by rule from ``nation``: a factor per key and ex-date, knowable a day before or a day after."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "element_at(array('view','error','purchase','click','signup'), CAST(n_nationkey % 5 AS INT) + 1) AS key",
+        "n_nationkey AS action_id",
+        "timestampadd(HOUR, CAST((n_nationkey * 37) % 700 AS INT), timestamp_ntz'2024-01-01') AS ex_at",
+        "timestampadd(HOUR, CAST((n_nationkey * 37) % 700 + CASE WHEN n_nationkey % 3 = 0 THEN 24 ELSE -24 END AS INT), timestamp_ntz'2024-01-01') AS knowable_at",
+        "CAST(1 + (n_nationkey % 4) AS DECIMAL(24,12)) / CAST(2 AS DECIMAL(24,12)) AS raw_factor",
     ).withColumn("factor", F.col("raw_factor").cast("decimal(24,12)")).drop("raw_factor")
 
 
 ACTIONS_SQL = """actions AS (
-  SELECT list_extract(['view','error','purchase','click','signup'], CAST(p_partkey % 5 AS INTEGER) + 1) AS key, p_partkey AS action_id,
-         TIMESTAMP '2024-01-01' + to_hours(CAST((p_partkey * 37) % 700 AS INTEGER)) AS ex_at,
-         TIMESTAMP '2024-01-01' + to_hours(CAST((p_partkey * 37) % 700 + CASE WHEN p_partkey % 3 = 0 THEN 24 ELSE -24 END AS INTEGER)) AS knowable_at,
-         (1 + (p_partkey % 4)) / 2.0 AS factor
-  FROM part WHERE p_partkey < 60)"""
+  SELECT list_extract(['view','error','purchase','click','signup'], CAST(n_nationkey % 5 AS INTEGER) + 1) AS key, n_nationkey AS action_id,
+         TIMESTAMP '2024-01-01' + to_hours(CAST((n_nationkey * 37) % 700 AS INTEGER)) AS ex_at,
+         TIMESTAMP '2024-01-01' + to_hours(CAST((n_nationkey * 37) % 700 + CASE WHEN n_nationkey % 3 = 0 THEN 24 ELSE -24 END AS INTEGER)) AS knowable_at,
+         (1 + (n_nationkey % 4)) / 2.0 AS factor
+  FROM nation)"""
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:

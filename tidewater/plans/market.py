@@ -379,9 +379,9 @@ def scd2_master_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.master_diff(p.where("p_partkey % 7 <> 0"), new, "p_partkey", ["p_size"])
 
 
-@query("""SELECT c.c_custkey, o.o_orderkey, round(o.o_totalprice, 2) AS o_totalprice FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c LEFT JOIN LATERAL (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10 ORDER BY o.o_orderdate, o.o_orderkey LIMIT 1) o ON true""")
+@query("""SELECT c.c_custkey, o.o_orderkey, round(o.o_totalprice, 2) AS o_totalprice FROM customer c LEFT JOIN LATERAL (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10 ORDER BY o.o_orderdate, o.o_orderkey LIMIT 1) o ON true""")
 def lateral_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_acctbal")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     on = (F.col("l.c_custkey") == F.col("r.o_custkey")) & (F.col("r.o_totalprice") > F.col("l.c_acctbal") * 10)
     got = pit.first_match(c, o, on, ["c_custkey"], [F.col("r.o_orderdate"), F.col("r.o_orderkey")], ["o_orderkey", "o_totalprice"])

@@ -27,19 +27,19 @@ def query(sql: str | None = None):
     return add
 
 
-_TITLE = "trim(regexp_replace(lower(left(text, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, {_TITLE} AS title, 'sha256:' || sha256(source || chr(31) || coalesce(lang, '') || chr(31) || CAST(doc_id AS VARCHAR)) AS stable_id FROM documents")
 def title_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", scalars.plain_title(F.substring("text", 1, 80)).alias("title"), scalars.stable_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("stable_id"))
+    return d.select("doc_id", scalars.plain_title(F.col("text")).alias("title"), scalars.stable_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("stable_id"))
 
 
 @query()
 def compatible_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", news.compatible_title(F.substring("text", 1, 80)).alias("title"))
+    return d.select("doc_id", news.compatible_title(F.col("text")).alias("title"))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), q AS (SELECT page_id, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS host,
@@ -60,11 +60,11 @@ def _items(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("item_id"), "source", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("u"), (F.col("doc_id") % 180).cast("string"))).alias("url"), F.md5(F.col("text").cast("binary")).alias("content_hash"),
-        F.md5(F.lower(F.substring("text", 1, 60)).cast("binary")).alias("title_hash"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("at"),
+        F.md5(F.lower("text").cast("binary")).alias("title_hash"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("at"),
     )
 
 
-_ITEMS = """items AS (SELECT doc_id AS item_id, source, CASE WHEN doc_id % 9 = 0 THEN 'u' || (doc_id % 180) END AS url, md5(text) AS content_hash, md5(lower(left(text, 60))) AS title_hash, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS ts FROM documents)"""
+_ITEMS = """items AS (SELECT doc_id AS item_id, source, CASE WHEN doc_id % 9 = 0 THEN 'u' || (doc_id % 180) END AS url, md5(text) AS content_hash, md5(lower(text)) AS title_hash, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS ts FROM documents)"""
 _FIRST = "first(item_id) OVER (PARTITION BY source, {k} ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
 
 
@@ -74,10 +74,10 @@ def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.duplicates(_items(spark, sf_dir))
 
 
-@query("""WITH o AS (SELECT conv_id AS item_id, turn AS t, left(text, 5) AS title, left(text, 30) AS body, lag(left(text, 5)) OVER w AS pt, lag(left(text, 30)) OVER w AS pb, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT item_id, t AS "at", array_to_string(list_filter([CASE WHEN title IS DISTINCT FROM pt THEN 'title' END, CASE WHEN body IS DISTINCT FROM pb THEN 'body' END], lambda x: x IS NOT NULL), ',') AS changed, 'STORY_UPDATE' AS decision FROM o WHERE n > 1 AND (title IS DISTINCT FROM pt OR body IS DISTINCT FROM pb)""")
+@query("""WITH o AS (SELECT conv_id AS item_id, turn AS t, role AS title, text AS body, lag(role) OVER w AS pt, lag(text) OVER w AS pb, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT item_id, t AS "at", array_to_string(list_filter([CASE WHEN title IS NOT NULL AND title IS DISTINCT FROM pt THEN 'title' END, CASE WHEN body IS NOT NULL AND body IS DISTINCT FROM pb THEN 'body' END], lambda x: x IS NOT NULL), ',') AS changed, 'STORY_UPDATE' AS decision FROM o WHERE n > 1 AND ((title IS NOT NULL AND title IS DISTINCT FROM pt) OR (body IS NOT NULL AND body IS DISTINCT FROM pb))""")
 def edit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("at"), F.substring("text", 1, 5).alias("title"), F.substring("text", 1, 30).alias("body"))
+    o = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("at"), F.col("role").alias("title"), F.col("text").alias("body"))
     return news.edits(o, ("title", "body")).select("item_id", "at", F.array_join("changed", ",").alias("changed"), "decision")
 
 
@@ -133,11 +133,11 @@ def news_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("category", *[F.round(F.col(f"{n}.value"), 6).alias(n) for n in names])
 
 
-@query("""WITH t AS (SELECT doc_id AS item_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS at, list_distinct(list_filter(string_split(trim(regexp_replace(lower(left(text, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('the','and','for','with','from','after','over','into','its','this','that','will','says','said') AND NOT regexp_full_match(w, '\\d+'))) AS w FROM documents),
+@query("""WITH t AS (SELECT item_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(item_id AS INTEGER)) AS at, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('the','and','for','with','from','after','over','into','its','this','that','will','says','said') AND NOT regexp_full_match(w, '\\d+'))) AS w FROM benchmark),
 p AS (SELECT a.item_id, b.item_id AS earlier_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM t a JOIN t b ON b.at < a.at AND a.at - b.at <= INTERVAL 3 HOUR WHERE len(a.w) > 0 AND len(b.w) > 0)
 SELECT item_id, first(earlier_id ORDER BY j DESC, earlier_id) AS earlier_id, round(max(j), 6) AS jaccard FROM p WHERE j >= 0.7 GROUP BY 1""".replace("\\\\", "\\"))
 def story_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 80).alias("title"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("at"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(item_id AS INT), 0)").alias("at"))
     return news.similar_pairs(d)
 
 
