@@ -141,6 +141,13 @@ def story_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.similar_pairs(d)
 
 
+@query()
+def story_assign_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``story_assign`` over every document's whole text; SQL pairs all documents of a window and is too slow for it."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("at"))
+    return news.similar_pairs(d)
+
+
 @query(f"""WITH {_HEADS} SELECT story_id, count(*) AS members, count(DISTINCT publisher) AS publishers, CAST(min(knowable_at) AS VARCHAR) AS first_at, CAST(max(knowable_at) AS VARCHAR) AS last_at, bool_or(regexp_matches(title, '{news.BREAKING_WORDS}')) AS is_breaking FROM h GROUP BY 1""")
 def story_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _headlines(spark, sf_dir).withColumns({"at": F.col("knowable_at"), "is_breaking": F.col("title").rlike(news.BREAKING_WORDS)})
