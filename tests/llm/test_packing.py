@@ -75,3 +75,19 @@ def test_costs_are_balanced():
         cost[q] += n + n * n / 2048
     naive = [sum(n + n * n / 2048 for n in lengths[i : i + 4]) for i in range(0, 400, 4)]
     assert np.std(list(cost.values())[:-1]) < np.std(naive)
+
+
+def test_queries_take_added_tokens_as_the_json_form_does(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tidewater.llm.packing import op1_packing
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>  y <|endoftext|><|endoftext|>\n", "<|endoftext| >", "plain"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    json_form = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: zlib.crc32(np.array([*e.ids, 1], "<u4").tobytes()) for i, e in enumerate(json_form.encode_batch(texts, add_special_tokens=False))}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for got in (op1_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.ids_crc32 for r in got.collect()} == want

@@ -10,6 +10,7 @@ sequence per block.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,27 +29,36 @@ _ENCODERS: dict = {}
 
 
 def default_vocabulary() -> str:
-    """The byte-level BPE of 50k tokens, in its rank form (the ids are those of the JSON form)."""
+    """The byte-level BPE of 50k tokens, in its rank form: the ids of the JSON form but for its added tokens (``added``)."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(vocabulary: str):
-    """The tokenizer of a rank file; strings of special tokens are ordinary text to it."""
-    if vocabulary not in _ENCODERS:
+def added_tokens() -> dict[str, int]:
+    """The added tokens of the vocabulary's JSON form, which ``tokenizers`` matches in plain text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def encoder(vocabulary: str, added: dict[str, int] | None = None):
+    """The tokenizer of a rank file; strings of special tokens are ordinary text to it, but for those ``added``."""
+    known = (vocabulary, *sorted((added or {}).items()))
+    if known not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[vocabulary]
+        _ENCODERS[known] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    return _ENCODERS[known]
 
 
 def token_ids(encode, text: str | None, end: int) -> np.ndarray:
     """A document's ids followed by ``end``; a null text has the end alone."""
-    return np.append(encode.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
+    return np.append(encode.encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
 
 
 def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -81,14 +91,15 @@ def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
     return pieces
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 1, vocabulary: str | None = None, block_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 1, vocabulary: str | None = None, block_tokens: int = 1 << 20, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     ``start`` counts the document's ids before the piece; ``offset`` is the piece's place
     in its sequence; pieces of a sequence lie without gaps from 0.  A null or empty text
     is a document of the end token alone; null ids and repeated rows are packed as they
     are; an empty table gives no rows; further columns are ignored.  A task holds one
-    block of ``block_tokens`` tokens, or its longest document.
+    block of ``block_tokens`` tokens, or its longest document.  Strings of ``added`` become
+    their ids wherever they stand in a text; without it they are ordinary text.
     """
     vocabulary = vocabulary or default_vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -114,7 +125,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, tokens = encoder(vocabulary), [], 0
+        encode, block, tokens = encoder(vocabulary, added), [], 0
         first = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text"):
             for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -132,4 +143,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=added_tokens())
