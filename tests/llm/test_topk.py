@@ -3,8 +3,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
-from tidewater.llm.topk import quantised, top_k
+from tidewater.llm.topk import best_of_tile, quantised, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -51,3 +52,30 @@ def test_large_components_stay_exact(spark):
 def test_empty_table(spark):
     q = quantised(spark.createDataFrame([], SCHEMA))
     assert top_k(q, q).count() == 0
+
+
+def test_large_and_repeated_vectors_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [2.0, 5.0]), (2, [70000.0, -1.0]), (2, [-9.0, 1.0]), (3, [65537.0, 2.0])]
+    q = quantised(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA))
+    exact = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    for shard_rows in (8192, 2):
+        got = sorted(tuple(r) for r in top_k(q, q.where("vec_id IN (0, 2)"), 4, shard_rows).collect())
+        want = []
+        for i in (0, 2):
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), j) for h, a in exact for j, b in exact if h == i and j != i)
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:4])]
+        assert got == want
+
+
+def test_own_rows_leave_room_for_others():
+    ids = np.array([7, 7, 7, 1, 2])
+    shard = np.array([[9], [8], [7], [2], [1]])
+    assert [x.tolist() for x in best_of_tile(1, np.array([7]), np.array([[1]]), ids, shard, 2)] == [[7, 7], [1, 2], [2, 1]]
+
+
+def test_scores_beyond_64_bits_are_refused():
+    big = np.array([[1 << 40, 1 << 40], [1 << 40, -(1 << 40)]])
+    _, _, score = best_of_tile(2, np.array([0]), big[:1], np.array([0, 1]), big, 5)
+    assert score.tolist() == [0]  # both products leave 64 bits, their sum does not; nor does the own row count
+    with pytest.raises(OverflowError):
+        best_of_tile(2, np.array([0]), big[:1], np.array([1]), big[:1], 5)

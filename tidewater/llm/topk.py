@@ -16,52 +16,77 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Components beyond this take no part: their products could leave 64 bits.
-LARGEST = 1 << 24
+#: Scaled components are 64-bit integers, in the SQL form too; one that is not below this has no such form.
+BEYOND = float(1 << 63)
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, q``: each component x as floor(scale * x), x taken as double.
 
-    A null vector or id, or a vector with a null, non-finite or (scaled) larger
-    component than ``LARGEST`` takes no part.  Of rows that share an id the one with
-    the smallest vector stays.
+    A null vector or id, or a vector with a null or non-finite component takes no part,
+    nor does one with a component whose scaled form has no 64-bit integer.  Rows that
+    share an id all stay if their vectors differ; equal ones are one.
     """
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
-    good = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST / scale))
+    good = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < BEYOND))
     return (
         vectors.select(F.col(vec_id).alias("vec_id"), wide.alias("_w"))
         .where(F.col("vec_id").isNotNull() & F.col("_w").isNotNull() & good)
-        .select("vec_id", F.transform("_w", lambda x: F.floor(x * scale).cast("int")).alias("q"))
-        .groupBy("vec_id")
-        .agg(F.min("q").alias("q"))
+        .select("vec_id", F.transform("_w", lambda x: F.floor(x * scale).cast("long")).alias("q"))
+        .distinct()
     )
 
 
 def _packed(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    """One row per (components, key): ids and the int32 matrix as bytes."""
+    """One row per (components, key): ids and the matrix as bytes, of int32 where that holds it, else of int64."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         ids = pdf["vec_id"].to_numpy(np.int64)
-        m = np.stack(pdf["q"].to_numpy()).astype(np.int32) if pdf["dim"].iloc[0] else np.zeros((len(ids), 0), np.int32)
+        m = np.stack(pdf["q"].to_numpy()).astype(np.int64) if pdf["dim"].iloc[0] else np.zeros((len(ids), 0), np.int64)
+        if _most(m) < 1 << 31:
+            m = m.astype(np.int32)
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], name: [int(pdf[name].iloc[0])], f"{name}_ids": [ids.tobytes()], f"{name}_m": [m.tobytes()]})
 
     return rows.select("vec_id", "q", F.size("q").alias("dim"), key.alias(name)).groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_m binary")
 
 
+def _most(m: np.ndarray) -> int:
+    """The greatest absolute component, as a Python integer."""
+    return max(int(m.max(initial=0)), -int(m.min(initial=0)))
+
+
+def _matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    """The matrix of :func:`_packed`; its bytes tell which integers it has."""
+    return np.frombuffer(raw, np.int64 if dim and len(raw) == 8 * rows * dim else np.int32).reshape(rows, dim)
+
+
+def _products(dim: int, block_ids, block: np.ndarray, shard_ids, shard: np.ndarray) -> np.ndarray:
+    """The exact inner products; one that leaves 64 bits is an error, except those of an id with itself."""
+    bound = dim * (_most(block) + 1) * (_most(shard) + 1)
+    if bound < 1 << 53:  # doubles are exact there, and BLAS multiplies them
+        return (block.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
+    a, b = block.astype(np.int64), shard.astype(np.int64)
+    scores = a @ b.T  # exact modulo 2**64
+    if bound >= 1 << 63:
+        sums = np.abs(a.astype(np.float64)) @ np.abs(b.astype(np.float64)).T
+        for i, j in np.argwhere((sums >= 2.0**62) & (np.asarray(block_ids)[:, None] != np.asarray(shard_ids)[None, :])):
+            exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j]))
+            if not -(1 << 63) <= exact < 1 << 63:
+                raise OverflowError(f"the score of vectors {block_ids[i]} and {shard_ids[j]} leaves 64 bits: {exact}")
+    return scores
+
+
 def best_of_tile(dim: int, block_ids, block, shard_ids, shard, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec, score) of each query's k best rows of one tile, its own row left out."""
-    small = dim * (int(np.abs(block).max(initial=0)) + 1) * (int(np.abs(shard).max(initial=0)) + 1) < 1 << 53
-    kind = np.float64 if small else np.int64  # doubles are exact there, and BLAS multiplies them
-    scores = (block.astype(kind) @ shard.astype(kind).T).astype(np.int64)
+    """(query, vec, score) of each query's k best rows of one tile, those of its own id left out."""
+    scores = _products(dim, block_ids, block, shard_ids, shard)
     out = []
     for i, query in enumerate(block_ids):
+        other = shard_ids != query
         row = scores[i]
-        keep = min(len(row), k + 1)  # one more: the own row may be among them
+        keep = min(len(row), k + len(row) - int(other.sum()))  # more by the own rows, which may be among them
         floor = np.partition(row, len(row) - keep)[len(row) - keep]
-        at = np.flatnonzero(row >= floor)
-        at = at[shard_ids[at] != query]
+        at = np.flatnonzero((row >= floor) & other)
         at = at[np.lexsort((shard_ids[at], -row[at]))][:k]
         out.append((np.full(len(at), query), shard_ids[at], row[at]))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
@@ -71,9 +96,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     """``query_id, rank, vec_id, score``: each query's k rows of the greatest inner product.
 
     Both inputs have ``vec_id, q`` as from :func:`quantised`; ties go to the smaller
-    id, and a query never meets the row of its own id.  Vectors with differing numbers
+    id, and a query never meets a row of its own id.  Every vector of a repeated id is a
+    candidate, and as queries such vectors share one list.  Vectors with differing numbers
     of components do not meet.  A query without partners has no rows; an empty table
-    gives none.
+    gives none.  A score that leaves 64 bits is an error.
 
     ``shard_rows`` and ``block_rows`` set the expected rows of a tile's sides (ids
     are dealt by hash, so no side grows with the table).  Every query meets every
@@ -91,8 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         for pdf in parts:
             for t in pdf.itertuples(index=False):
                 own, ids = np.frombuffer(t.block_ids, np.int64), np.frombuffer(t.shard_ids, np.int64)
-                a = np.frombuffer(t.block_m, np.int32).reshape(len(own), t.dim)
-                b = np.frombuffer(t.shard_m, np.int32).reshape(len(ids), t.dim)
+                a, b = _matrix(t.block_m, len(own), t.dim), _matrix(t.shard_m, len(ids), t.dim)
                 query, vec, score = best_of_tile(t.dim, own, a, ids, b, k)
                 yield pd.DataFrame({"query_id": query, "vec_id": vec, "score": score, "part": np.int32(t.shard)})
 
