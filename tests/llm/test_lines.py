@@ -65,3 +65,10 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark):
     plan = duplicate_lines(documents(spark, ["x" * 30]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equal_short_lines_go_if_asked(spark):
+    texts = ["Les.\n\nfirst", "Les.\n\nother\n \t\n}", "Lес.\nLes\n}\n \t\n", "Les.", "a line of more than twenty characters\nLes.\nx", "a line of more than twenty characterS\nx"]
+    rows = {r.doc_id: r for r in dedup_lines(documents(spark, texts), shortest=1).collect()}
+    assert [rows[i].text for i in range(6)] == ["Les.\n\nfirst", "\nother\n \t\n}", "Lес.\nLes\n \t\n", "", "a line of more than twenty characters\nx", ""]
+    assert [rows[i].removed_lines for i in range(6)] == [0, 1, 1, 1, 1, 2]

@@ -58,3 +58,10 @@ def test_awkward_and_empty_tables(spark, folder, stages):
     for stage in stages.values():
         assert stage(spark, docs, path).count() > 0
         assert stage(spark, empty, path).count() == 0
+
+
+def test_line_stage_removes_short_repeats(spark, folder, stages):
+    path, texts = folder
+    docs = documents(spark, [f"{t}\nA footer" for t in texts[:9]])
+    got = {r.doc_id: r.text for r in stages["line dedup"](spark, docs, path).collect()}
+    assert got[0].endswith("\nA footer") and not any("A footer" in got[i] for i in range(1, 9))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Shorter lines (list marks, headings, "Chapter 2") are never removed, nor do they remove others.
+#: Shorter lines (list marks, headings, "Chapter 2") take no part in the one-edit join; whether equal ones go is up to the caller.
 SHORTEST = 20
 #: Blocks of the first level and of each further one.
 COARSE, FINE = 2, 8
@@ -26,9 +26,9 @@ SINGLE = 64
 FILTER_BITS = 24
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, shortest: int = SHORTEST) -> DataFrame:
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return lines.withColumn("n", F.length("line")).where(F.col("n") >= SHORTEST)
+    return lines.withColumn("n", F.length("line")).where((F.col("n") >= SHORTEST) | ((F.col("n") >= shortest) & F.col("line").rlike(r"\S")))
 
 
 def _variants(key: Column, inner: Column, extra: Column, length: Column, blocks: int) -> list[Column]:
@@ -57,7 +57,8 @@ def _profile(lines: DataFrame) -> DataFrame:
     for extra in (0, 1):
         length = F.col("n") - extra
         keys += [v["key"] for v in _variants(length.cast("long"), F.col("line"), F.lit(extra), length, COARSE)]
-    return lines.select("doc_id", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.array(*keys).alias("keys"))
+    keys = F.when(F.col("n") >= SHORTEST, F.array(*keys))
+    return lines.select("doc_id", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
 
 
 def _shared(variants: DataFrame) -> DataFrame:
@@ -132,11 +133,12 @@ def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     return met.groupBy("h", "h2").agg(F.min("other.pos").alias("kept"))
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """``doc_id, line_no, kept_doc, kept_line``: every line that goes, and an earlier one that stands for it.
 
-    Lines are parted at ``\\n`` and counted from 0; lines of under 20 characters take no
-    part.  Of equal lines the first stays, in the order of (doc_id, line_no); it goes too
+    Lines are parted at ``\\n`` and counted from 0; lines of under 20 characters are within
+    one edit of none.  Equal lines count from 20 characters on, or from ``shortest`` on
+    if they are not blank.  Of equal lines the first stays, in the order of (doc_id, line_no); it goes too
     if a line within one edit comes before it.  The input decides, not what is left of
     it: a line may go because of one that goes itself.
 
@@ -144,9 +146,9 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     line number are told apart by nothing, so equal lines there are one.  An empty table
     gives no rows.
     """
-    lines = stored(_profile(_lines(docs, doc_id, text)))
+    lines = stored(_profile(_lines(docs, doc_id, text, shortest)))
     firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"))
-    near = near_lines(lines, docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text")
+    near = near_lines(lines.where(F.col("n") >= SHORTEST), docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text")
     decided = stored(firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL").select("h", "h2", "first", "kept"))
     rows = lines.select("doc_id", "line_no", "h", "h2", F.col("h").alias("key"))
     rows = _thinned(rows, decided.select(F.col("h").alias("key"))).drop("key").join(decided, ["h", "h2"])
@@ -156,7 +158,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return gone.select("doc_id", "line_no", earlier["doc_id"].alias("kept_doc"), earlier["line_no"].alias("kept_line"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` with their duplicate lines taken out of ``text``, and a last column ``removed_lines`` (count).
 
     All other columns and all rows stay; a text that loses every line becomes empty, a
@@ -165,7 +167,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     if "removed_lines" in docs.columns:
         raise ValueError("the documents already have a column removed_lines")
-    gone = stored(duplicate_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
+    gone = stored(duplicate_lines(docs, doc_id, text, shortest).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
     # only documents that may lose a line move; one plan at every size, for what goes grows with the corpus
     keyed = _flagged(docs.withColumn("_td_key", F.xxhash64(F.col(f"`{doc_id}`"))), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
     both = keyed.where("_td_may").join(gone.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
