@@ -72,3 +72,13 @@ def test_equal_short_lines_go_if_asked(spark):
     rows = {r.doc_id: r for r in dedup_lines(documents(spark, texts), shortest=1).collect()}
     assert [rows[i].text for i in range(6)] == ["Les.\n\nfirst", "\nother\n \t\n}", "Lес.\nLes\n \t\n", "", "a line of more than twenty characters\nx", ""]
     assert [rows[i].removed_lines for i in range(6)] == [0, 1, 1, 1, 1, 2]
+
+
+def test_a_line_goes_from_its_own_text_only(spark):
+    footer = "a footer that stands in more than one text"
+    rows = [(1, footer), (7, f"some first line of the one text\n{footer}"), (7, "another first line altogether\na line that no other text has"), (None, f"{footer}\nnothing else is like this line"), (None, "a line of a text that has no id\nand here is yet another one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted((str(r.doc_id), r.text, r.removed_lines) for r in dedup_lines(docs).collect())
+    # a null id comes first, so its footer stays
+    want = [(1, "", 1), (7, "some first line of the one text", 1), (7, rows[2][1], 0), (None, rows[3][1], 0), (None, rows[4][1], 0)]
+    assert got == sorted((str(i), t, n) for i, t, n in want)

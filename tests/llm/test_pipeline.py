@@ -65,3 +65,12 @@ def test_line_stage_removes_short_repeats(spark, folder, stages):
     docs = documents(spark, [f"{t}\nA footer" for t in texts[:9]])
     got = {r.doc_id: r.text for r in stages["line dedup"](spark, docs, path).collect()}
     assert got[0].endswith("\nA footer") and not any("A footer" in got[i] for i in range(1, 9))
+
+
+def test_rows_are_told_apart_by_more_than_their_id(spark, folder, stages):
+    path, texts = folder
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[8]), (None, texts[9]), (9, texts[9]), (4, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, docs, path).collect()]
+    want = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[8]), (9, texts[9]), (4, None), (None, None), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)

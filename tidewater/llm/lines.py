@@ -162,15 +162,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     """The rows of ``docs`` with their duplicate lines taken out of ``text``, and a last column ``removed_lines`` (count).
 
     All other columns and all rows stay; a text that loses every line becomes empty, a
-    null one stays null.  Rows of equal id are treated alike.  A column that already is
-    named ``removed_lines`` is refused.
+    null one stays null.  Rows are told apart by id and text, those of one id in the order
+    of a hash of the text; rows that are equal in both are treated alike.  A column that
+    already is named ``removed_lines`` is refused.
     """
     if "removed_lines" in docs.columns:
         raise ValueError("the documents already have a column removed_lines")
-    gone = stored(duplicate_lines(docs, doc_id, text, shortest).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
+    # by id alone, what goes from one text would go from every other text of that id
+    row = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
+    rows = docs.select(row.alias("_td_row"), F.col(f"`{text}`").alias("_td_text"))
+    gone = stored(duplicate_lines(rows, "_td_row", "_td_text", shortest).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
     # only documents that may lose a line move; one plan at every size, for what goes grows with the corpus
-    keyed = _flagged(docs.withColumn("_td_key", F.xxhash64(F.col(f"`{doc_id}`"))), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
-    both = keyed.where("_td_may").join(gone.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col("_td_id")), "left")
+    keyed = _flagged(docs.withColumns({"_td_row": row, "_td_key": F.xxhash64(row)}), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
+    both = keyed.where("_td_may").join(gone.hint("merge"), F.col("_td_row").eqNullSafe(F.col("_td_id")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_td_gone"))
     cut = F.when(F.col("_td_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_td_lines"), i)), "\n"))
