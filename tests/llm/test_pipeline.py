@@ -74,3 +74,9 @@ def test_rows_are_told_apart_by_more_than_their_id(spark, folder, stages):
     got = [(r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, docs, path).collect()]
     want = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[8]), (9, texts[9]), (4, None), (None, None), (None, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_unlabelled_corpus_keeps_its_texts(spark, folder, stages):
+    path, texts = folder
+    docs = documents(spark, texts).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert {r.doc_id for r in stages["language id"](spark, docs, path).collect()} == set(range(67)) - {60, 61, 62}
