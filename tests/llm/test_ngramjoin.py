@@ -71,6 +71,27 @@ def test_awkward_rows(spark):
     assert by[9].component_id == 3 and by[10].component_id == 4 and by[11].component_id == 11
 
 
+def test_repeated_ids_are_one_document_per_text(spark):
+    rng = random.Random(9)
+    base = rng.choices([f"w{i}" for i in range(400)], k=120)
+    near = [*base[:60], "edited", *base[61:]]
+    rows = [(7, " ".join(base))] * 40 + [(3, " ".join(near))] * 30 + [(5, "some other text of more than five words")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_duplicates(docs).collect()
+    assert len(got) == 75 and {(r.doc_id, r.component_id) for r in got} == {(7, 3), (3, 3), (5, 5)}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark):
+    import glob
+
+    from tidewater.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tidewater-*"))
+    near_duplicates(documents(spark, ["a text of a few words and more"] * 3)).count()
+    assert len(set(glob.glob(f"{folder}/tidewater-*")) - before) == 1
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

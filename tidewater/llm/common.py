@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code handles at once; its arrays take some 60 times that.
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -42,17 +48,68 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Spark's setting that drops a query's shuffle files once it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables of each open :func:`scratch`, the innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table ahead of its scratch."""
+    for own in _OPEN:
+        own[:] = [x for x in own if x is not df]
+    drop(df)
+
+
+@contextmanager
+def scratch():
+    """Tables that :func:`stored` writes inside are deleted when the block ends, but for one that goes through the yielded function.
+
+    What leaves the block is stored last and handed out by that function; a block around
+    this one then owns it.
+    """
+    own: list[DataFrame] = []
+    _OPEN.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not df]
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        drop(*own)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    Nothing reads the write's shuffles a second time, so their files go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    if _OPEN:
+        _OPEN[-1].append(back)
+    return back
 
 
 def short_batches(df: DataFrame) -> DataFrame:
@@ -115,11 +172,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, component), smallest node first.
 
     Alternates large-star and small-star rewiring; each round is a pair of
-    aggregations with map-side combination and ends in a checkpoint, so neither
+    aggregations with map-side combination and ends in a written table, so neither
     the driver nor any task holds a component.  Nodes without edges do not appear.
     """
-    spark = edges.sparkSession
-    links = durable(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
+    links = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
     if links.isEmpty():
         return links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     before = None
@@ -131,13 +187,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: neighbours at or below v hang on the smallest of them
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small, "v")
-        links = durable(
+        done = links
+        links = stored(
             joined.where("u <> m")
             .select(F.col("u").alias("v"), F.col("m").alias("u"))
             .union(small.select("v", F.col("m").alias("u")))
             .where("v <> u")
             .distinct()
         )
+        forget(done)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -2,8 +2,10 @@
 
 All documents order their shingles alike, rare ones first.  Two sets of similarity t
 share at least l of their first n - ceil(t * n) + l shingles, for every l.  Each
-document picks the l of the lowest estimated cost: a longer prefix meets more
-documents, but a partner has to share l of its shingles before the two are compared.
+document picks the l of the lowest estimated cost and sends its prefix for that l: a
+longer one meets more documents, but a partner has to share more of its shingles before
+the two are compared.  Two documents that picked l and k need min(l, k) shared ones:
+both prefixes hold those for the smaller of the two.
 
 Equal sets are one class from the start.  Each class is first compared with one
 other that shares much of its prefix; only classes that this leaves in different
@@ -21,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, short_batches, slices, stored, table
+from .common import bitmap, column, components, forget, scratch, short_batches, slices, stored, table
 from .textkit import mix, window_hashes, windows_of, words_of
 
 SHINGLE = 5
@@ -58,7 +60,7 @@ def _least_overlap(n: int) -> int:
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[np.ndarray, int]:
-    """A set's longest prefix, in order, and the l picked."""
+    """A set's prefix for the l of the lowest estimated cost, in order, and that l."""
     n, overlap = len(hashes), _least_overlap(len(hashes))
     seen = counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
     most = min(MATCHES, overlap)
@@ -68,7 +70,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[n
     met = np.cumsum(others)[first - 1 :]
     ls = np.arange(1, most + 1)
     picked = int(np.argmin(met + first + ls + COMPARISON * met / ls)) + 1
-    return hashes[order], picked
+    return hashes[order[: first + picked - 1]], picked
 
 
 def _profile(rows: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broa
     return rows.mapInArrow(run, schema)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """Of the pairs (x, y), those whose sets reach the similarity: exact sizes of intersection and union."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
     wanted = bitmap(ids.select(F.xxhash64("doc").alias("key")), "key")
@@ -174,7 +176,8 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 packed = [pack((t or "").encode()) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc", "z"])
 
-    body = stored(rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(texts, "doc long, z binary"))
+    body = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(texts, "doc long, z binary")
+    body = stored(body.distinct() if repeated else body)
     both = pairs.join(body.select(F.col("doc").alias("x"), F.col("z").alias("zx")), "x").join(body.select(F.col("doc").alias("y"), F.col("z").alias("zy")), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,45 +219,55 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     has no links but to equal sets.  An empty table gives no rows.  The driver holds the
     fixed-size counters and bitmaps only.
     """
-    rows = short_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spark = rows.sparkSession
+    rows = short_batches(docs).select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
+    with scratch() as keep:
+        return keep(stored(_near_duplicates(rows)))
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
     profile = _profile(rows)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
     classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     reps = classes.where("rep IS NOT NULL").select("rep")
-    counters = spark.sparkContext.broadcast(_counters(profile))
+    counters = rows.sparkSession.sparkContext.broadcast(_counters(profile))
     wanted = bitmap(reps.select(F.xxhash64("rep").alias("key")), "key")
-    shared = _prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    hot = bitmap(shared, "token")
-    tokens = stored(_prefixes(rows, counters, wanted, hot))
+    seen = stored(_prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    hot = bitmap(seen, "token")
+    forget(seen)
+    tokens = _prefixes(rows, counters, wanted, hot)
+    # rows that repeat an id would send their tokens again and again
+    repeated = not sets.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    tokens = stored(tokens.distinct() if repeated else tokens)
 
     # first round: each class with the one that leads most of its prefix.  A copy's own edits come first in its
     # order, so the member that has a token earliest is the least edited one: the centre of a group of near copies
-    leader = tokens.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    tokens = stored(tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.pos").alias("xpos")), "token"))
-    led = tokens.where((F.col("doc") != F.col("x")) & _counts("n", "pos", "xn", "xpos", F.lit(MATCHES)))
-    star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
-    links = stored(_verified(rows, star.select("x", F.col("doc").alias("y"))))
+    first = F.struct("pos", "doc", "n", "matches")
+    leader = tokens.groupBy("token").agg(F.min(first).alias("l"), F.count("*").alias("c")).where("c > 1")
+    led = tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.pos").alias("xpos"), F.col("l.matches").alias("xmatches")), "token")
+    need = F.least("matches", "xmatches")
+    led = led.where((F.col("doc") != F.col("x")) & _counts("n", "pos", "xn", "xpos", need))
+    star = led.groupBy("doc", "x").agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
+    links = stored(_verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # second round: pairs of different components, of which one is not the token's largest
-    placed = tokens.drop("x", "xn", "xpos").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    placed = stored(placed)
+    placed = tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    mixed = placed.join(sizes.select("token", "main"), "token")
+    mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
+    forget(tokens)
     cols = ["doc", "n", "pos", "matches", "comp"]
     left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
     right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
-    matches = F.when(F.struct("l_n", "l_doc") > F.struct("r_n", "r_doc"), F.col("l_matches")).otherwise(F.col("r_matches"))
+    need = F.least("l_matches", "r_matches")
     met = left.join(
         right,
         (left["token"] == right["token"])
         & (F.col("l_comp") != F.col("r_comp"))
         & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc")))
-        & _counts("l_n", "l_pos", "r_n", "r_pos", matches),
+        & _counts("l_n", "l_pos", "r_n", "r_pos", need),
     )
-    pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.max(matches).alias("matches")).where("c >= matches")
-    more = stored(_verified(rows, stored(pairs.select("x", "y"))))
+    pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need")
+    more = stored(_verified(rows, stored(pairs.select("x", "y")), repeated))
     joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
