@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import SCHEMA, awkward, documents
 
-from tidewater.llm.lines import SHORTEST, dedup_lines, duplicate_lines
+from tidewater.llm.lines import NEAR_FROM, dedup_lines, duplicate_lines
 
 
 def _edit_one(rng, line):
@@ -25,19 +25,21 @@ def _within_one(a, b):
 
 
 def _brute(docs):
-    lines = [(d, i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= SHORTEST]
+    lines = [(d, i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= NEAR_FROM or x.strip(" \t\n\v\f\r")]
     lines.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return {(d, i) for k, (d, i, x) in enumerate(lines) if any(_within_one(x, y) and (d, i) != (e, j) for e, j, y in lines[:k])}
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= NEAR_FROM and _within_one(x, y))
+    return {(d, i) for k, (d, i, x) in enumerate(lines) if any(near(x, y) for _, _, y in lines[:k])}
 
 
 def test_against_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abc de", k=rng.choice([20, 21, 37, 64, 90, 300, 3000]))) for _ in range(25)]
     base += [f"the same long template with number {i % 7} and a tail that never changes" for i in range(12)]
+    base += ["Les.", "}", "", " \t ", "Chapter 2", "Chapter 3", " " * 25]
     texts = []
     for _ in range(60):
         picked = [rng.choice(base) for _ in range(rng.randrange(1, 6))]
-        texts.append("\n".join(_edit_one(rng, x) if rng.random() < 0.5 else x for x in picked))
+        texts.append("\n".join(_edit_one(rng, x) if x and rng.random() < 0.5 else x for x in picked))
     docs = documents(spark, texts)
     got = {(r.doc_id, r.line_no) for r in duplicate_lines(docs).collect()}
     assert got == _brute(list(enumerate(texts)))
@@ -48,11 +50,11 @@ def test_against_brute_force(spark):
 
 
 def test_awkward_rows(spark):
-    docs = awkward(spark, ["a line of more than twenty characters\nshort\nshort", "a line of more than twenty characterS\n\nshort"])
+    docs = awkward(spark, ["a line of more than twenty characters\nshort", "a line of more than twenty characterS\n\nshort"])
     rows = dedup_lines(docs).collect()
     assert len(rows) == docs.count()
     by = {(r.doc_id, r.text) for r in rows}
-    assert (9, "a line of more than twenty characters\nshort\nshort") in by and (10, "\nshort") in by
+    assert (9, "a line of more than twenty characters\nshort") in by and (10, "") in by
     assert any(r.text is None for r in rows) and {r.key for r in rows} == {"x"}
     with pytest.raises(ValueError):
         dedup_lines(docs.selectExpr("*", "1 AS removed_lines"))
@@ -63,13 +65,24 @@ def test_empty_table(spark):
 
 
 def test_plan_has_no_python(spark):
-    plan = duplicate_lines(documents(spark, ["x" * 30]))._jdf.queryExecution().executedPlan().toString()
+    plan = dedup_lines(documents(spark, ["x" * 30]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_equal_short_lines_go_if_asked(spark):
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_td_key", "_td_gone", "_td_row", "_td_may", "_td_word", "row", "doc", "gone", "id", "key", "lines", "a.b", "t`ick", "h"]
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    docs = documents(spark, ["one line\nand a footer", "two line\nand a footer", None]).selectExpr("*", *[f"'{i}' AS {n}" for i, n in enumerate(quoted)])
+    rows = dedup_lines(docs).collect()
+    assert sorted(r.text or "" for r in rows) == ["", "one line\nand a footer", "two line"]
+    assert all(tuple(r)[5:-1] == tuple(str(i) for i in range(len(names))) for r in rows) and dedup_lines(docs).columns == [*docs.columns, "removed_lines"]
+    with pytest.raises(ValueError):
+        dedup_lines(docs.selectExpr("*", "1 AS Removed_Lines"))
+
+
+def test_equal_short_lines_go(spark):
     texts = ["Les.\n\nfirst", "Les.\n\nother\n \t\n}", "Lес.\nLes\n}\n \t\n", "Les.", "a line of more than twenty characters\nLes.\nx", "a line of more than twenty characterS\nx"]
-    rows = {r.doc_id: r for r in dedup_lines(documents(spark, texts), shortest=1).collect()}
+    rows = {r.doc_id: r for r in dedup_lines(documents(spark, texts)).collect()}
     assert [rows[i].text for i in range(6)] == ["Les.\n\nfirst", "\nother\n \t\n}", "Lес.\nLes\n \t\n", "", "a line of more than twenty characters\nx", ""]
     assert [rows[i].removed_lines for i in range(6)] == [0, 1, 1, 1, 1, 2]
 

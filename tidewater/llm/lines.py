@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import column, scratch, stored, table
 
-#: Shorter lines (list marks, headings, "Chapter 2") take no part in the one-edit join; whether equal ones go is up to the caller.
-SHORTEST = 20
+#: Shorter lines (list marks, headings, "Chapter 2") take no part in the one-edit join: among them an edit makes another line.
+NEAR_FROM = 20
 #: Blocks of the first level and of each further one.
 COARSE, FINE = 2, 8
 #: Blocks of at most so many characters are taken character by character.
@@ -26,9 +26,10 @@ SINGLE = 64
 FILTER_BITS = 24
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, shortest: int = SHORTEST) -> DataFrame:
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return lines.withColumn("n", F.length("line")).where((F.col("n") >= SHORTEST) | ((F.col("n") >= shortest) & F.col("line").rlike(r"\S")))
+def _lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
+    """The lines that may go: those that are not blank, and blank ones of ``near_from`` characters or more."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.length("line"))
+    return lines.where((F.col("n") >= near_from) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _variants(key: Column, inner: Column, extra: Column, length: Column, blocks: int) -> list[Column]:
@@ -47,7 +48,7 @@ def _variants(key: Column, inner: Column, extra: Column, length: Column, blocks:
     ]
 
 
-def _profile(lines: DataFrame) -> DataFrame:
+def _profile(lines: DataFrame, near_from: int) -> DataFrame:
     """A row per line without its text: two hashes of it, and the keys of its first-level variants.
 
     A line has its variants twice: as a line of its length, and as one that is a
@@ -57,7 +58,7 @@ def _profile(lines: DataFrame) -> DataFrame:
     for extra in (0, 1):
         length = F.col("n") - extra
         keys += [v["key"] for v in _variants(length.cast("long"), F.col("line"), F.lit(extra), length, COARSE)]
-    keys = F.when(F.col("n") >= SHORTEST, F.array(*keys))
+    keys = F.when(F.col("n") >= near_from, F.array(*keys))
     return lines.select("doc_id", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
 
 
@@ -84,7 +85,7 @@ def _thinned(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return _flagged(rows, keys).where("_td_may").drop("_td_may")
 
 
-def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def near_lines(profile: DataFrame, docs: DataFrame) -> DataFrame:
     """``h, h2, kept``: the lines with an earlier one within an edit, and the earliest such (doc_id, line_no) met."""
     variants = profile.select("doc_id", "line_no", "n", "h", "h2", F.posexplode("keys").alias("i", "key"))
     shared = stored(_shared(variants))
@@ -92,8 +93,8 @@ def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     # equal lines fold into their first occurrence; only of these is the text fetched, once a line
     rows = stored(rows.groupBy("key", "i", "n", "h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos")))
     wanted = rows.select("h", "h2", "pos").distinct()
-    some = _thinned(docs.withColumn("key", F.xxhash64(F.col(doc_id))), wanted.select(F.xxhash64("pos.doc_id").alias("key")))
-    some = _thinned(_lines(some, doc_id, text).withColumn("key", F.xxhash64("doc_id", "line_no")), wanted.select(F.xxhash64("pos.doc_id", "pos.line_no").alias("key")))
+    some = _thinned(docs.withColumn("key", F.xxhash64("doc_id")), wanted.select(F.xxhash64("pos.doc_id").alias("key")))
+    some = _thinned(_lines(some).withColumn("key", F.xxhash64("doc_id", "line_no")), wanted.select(F.xxhash64("pos.doc_id", "pos.line_no").alias("key")))
     text_of = some.select("doc_id", "line_no", "line")
     found = wanted.join(text_of, F.col("pos.doc_id").eqNullSafe(text_of["doc_id"]) & (F.col("pos.line_no") == text_of["line_no"])).where(F.xxhash64("line") == F.col("h"))
     texts = stored(found.groupBy("h", "h2").agg(F.min("line").alias("line")))
@@ -133,54 +134,61 @@ def near_lines(profile: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     return met.groupBy("h", "h2").agg(F.min("other.pos").alias("kept"))
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_from: int = NEAR_FROM) -> DataFrame:
     """``doc_id, line_no, kept_doc, kept_line``: every line that goes, and an earlier one that stands for it.
 
-    Lines are parted at ``\\n`` and counted from 0; lines of under 20 characters are within
-    one edit of none.  Equal lines count from 20 characters on, or from ``shortest`` on
-    if they are not blank.  Of equal lines the first stays, in the order of (doc_id, line_no); it goes too
-    if a line within one edit comes before it.  The input decides, not what is left of
-    it: a line may go because of one that goes itself.
+    Lines are parted at ``\\n`` and counted from 0.  A line goes if an equal one comes
+    before it in the order of (doc_id, line_no), however short it is, unless it is blank;
+    from ``near_from`` characters on it also goes if an earlier line of so many characters
+    is within one edit.  The input decides, not what is left of it: a line may go because
+    of one that goes itself.
 
     A null or empty text has no such line; a null id comes first; rows of one id and
     line number are told apart by nothing, so equal lines there are one.  An empty table
-    gives no rows.
+    gives no rows; other columns are not looked at, whatever their names.
     """
-    lines = stored(_profile(_lines(docs, doc_id, text, shortest)))
-    firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"))
-    near = near_lines(lines.where(F.col("n") >= SHORTEST), docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text")
-    decided = stored(firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL").select("h", "h2", "first", "kept"))
-    rows = lines.select("doc_id", "line_no", "h", "h2", F.col("h").alias("key"))
-    rows = _thinned(rows, decided.select(F.col("h").alias("key"))).drop("key").join(decided, ["h", "h2"])
-    again = F.struct("doc_id", "line_no") > F.col("first")
-    gone = rows.where(again | F.col("kept").isNotNull())
-    earlier = F.when(F.col("kept").isNull(), F.col("first")).otherwise(F.least("first", "kept"))
-    return gone.select("doc_id", "line_no", earlier["doc_id"].alias("kept_doc"), earlier["line_no"].alias("kept_line"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    docs = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    with scratch() as keep:
+        lines = stored(_profile(_lines(docs, near_from), near_from))
+        firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"))
+        near = near_lines(lines.where(F.col("n") >= near_from), docs)
+        decided = stored(firsts.join(near, ["h", "h2"], "left").where("c > 1 OR kept IS NOT NULL").select("h", "h2", "first", "kept"))
+        rows = lines.select("doc_id", "line_no", "h", "h2", F.col("h").alias("key"))
+        rows = _thinned(rows, decided.select(F.col("h").alias("key"))).drop("key").join(decided, ["h", "h2"])
+        again = F.struct("doc_id", "line_no") > F.col("first")
+        gone = rows.where(again | F.col("kept").isNotNull())
+        earlier = F.when(F.col("kept").isNull(), F.col("first")).otherwise(F.least("first", "kept"))
+        return keep(stored(gone.select("doc_id", "line_no", earlier["doc_id"].alias("kept_doc"), earlier["line_no"].alias("kept_line"))))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_from: int = NEAR_FROM) -> DataFrame:
     """The rows of ``docs`` with their duplicate lines taken out of ``text``, and a last column ``removed_lines`` (count).
 
     All other columns and all rows stay; a text that loses every line becomes empty, a
     null one stays null.  Rows are told apart by id and text, those of one id in the order
-    of a hash of the text; rows that are equal in both are treated alike.  A column that
-    already is named ``removed_lines`` is refused.
+    of a hash of the text; rows that are equal in both are treated alike.  Columns may have
+    any names but ``removed_lines`` (in any case), which is refused; an empty table gives no
+    rows.  Only the numbers of the lines that go stay in the shared folder.
     """
-    if "removed_lines" in docs.columns:
+    if "removed_lines" in map(str.lower, docs.columns):
         raise ValueError("the documents already have a column removed_lines")
     # by id alone, what goes from one text would go from every other text of that id
-    row = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
-    rows = docs.select(row.alias("_td_row"), F.col(f"`{text}`").alias("_td_text"))
-    gone = stored(duplicate_lines(rows, "_td_row", "_td_text", shortest).groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_set("line_no").alias("_td_gone")))
+    row = F.struct(column(doc_id).alias("id"), F.xxhash64(column(text)).alias("t"))
+    # the documents' columns travel in one struct, so that none of theirs meets one of ours
+    whole = docs.select(row.alias("row"), F.struct(*[column(c).alias(c) for c in docs.columns]).alias("doc"))
+    with scratch() as keep:
+        found = duplicate_lines(docs.select(row.alias("doc_id"), column(text).alias("text")), near_from=near_from)
+        gone = keep(stored(found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("gone"))))
     # only documents that may lose a line move; one plan at every size, for what goes grows with the corpus
-    keyed = _flagged(docs.withColumns({"_td_row": row, "_td_key": F.xxhash64(row)}), gone.select(F.xxhash64("_td_id").alias("key")), "_td_key")
-    both = keyed.where("_td_may").join(gone.hint("merge"), F.col("_td_row").eqNullSafe(F.col("_td_id")), "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_td_gone"))
-    cut = F.when(F.col("_td_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_td_lines"), i)), "\n"))
-    columns = [cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    some = both.withColumn("_td_lines", lines).select(*columns, F.coalesce(F.size("_td_gone"), F.lit(0)).cast("long").alias("removed_lines"))
-    return some.union(keyed.where("NOT _td_may").select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("removed_lines")))
+    keyed = _flagged(whole.withColumn("key", F.xxhash64("row")), gone.select(F.xxhash64("id").alias("key")))
+    both = keyed.where("_td_may").join(gone.hint("merge"), F.col("row").eqNullSafe(F.col("id")), "left")
+    body = F.col("doc").getField(text)
+    both = both.withColumn("lines", F.split(body, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    cut = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
+    fields = lambda new: [new.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    some = both.select(*fields(cut), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"))
+    return some.union(keyed.where("NOT _td_may").select(*fields(body), F.lit(0).cast("long").alias("removed_lines")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +200,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH parted AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 each AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS no FROM parted),
-long AS (SELECT * FROM each WHERE length(l) >= 20),
-firsts AS (SELECT l, length(l) AS n, min((doc_id, no)) AS pos FROM long GROUP BY l),
+taken AS (SELECT * FROM each WHERE length(l) >= 20 OR regexp_matches(l, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT l, length(l) AS n, min((doc_id, no)) AS pos FROM taken GROUP BY l),
 forms AS (
-  SELECT l, n, pos, n AS ref FROM firsts UNION ALL SELECT l, n, pos, n - 1 FROM firsts
+  SELECT l, n, pos, n AS ref FROM firsts WHERE n >= 20 UNION ALL SELECT l, n, pos, n - 1 FROM firsts WHERE n >= 20
 ), halves AS (SELECT *, left(l, (ref // 2)::BIGINT) AS pre, right(l, (ref - ref // 2)::BIGINT) AS suf FROM forms),
 pairs AS (
   SELECT a.l AS x, b.l AS y FROM halves a JOIN halves b ON a.ref = b.ref AND a.pre = b.pre AND a.n = a.ref AND a.l <> b.l
