@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import SCHEMA, awkward
 
-from tidewater.llm.langid import UNDETERMINED, Trigrams, fit, held_out, identify, trigrams_of
+from tidewater.llm.langid import UNDETERMINED, Trigrams, fit, held_out, identify, score_floor, trigrams_of
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "ru", "so"], "bb": ["str", "enz", "ach", "ung", "wer"], "cc": ["ção", "inho", "que", "ões", "lha"]}
 
@@ -61,18 +61,32 @@ def test_bundles_against_letters_one_by_one():
 
 
 def test_awkward_rows(spark):
-    docs = awkward(spark, ["123 456", "...", "kato"])
+    docs = awkward(spark, ["123 456", "...", "kato", "\u0301", "1\u0301 2"])
     profiles = fit(_labelled(spark, 100))
     rows = identify(docs, profiles).collect()
     assert len(rows) == docs.count()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert [by[i].lang_pred for i in (0, 1, 2, 9, 10)] == [UNDETERMINED] * 5 and by[0].score == 0
-    assert by[11].lang_pred == "aa"
+    assert by[11].lang_pred == "aa" and by[12].lang_pred == by[13].lang_pred == UNDETERMINED
     carried = identify(docs, profiles, carry=docs.columns)
     assert carried.columns == [*docs.columns, "lang_pred", "score"] and carried.count() == docs.count()
     with pytest.raises(ValueError):
         identify(docs.selectExpr("*", "1 AS score"), profiles, carry=["doc_id", "text", "score"])
+    clash = identify(docs.selectExpr("*", "1 AS score", "2 AS `a.b`"), profiles, carry=["text", "score", "a.b"], names=("p", "q"))
+    assert clash.columns == ["text", "score", "a.b", "p", "q"] and {(r.score, r["a.b"]) for r in clash.collect()} == {(1, 2)}
     empty = spark.createDataFrame([], SCHEMA)
     nothing = fit(empty)
     assert nothing.languages == [] and identify(empty, nothing).count() == 0
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {UNDETERMINED}
+
+
+def test_floor_parts_labelled_texts_from_noise(spark):
+    docs = _labelled(spark)
+    profiles = fit(docs)
+    floor = score_floor(docs, profiles)
+    own = identify(docs, profiles).collect()
+    rng = random.Random(4)
+    noise = spark.createDataFrame([(i, "".join(rng.choices("qxjvyzфждшюя", k=80)), None, None, None) for i in range(30)], SCHEMA)
+    assert 0 < floor <= 0.51 * max(r.score for r in own) and all(r.score >= floor for r in own)
+    assert all(r.score < floor for r in identify(noise, profiles).collect())
+    assert score_floor(docs.where("false"), profiles) == 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, table
+from .common import column, short_batches, slices, table
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -32,7 +32,11 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letter_codes() -> np.ndarray:
-    """Code of every code point: 0 for what is no letter, else 1 to 1023 by its lower case."""
+    """Code of every code point: 0 for what is no letter, else 1 to 1023 by its lower case.
+
+    Combining marks have codes too, for they tell languages apart, but are no letters:
+    see :func:`is_letter`.
+    """
     if not _LETTERS:
         codes = np.zeros(sys.maxunicode + 1, np.uint16)
         for cp in range(sys.maxunicode + 1):
@@ -46,6 +50,16 @@ def letter_codes() -> np.ndarray:
     return _LETTERS[0]
 
 
+_ALPHABET: list[np.ndarray] = []
+
+
+def is_letter() -> np.ndarray:
+    """Whether each code point is a letter (``str.isalpha``)."""
+    if not _ALPHABET:
+        _ALPHABET.append(np.fromiter((chr(cp).isalpha() for cp in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+    return _ALPHABET[0]
+
+
 class Trigrams:
     """Trigram vectors, bound on demand and kept up to a bound."""
 
@@ -97,8 +111,8 @@ def trigrams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     start[:1] = True
     gap = codes == 0
     double = gap & np.concatenate([[False], gap[:-1]]) & ~start
+    lettered = np.bincount(which[is_letter()[cps]], minlength=len(texts)) > 0
     codes, which, gap = codes[~double], which[~double], gap[~double]
-    lettered = np.bincount(which[~gap], minlength=len(texts)) > 0
     # a gap before the first letter comes from the text before, whose end is a gap
     codes = np.concatenate([[0], codes, [0]])
     ids = (codes[:-2] << 20) | (codes[1:-1] << 10) | codes[2:]
@@ -131,7 +145,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     by a hash of id and text; their whole texts are bundled in the tasks, and the driver
     receives one vector per language.
     """
-    rows = short_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = short_batches(docs).select(column(doc_id).alias("doc_id"), column(text).alias("text"), column(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -158,37 +172,55 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Profiles(languages, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
-def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every document (after the columns of ``carry``, if named).
+def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every document (after the columns of ``carry`` in place of the id, if given).
 
     ``score`` is the greatest cosine, cut to 0..1; of equal ones the language first in
     the alphabet wins.  A text that is null, empty or without letters, or any text when
     nothing was learned, is ``und`` with score 0.  Ids may be null or repeat; an empty
-    table gives no rows.
+    table gives no rows.  ``names`` are those of the two new columns; a carried column
+    of such a name (in any case) is refused.
     """
-    if carry and {"lang_pred", "score"} & set(carry):
-        raise ValueError("the columns lang_pred and score cannot be carried")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) if carry is None else docs.select(*carry)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields if carry is not None or f.name == 'doc_id')}, lang_pred string, score double"
-    body, names, known = ("text" if carry is None else text), profiles.languages, profiles.vectors
+    if carry and {n.lower() for n in names} & {c.lower() for c in carry}:
+        raise ValueError(f"the columns {names} cannot be carried")
+    # Python is given names of our own: those of a table may have dots
+    taken = [column(doc_id)] if carry is None else [column(c) for c in carry]
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(taken)], column(text).alias("text"))
+    kept = [f"c{i}" for i in range(len(taken))]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "pred string", "score double"])
+    languages, known = profiles.languages, profiles.vectors
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Trigrams()
-        for batch in slices(batches, body):
-            which, ids, n, lettered = trigrams_of(batch.column(body).to_pylist())
+        for batch in slices(batches, "text"):
+            which, ids, n, lettered = trigrams_of(batch.column("text").to_pylist())
             grams.learn(np.unique(ids))
             bounds = np.searchsorted(which, np.arange(batch.num_rows + 1))
             pred, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            if names:
+            if languages:
                 for d in np.flatnonzero(lettered):
                     v = grams.bundle(ids[bounds[d] : bounds[d + 1]], n[bounds[d] : bounds[d + 1]])
                     cosines = known @ v / max(float(np.linalg.norm(v)), 1e-9)
                     best = int(np.argmax(cosines))
-                    pred[d], score[d] = names[best], min(max(float(cosines[best]), 0.0), 1.0)
-            kept = [c for c in batch.schema.names if carry is not None or c == "doc_id"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                    pred[d], score[d] = languages[best], min(max(float(cosines[best]), 0.0), 1.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(score)], [*kept, "pred", "score"])
+
+    return rows.mapInArrow(predict, schema).toDF(*(["doc_id"] if carry is None else carry), *names)
+
 
-    return rows.mapInArrow(predict, schema)
+def score_floor(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", share: float = 0.001, of_it: float = 0.5, sample: int = 20000) -> float:
+    """A score under which a text resembles no learned language: ``of_it`` times the score that all but ``share`` of the labelled texts reach.
+
+    About ``sample`` labelled texts, chosen by a hash of the text, are scored (all, if
+    fewer); without labelled texts the floor is 0.
+    """
+    labelled = docs.select(column(text).alias("text"), column(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = labelled.count() if profiles.languages else 0
+    if not known:
+        return 0.0
+    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < sample / known)
+    scored = identify(chosen.select("text", "lang"), profiles, doc_id="lang").where(F.col("lang_pred") != UNDETERMINED)
+    return of_it * (scored.agg(F.percentile_approx("score", F.lit(share), F.lit(10000))).first()[0] or 0.0)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
