@@ -1,6 +1,6 @@
 """Benchmark decontamination (operator 8): rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items that few documents have are the seeds.  Where a document
+The word n-grams of each part of a test item that the fewest documents have are its seeds.  Where a document
 meets a seed, the passage around it is aligned with the item word by word; the score
 is the alignment's share of what a verbatim copy would get, so edited and paraphrased
 copies score as far as they follow the item.
@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, table
+from .common import column, short_batches, slices, table
 from .textkit import windows_of, words_of
 
 SEED_WORDS = 3
-#: A seed is rare if at most so many documents, or this share of all, have it; an item's rarest seeds count anyway.
-RARE, RARE_SHARE, RAREST = 100, 1e-3, 24
+#: Of every STRETCH seeds in a row of an item, the RAREST that the fewest documents have search.  Only the order of the
+#: counts matters, so an item searches with as many seeds whatever the size of the corpus, and each part of it is covered.
+STRETCH, RAREST = 8, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score, as a share of a verbatim copy's, from which a document counts as contaminated.
 LEAST = 0.5
@@ -64,18 +65,18 @@ class Items:
         self.seeds, self.at = h[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
 
-    def keep(self, distinct: np.ndarray, counts: np.ndarray, documents: int) -> None:
-        """Keep the seeds that occur and are rare, or among their item's rarest that occur."""
+    def keep(self, distinct: np.ndarray, counts: np.ndarray) -> None:
+        """Keep the seeds that occur and are among the rarest of their stretch of the item."""
         df = np.zeros(len(self.seeds), np.int64)
         if len(distinct):
             at = np.minimum(np.searchsorted(distinct, self.seeds), len(distinct) - 1)
             df = np.where(distinct[at] == self.seeds, counts[at], 0)
+        stretch = (self.item << 32) + (self.at - self.first[self.item]) // STRETCH
         met = df > 0
-        self.seeds, self.at, self.item, df = self.seeds[met], self.at[met], self.item[met], df[met]
-        order = np.lexsort((self.seeds, df, self.item))
+        order = np.lexsort((self.seeds, np.where(met, df, np.iinfo(np.int64).max), stretch))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        good = (df <= max(RARE, RARE_SHARE * documents)) | (rank < RAREST)
+        rank[order] = np.arange(len(order)) - np.searchsorted(stretch[order], stretch[order])
+        good = met & (rank < RAREST)
         self.seeds, self.at, self.item = self.seeds[good], self.at[good], self.item[good]
 
     def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +153,9 @@ def _matches(batch: pa.RecordBatch, items: Items, least: float) -> dict[tuple[in
 
 def _shared_parts(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
     """Broadcast each part of the benchmark with the seeds that are rare over all documents."""
-    context, documents = rows.sparkSession.sparkContext, short_batches(rows).count()
-    for items in _parts(benchmark.select(item_id, item_text)):
-        items.keep(*_seed_counts(rows, context.broadcast(items)), documents)
+    context = rows.sparkSession.sparkContext
+    for items in _parts(benchmark.select(column(item_id), column(item_text))):
+        items.keep(*_seed_counts(rows, context.broadcast(items)))
         yield context.broadcast(items)
 
 
@@ -169,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     and takes no part.  Ids may be null; repeated documents or items each give their
     rows; an empty table on either side gives no rows.  Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = short_batches(docs).select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString())
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start long, end long, seeds long"
 
@@ -194,19 +195,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
     Rows are judged where they are read: none moves.
     """
-    rows = docs.select(F.col(f"`{text}`").alias("text"))
+    rows = short_batches(docs).select(column(text).alias("text"))
+
+    # Python is given names of our own: those of a table may have dots
+    names, body = docs.columns, f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text):
-                bad = {d for d, _ in _matches(pa.RecordBatch.from_arrays([batch.column(text)], ["text"]), shared.value, least)}
+            for batch in slices(batches, body):
+                bad = {d for d, _ in _matches(pa.RecordBatch.from_arrays([batch.column(body)], ["text"]), shared.value, least)}
                 yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))
 
         return run
 
     for shared in _shared_parts(rows, benchmark, item_id, item_text):
         docs = docs.mapInArrow(keep(shared), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
