@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column, short_batches, table
 
 #: Scaled components are 64-bit integers, in the SQL form too; one that is not below this has no such form.
 BEYOND = float(1 << 63)
@@ -27,10 +28,10 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     nor does one with a component whose scaled form has no 64-bit integer.  Rows that
     share an id all stay if their vectors differ; equal ones are one.
     """
-    wide = F.transform(F.col(vector), lambda x: x.cast("double"))
+    wide = F.transform(column(vector), lambda x: x.cast("double"))
     good = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < BEYOND))
     return (
-        vectors.select(F.col(vec_id).alias("vec_id"), wide.alias("_w"))
+        vectors.select(column(vec_id).alias("vec_id"), wide.alias("_w"))
         .where(F.col("vec_id").isNotNull() & F.col("_w").isNotNull() & good)
         .select("vec_id", F.transform("_w", lambda x: F.floor(x * scale).cast("long")).alias("q"))
         .distinct()
@@ -92,7 +93,7 @@ def best_of_tile(dim: int, block_ids, block, shard_ids, shard, k: int) -> tuple[
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 1024, fan_in: int = 32) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16384, block_rows: int = 64, fan_in: int = 32, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k rows of the greatest inner product.
 
     Both inputs have ``vec_id, q`` as from :func:`quantised`; ties go to the smaller
@@ -101,27 +102,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     of components do not meet.  A query without partners has no rows; an empty table
     gives none.  A score that leaves 64 bits is an error.
 
-    ``shard_rows`` and ``block_rows`` set the expected rows of a tile's sides (ids
-    are dealt by hash, so no side grows with the table).  Every query meets every
-    shard; what moves is one copy of a block for each shard.
+    ``shard_rows`` and ``block_rows`` set the expected rows of a tile's sides (rows are
+    dealt by a hash of id and vector, so no side grows with the table or with one id);
+    ``sizes`` saves counting the rows of the two inputs.  A shard moves once and stays in its task's memory; a copy of every
+    block streams past each shard, so what moves is the queries times the shards.
     """
-    n, m = vectors.count(), queries.count()
+    n, m = sizes or (vectors.count(), queries.count())
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    shard = _packed(vectors, deal(shards), "shard")
-    block = _packed(queries, deal(blocks), "block")
-    tiles = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(shard, ["dim", "shard"])
-    tiles = tiles.repartition(max(shards * blocks, 1), "shard", "block")
-
-    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for t in pdf.itertuples(index=False):
-                own, ids = np.frombuffer(t.block_ids, np.int64), np.frombuffer(t.shard_ids, np.int64)
-                a, b = _matrix(t.block_m, len(own), t.dim), _matrix(t.shard_m, len(ids), t.dim)
-                query, vec, score = best_of_tile(t.dim, own, a, ids, b, k)
-                yield pd.DataFrame({"query_id": query, "vec_id": vec, "score": score, "part": np.int32(t.shard)})
-
-    best = tiles.select("dim", "shard", "block_ids", "block_m", "shard_ids", "shard_m").mapInPandas(multiply, "query_id long, vec_id long, score long, part int")
+    deal = lambda count: F.pmod(F.xxhash64("vec_id", "q"), F.lit(count)).cast("int")
+    shard = _packed(vectors, deal(shards), "shard").select("dim", "shard", F.lit(-1).alias("block"), F.col("shard_ids").alias("ids"), F.col("shard_m").alias("m"))
+    block = _packed(queries, deal(blocks), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = short_batches(shard.unionByName(block.select("dim", "shard", "block", F.col("block_ids").alias("ids"), F.col("block_m").alias("m"))))
+    both = both.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, matrix = None, None, None
+        for batch in batches:
+            for dim, at, no, own, m in zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "block", "ids", "m"))):
+                own = np.frombuffer(own, np.int64)
+                if no < 0:  # a shard comes before its blocks
+                    held, ids, matrix = (dim, at), own, _matrix(m, len(own), dim)
+                elif held == (dim, at):  # else no vector of the shard has so many components
+                    query, vec, score = best_of_tile(dim, own, _matrix(m, len(own), dim), ids, matrix, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (query, vec, score)] + [pa.array(np.full(len(query), at, np.int32))], ["query_id", "vec_id", "score", "part"])
+
+    best = both.mapInArrow(multiply, "query_id long, vec_id long, score long, part int")
     entry = F.struct((-F.col("score")).alias("low"), "vec_id")
     lists = best.groupBy("query_id", F.floor(F.col("part") / fan_in).alias("part")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
     width = -(-shards // fan_in)
@@ -135,8 +140,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector's five best partners among all vectors."""
-    rows = quantised(table(spark, sf_dir, "embeddings"))
-    return top_k(rows, rows.where("vec_id % 50 = 0"))
+    every = table(spark, sf_dir, "embeddings")
+    sizes = (every.count(), every.where("vec_id % 50 = 0").count())
+    rows = quantised(every)
+    return top_k(rows, rows.where("vec_id % 50 = 0"), sizes=sizes)
 
 
 ORACLE = """
