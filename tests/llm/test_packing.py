@@ -8,7 +8,7 @@ from helpers import SCHEMA, awkward, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.packing import assign, pack
+from tidewater.llm.packing import added_tokens, assign, pack
 
 
 def _reference_ids(text):
@@ -16,13 +16,12 @@ def _reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 def test_every_id_lies_in_one_piece(spark):
     docs = awkward(spark, ["plain text " * 900, "don't <|endoftext|> 123,456\n\n\tx"])
-    got = pack(docs, with_ids=True, block_tokens=5000).collect()
+    got = pack(docs, with_ids=True, block_tokens=5000, added=added_tokens()).collect()
     texts = defaultdict(list)
     for r in docs.collect():
         texts[r.doc_id].append(r.text)

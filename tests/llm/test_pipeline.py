@@ -80,3 +80,47 @@ def test_unlabelled_corpus_keeps_its_texts(spark, folder, stages):
     path, texts = folder
     docs = documents(spark, texts).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
     assert {r.doc_id for r in stages["language id"](spark, docs, path).collect()} == set(range(67)) - {60, 61, 62}
+
+
+def test_extra_columns_of_any_name_are_carried(spark, folder, stages):
+    path, texts = folder
+    names = ["lang_pred", "score", "removed_lines", "key", "doc", "_td_key", "goes", "id", "a.b", "group"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *[f"'{i}' AS `{n}`" for i, n in enumerate(names)])
+    for name, stage in list(stages.items())[:-1]:
+        got = stage(spark, docs, path)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert len(rows) > 50 and all(tuple(r)[5:] == tuple(str(i) for i in range(len(names))) for r in rows), name
+    assert stages["packing"](spark, docs, path).count() > 60
+
+
+def _brute(texts, item):
+    """The pipeline in plain Python, for labelled texts: which documents stay, and their texts."""
+    from test_lines import _brute as lines_gone
+    from test_ngramjoin import _brute as components_of
+
+    from tidewater.llm.decontaminate import LEAST, MATCH
+    from test_decontaminate import _score
+
+    left = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    gone = lines_gone(sorted(left.items()))
+    cut = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in left.items()}
+    cut = {i: t for i, t in cut.items() if t}
+    order = sorted(cut)
+    groups = components_of([cut[i] for i in order])
+    cut = {i: cut[i] for k, i in enumerate(order) if groups[k][1] == k}
+    return {i: t for i, t in cut.items() if _score(item.split(), t.lower().split()) < LEAST * MATCH * len(item.split())}
+
+
+def test_whole_pipeline_against_brute_force(spark, folder):
+    import zlib
+
+    import numpy as np
+    from test_packing import _reference_ids
+
+    path, texts = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    want = {i: [len(_reference_ids(t)), zlib.crc32(_reference_ids(t).tobytes())] for i, t in _brute(texts, item).items()}
+    got = corpus_pipeline.run(spark, path).collect()
+    assert {r.doc_id: [r.doc_tokens, r.ids_crc32] for r in got if r.length == r.doc_tokens} == want
+    assert len(got) == len(want) and sum(r.length for r in got) == np.sum([n for n, _ in want.values()])

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import short_batches, slices, table
+from .common import column, short_batches, slices, table
 
 #: Attention cost of n tokens of one document: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -138,7 +137,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         if block:
             yield packed(block, first)
 
-    return short_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return short_batches(docs).select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(run, schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
