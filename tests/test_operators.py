@@ -146,21 +146,57 @@ def test_tranche_book_by_hand(spark):
     assert [round(r.ret, 6) for r in got] == [0.05, round((0.55 + 0.25) / 1.05 - 1, 6)] and got[0].bought == 0.5
 
 
+def test_tranche_book_is_worth_what_its_names_are(spark):
+    rng = np.random.default_rng(4)
+    opens = [(d, k, float(rng.uniform(8, 12))) for d in range(16) for k in "abcde" if rng.random() < 0.85]
+    picks = [("x", d, str(k)) for d in range(1, 15) if d != 6 for k in rng.choice(list("abcde"), 2, replace=False)]
+    px, h = {(d, k): p for d, k, p in opens}, 3
+    seen = lambda k, d, s: [px[q, k] for q in range(s, d + 1) if (q, k) in px][-1]
+    worth = lambda t, d: {k: t[1] / len(t[2]) * seen(k, d, t[0]) / px[t[0], k] for k in t[2]}
+    live, cash, want = [], 1.0, {}
+    for d in range(1, 15):
+        money = sum(worth(live.pop(0), d).values()) if len(live) == h else 1 / h
+        cash -= 1 / h if d - 1 < h else 0
+        names = [k for _, s, k in picks if s == d and (d, k) in px]
+        cash, money = (cash, money) if names else (cash + money, 0.0)
+        live.append((d, money, names))
+        total = lambda day: cash + sum(v for t in live for v in worth(t, day).values())  # noqa: B023, E731
+        want[d] = (total(d + 1) / total(d) - 1, len({k for t in live for k in t[2]}))
+    got = books.tranche_book(spark.createDataFrame(picks, "arm string, session_idx int, key string"), spark.createDataFrame(opens, "session_idx int, key string, open double"), h=h).collect()
+    assert {r.session_idx for r in got} == set(want)
+    for r in got:
+        assert r.ret == pytest.approx(want[r.session_idx][0], abs=1e-12) and r.positions == want[r.session_idx][1]
+
+
 def test_sequential_book_caps(spark):
-    rows = [("s", "d", i, i, 100, 0.0, "x" if i < 3 else f"y{i}", 100.0, -10.0) for i in range(8)]
-    df = spark.createDataFrame(rows, "strategy string, session string, trade_id long, entry_at long, exit_at long, priority double, sector string, risk double, net double")
-    got = {r.trade_id: r.skip for r in books.sequential_book(df, 100_000.0, max_open=4).collect()}
-    assert got == {0: None, 1: None, 2: "CAP_SECTOR", 3: None, 4: None, 5: "CAP_OPEN", 6: "CAP_OPEN", 7: "CAP_OPEN"}
+    schema = "strategy string, session string, trade_id long, entry_at long, exit_at long, priority double, sector string, qty long, risk double, net double, exit_reason string, halt_after_stop boolean"
+    rows = [("s", "d", i, i, 100, 0.0, "x" if i < 3 else f"y{i}", 5, 100.0, -10.0, "TIME", False) for i in range(8)]
+    got = {r.trade_id: r.skip for r in books.sequential_book(spark.createDataFrame(rows, schema), 100_000.0, max_open=4).collect()}
+    assert got == {0: None, 1: None, 2: "CAP_SECTOR", 3: None, 4: None, 5: "CAP_OPEN_RISK", 6: "CAP_OPEN_RISK", 7: "CAP_OPEN_RISK"}
+    rows = [("s", "d", 1, 1, 5, 0.0, "a", 5, 1.0, -10.0, "STOP", True), ("s", "d", 2, 2, 9, 0.0, "a", 0, 1.0, 1.0, "TIME", True), ("s", "d", 3, 3, None, 0.0, "b", 1, 1.0, 1.0, "TIME", True), ("s", "d", 4, 6, 9, 0.0, "b", 1, 1.0, 1.0, "TIME", True)]
+    rows += [("t", "d", 5, 1, 2, 0.0, "a", 1, 1.0, -3000.0, "TIME", False), ("t", "d", 6, 3, 4, 0.0, "b", 1, 1.0, 1.0, "TIME", False)]
+    got = {r.trade_id: (r.skip, r.net) for r in books.sequential_book(spark.createDataFrame(rows, schema), 100_000.0).collect()}
+    assert got == {1: (None, -10.0), 2: ("CAP_LIQUIDITY", 0.0), 3: ("NO_INTRADAY_BARS", 0.0), 4: ("HALT_FIRST_STOP", 0.0), 5: (None, -3000.0), 6: ("HALT_DAILY", 0.0)}
 
 
-def test_statistics_against_numpy(spark):
+def test_resampled_intervals(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0.2, 1, 80)
-    low, high = stats.block_bootstrap(x, 500, 5, 0.9, 1)
-    assert low < x.mean() < high and stats.block_bootstrap(x, 500, 5, 0.9, 1) == (low, high)
-    a, b = stats.sign_flip(x, 999, 0.9, 1)
-    assert a < x.mean() < b and all(math.isnan(v) for v in stats.sign_flip([1.0]))
-    assert stats.newey_west_t([1.0, 2.0]) is None and stats.newey_west_t(x, 0) == pytest.approx(x.mean() / math.sqrt(x.var() / 80))
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(x)] + [("flat", i, 2.0) for i in range(20)] + [("one", 0, 1.0)], "g string, i int, x double")
+    error = x.std(ddof=1) / math.sqrt(80)
+    for f in (stats.block_bootstrap, stats.studentized_interval):
+        got = {r.g: (r.low, r.high) for r in f(df, ["g"], "i", "x", 400, 5, 0.9, 1).collect()}
+        assert set(got) == {"g", "flat"} and got["flat"] == pytest.approx((2.0, 2.0))
+        assert abs(got["g"][0] - (x.mean() - 1.645 * error)) < error and abs(got["g"][1] - (x.mean() + 1.645 * error)) < error
+        assert got == {r.g: (r.low, r.high) for r in f(df.repartition(7), ["g"], "i", "x", 400, 5, 0.9, 1).collect()}
+    low, high = next((r.low, r.high) for r in stats.sign_flip_interval(df, ["g"], "i", "x", 400, 0.9, 1).collect() if r.g == "g")
+    assert abs(low - (x.mean() - 1.645 * error)) < 0.5 * error and abs(high - (x.mean() + 1.645 * error)) < 0.5 * error
+    t = {r.g: r.nw_t for r in stats.newey_west(df, ["g"], "i", "x", 0).collect()}
+    assert t["one"] is None and t["flat"] is None and t["g"] == pytest.approx(x.mean() / math.sqrt(x.var() / 80))
+
+
+def test_statistics_against_numpy(spark):
+    rng = np.random.default_rng(3)
     m = rng.normal(size=(200, 2))
     y = m @ np.array([1.5, -2.0]) + rng.normal(0, 0.01, 200)
     df = spark.createDataFrame([(float(p), float(q), float(r)) for (p, q), r in zip(m, y)], "a double, b double, y double")

@@ -181,87 +181,89 @@ def zones(bars: DataFrame, lookback: int = 120, half: int = 2, tolerance: float
     return p.groupBy("key").applyInPandas(cluster, "key string, zone double, touches long")
 
 
-BOOK_SCHEMA = "strategy string, trade_id long, taken boolean, skip string, net double"
-
-
 def sequential_book(candidates: DataFrame, equity: float, max_open: int = 5, sector_cap: int = 2, open_risk: float = 0.02, daily_loss: float = 0.02) -> DataFrame:
-    """Admit candidates of each (strategy, session) in order of entry under the book's caps.
-
-    ``candidates``: strategy, session, trade_id, entry_at, exit_at (seconds), priority, sector, risk
-    (money), net (money), exit_reason.  A daily loss halts the rest of the session; otherwise a
-    candidate is skipped when too many trades are open, their risk is too great, or its
-    sector is full.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry_at", "priority", "trade_id"], ascending=[True, False, True])
-        taken: list = []
-        rows, halted = [], False
-        for c in pdf.itertuples(index=False):
-            live = [t for t in taken if t.entry_at <= c.entry_at < t.exit_at]
-            done = sum(t.net for t in taken if t.exit_at <= c.entry_at)
-            halted = halted or done <= -daily_loss * equity
-            skip = (
-                "HALT_DAILY" if halted
-                else "CAP_OPEN" if len(live) >= max_open
-                else "CAP_RISK" if sum(t.risk for t in live) + c.risk > open_risk * equity + 1e-6
-                else "CAP_SECTOR" if sum(t.sector == c.sector for t in live) >= sector_cap
-                else None
-            )
-            if skip is None:
-                taken.append(c)
-            rows.append((c.strategy, c.trade_id, skip is None, skip, c.net if skip is None else 0.0))
-        return pd.DataFrame(rows, columns=["strategy", "trade_id", "taken", "skip", "net"])
+    """Admit candidates of each (strategy, session) in order of entry under the book's caps: ``strategy, session, trade_id, taken, skip, net``.
 
-    return candidates.groupBy("strategy", "session").applyInPandas(run, BOOK_SCHEMA)
+    ``candidates``: strategy, session, trade_id, entry_at, exit_at (seconds; null where no bar
+    followed), priority, sector, qty, risk (money), net (money), exit_reason, halt_after_stop.
+    A realised daily loss halts the rest of the session, and so does, where asked for, a
+    first stop; a candidate is skipped when its size is nothing, too many trades or too much
+    risk is open, its sector is full, or no bar follows it.
 
-
-TRANCHE_SCHEMA = "arm string, session_idx int, ret double, bought double, sold double, positions int, missing int"
+    A session's candidates are one array that is folded in order; the state holds the open
+    trades only, ``max_open`` at most.
+    """
+    kind = "struct<exit_at:bigint,risk:double,sector:string,net:double,stopped:boolean>"
+    done = "struct<trade_id:bigint,taken:boolean,skip:string,net:double>"
+    c = F.struct(F.col("entry_at").cast("long").alias("entry_at"), (-F.col("priority")).alias("low"), F.col("trade_id").cast("long").alias("trade_id"), F.col("exit_at").cast("long").alias("exit_at"), F.col("sector").cast("string").alias("sector"), F.col("qty").cast("long").alias("qty"), F.col("risk").cast("double").alias("risk"), F.col("net").cast("double").alias("net"), F.col("exit_reason").isin("STOP", "STOP_GAP").alias("stopped"), F.coalesce("halt_after_stop", F.lit(False)).alias("halt"))
+    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda s, x: s + of(x))
+
+    def step(state, c):
+        ended = F.filter(state["open"], lambda t: t["exit_at"] <= c["entry_at"])
+        live = F.filter(state["open"], lambda t: t["exit_at"] > c["entry_at"])
+        realised = state["realised"] + total(ended, lambda t: t["net"])
+        stopped = state["stopped"] | F.exists(ended, lambda t: t["stopped"])
+        halted = state["halted"] | (realised <= -daily_loss * equity)
+        full = (F.size(live) >= max_open) | (total(live, lambda t: t["risk"]) + c["risk"] > open_risk * equity + 1e-6)
+        skip = (
+            F.when(halted, "HALT_DAILY")
+            .when(c["halt"] & stopped, "HALT_FIRST_STOP")
+            .when(c["qty"] <= 0, "CAP_LIQUIDITY")
+            .when(full, "CAP_OPEN_RISK")
+            .when(F.size(F.filter(live, lambda t: t["sector"] == c["sector"])) >= sector_cap, "CAP_SECTOR")
+            .when(c["exit_at"].isNull(), "NO_INTRADAY_BARS")
+        )
+        trade = F.array(F.struct(c["exit_at"].alias("exit_at"), c["risk"].alias("risk"), c["sector"].alias("sector"), c["net"].alias("net"), c["stopped"].alias("stopped")))
+        row = F.struct(c["trade_id"].alias("trade_id"), skip.isNull().alias("taken"), skip.alias("skip"), F.when(skip.isNull(), c["net"]).otherwise(0.0).alias("net"))
+        return F.struct(
+            halted.alias("halted"), stopped.alias("stopped"), realised.alias("realised"),
+            F.when(skip.isNull(), F.concat(live, trade)).otherwise(live).cast(f"array<{kind}>").alias("open"), F.concat(state["out"], F.array(row)).cast(f"array<{done}>").alias("out"),
+        )
+
+    start = F.struct(F.lit(False).alias("halted"), F.lit(False).alias("stopped"), F.lit(0.0).alias("realised"), F.array().cast(f"array<{kind}>").alias("open"), F.array().cast(f"array<{done}>").alias("out"))
+    whole = candidates.groupBy("strategy", "session").agg(F.array_sort(F.collect_list(c)).alias("all"))
+    return whole.select("strategy", "session", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("r")).select("strategy", "session", "r.*")
 
 
 def tranche_book(picks: DataFrame, opens: DataFrame, h: int = 5) -> DataFrame:
-    """Daily returns of h staggered equal-weight tranches: each holds its picks for h sessions, open to open.
+    """Daily returns of h staggered equal-weight tranches: ``arm, session_idx, ret, bought, sold, positions, missing``.
 
-    ``picks``: arm, session_idx, key.  ``opens``: session_idx, key, open (rows only where there was one).
-    A pick without an open is left out of its tranche; a held name without one is flat
-    until it reopens.  An arm's book is a chain of days, so arms are the parallel unit.
+    ``picks``: arm, session_idx, key.  ``opens``: session_idx (dense), key, open (rows only where there was
+    one).  A tranche holds its picks from open to open over h sessions and then gives its money to the next of
+    its row; a pick without an open is left out; a held name without one keeps its last worth and is counted
+    in ``missing``; money that finds no name to buy stays cash.  Sessions run from an arm's first pick to the last open.
+
+    What a name of a tranche is worth relates to its first open alone, and a tranche's money is the
+    product of what its row has made before, so all is joins, running products and sums: no chain of days
+    is walked, and rows are names times h.
     """
-    joined = picks.groupBy("arm").agg(F.collect_list(F.struct("session_idx", "key")).alias("picks"))
-    names = picks.select("arm", "key").distinct().join(opens, "key").groupBy("arm").agg(F.collect_list(F.struct("session_idx", "key", "open")).alias("opens"))
-
-    def run(parts):
-        for pdf in parts:
-            for arm, chosen, prices in pdf[["arm", "picks", "opens"]].itertuples(index=False):
-                days = sorted({p["session_idx"] for p in chosen} | {p["session_idx"] for p in prices})
-                px = {(p["session_idx"], p["key"]): p["open"] for p in prices if p["open"] and p["open"] > 0}
-                by: dict[int, list] = {}
-                for p in chosen:
-                    by.setdefault(p["session_idx"], []).append(p["key"])
-                held: list[dict] = []  # tranches, oldest first: name to (worth, last open)
-                cash, rows = 1.0, []
-                for d, nxt in zip(days, days[1:]):
-                    total = lambda: {k: sum(t[k][0] for t in held if k in t) for k in {k for t in held for k in t}}
-                    before = total()
-                    if len(held) == h:
-                        free = sum(v for v, _ in held.pop(0).values())
-                    else:
-                        free = min(cash, 1.0 / h)
-                        cash -= free
-                    buyable = sorted(k for k in by.get(d, []) if (d, k) in px)
-                    held.append({k: (free / len(buyable), px[d, k]) for k in buyable})
-                    cash += 0.0 if buyable else free
-                    after = total()
-                    worth = sum(after.values()) + cash
-                    move = {k: after.get(k, 0.0) - before.get(k, 0.0) for k in after.keys() | before.keys()}
-                    missing = 0
-                    for t in held:
-                        for k, (v, seen) in t.items():
-                            now = px.get((nxt, k))
-                            missing += now is None
-                            if now is not None:
-                                t[k] = (v * now / seen, now)
-                    end = sum(total().values()) + cash
-                    rows.append((arm, d, end / worth - 1, sum(x for x in move.values() if x > 0) / worth, -sum(x for x in move.values() if x < 0) / worth, len(after), missing))
-                yield pd.DataFrame(rows, columns=["arm", "session_idx", "ret", "bought", "sold", "positions", "missing"])
-
-    return joined.join(names, "arm").mapInPandas(run, TRANCHE_SCHEMA)
+    price = opens.where("open > 0").select("session_idx", "key", "open")
+    last = price.agg(F.max("session_idx").alias("end"))
+    first = picks.groupBy("arm").agg(F.min("session_idx").alias("begin")).join(F.broadcast(last))  # one row
+    days = first.select("arm", "begin", "end", F.explode(F.sequence("begin", F.col("end") - 1)).alias("s"))
+    bought = picks.select("arm", F.col("session_idx").alias("s"), "key").distinct().join(price.select(F.col("session_idx").alias("s"), "key", F.col("open").alias("base")), ["s", "key"])
+    # worth of a name, as a multiple of what it cost, at each session of its tranche
+    held = bought.withColumn("t", F.explode(F.sequence("s", F.col("s") + h)))
+    held = held.join(price.select(F.col("session_idx").alias("t"), "key", "open"), ["t", "key"], "left").join(F.broadcast(last)).where("t <= end").drop("end")
+    seen = F.last("open", ignorenulls=True).over(Window.partitionBy("arm", "s", "key").orderBy("t"))
+    held = held.withColumns({"multiple": seen / F.col("base"), "absent": F.col("open").isNull()})
+    grown = held.where(F.col("t") == F.col("s") + h).groupBy("arm", "s").agg(F.avg("multiple").alias("growth"))
+    names = bought.groupBy("arm", "s").agg(F.count("*").alias("names"))
+    rows = days.join(names, ["arm", "s"], "left").join(grown, ["arm", "s"], "left")
+    past = Window.partitionBy("arm", F.pmod(F.col("s") - F.col("begin"), F.lit(h))).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    capital = F.exp(F.coalesce(F.sum(F.log("growth")).over(past), F.lit(0.0))) / h * F.when(F.coalesce(F.count_if(F.col("names").isNull()).over(past), F.lit(0)) == 0, 1.0).otherwise(0.0)
+    rows = rows.withColumn("capital", capital)
+    idle = F.sum(F.when(F.col("names").isNull(), F.col("capital")).otherwise(0.0)).over(Window.partitionBy("arm").orderBy("s"))
+    rows = rows.withColumn("cash", idle + F.greatest(F.lit(0), F.lit(h) - (F.col("s") - F.col("begin") + 1)) / F.lit(float(h)))
+    worth = held.join(rows.where("names IS NOT NULL").select("arm", "s", (F.col("capital") / F.col("names")).alias("each")), ["arm", "s"]).withColumn("worth", F.col("each") * F.col("multiple"))
+    # of a name on a session: before that session's trades, after them, and at the next open
+    at = worth.select("arm", F.col("t").alias("d"), "key", F.when(F.col("t") > F.col("s"), F.col("worth")).alias("before"), F.when(F.col("t") < F.col("s") + h, F.col("worth")).alias("after"), F.lit(None).cast("double").alias("next"), F.lit(0).alias("miss"))
+    after = worth.where("t > s").select("arm", (F.col("t") - 1).alias("d"), "key", F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.col("worth").alias("next"), F.col("absent").cast("int").alias("miss"))
+    by_name = at.union(after).groupBy("arm", "d", "key").agg(F.coalesce(F.sum("before"), F.lit(0.0)).alias("before"), F.sum("after").alias("after"), F.sum("next").alias("next"), F.sum("miss").alias("miss"))
+    move = F.coalesce("after", F.lit(0.0)) - F.col("before")
+    daily = by_name.groupBy("arm", "d").agg(
+        F.sum("after").alias("after"), F.sum("next").alias("next"), F.sum(F.greatest(move, F.lit(0.0))).alias("up"), F.sum(F.greatest(-move, F.lit(0.0))).alias("down"), F.count("after").alias("positions"), F.sum("miss").alias("missing")
+    )
+    both = rows.select("arm", F.col("s").alias("d"), "cash").join(daily, ["arm", "d"], "left").na.fill(0, ["after", "next", "up", "down", "positions", "missing"])
+    total = F.col("after") + F.col("cash")
+    return both.select("arm", F.col("d").alias("session_idx"), ((F.col("next") + F.col("cash")) / total - 1).alias("ret"), (F.col("up") / total).alias("bought"), (F.col("down") / total).alias("sold"), "positions", "missing")

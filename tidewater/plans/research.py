@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adjust, books, gates, labels, pit, ranks, stats
@@ -135,7 +135,7 @@ def order_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(f"c.{n}", 6).alias(n) for n in ("brokerage", "statutory", "depository")])
 
 
-_TRADES = f"""WITH {bars_sql()}, trades AS (SELECT row_number() OVER (ORDER BY key, bucket) AS trade_id, key, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END AS side, bucket AS entry_at, open AS entry_price,
+_TRADES = f"""WITH {bars_sql()}, trades AS (SELECT key || '@' || CAST(bucket AS VARCHAR) AS trade_id, key, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END AS side, bucket AS entry_at, open AS entry_price,
  CASE WHEN volume % 2 = 0 THEN open * 0.5 ELSE open * 1.6 END AS stop, CASE WHEN volume % 2 = 0 THEN open * 1.8 ELSE open * 0.4 END AS target, bucket + INTERVAL 12 HOUR AS time_stop FROM bars WHERE volume >= 3)"""
 
 
@@ -143,7 +143,7 @@ def _trades(spark, sf_dir):
     b = bars(spark, sf_dir).where("volume >= 3")
     long = F.col("volume") % 2 == 0
     return b.select(
-        F.row_number().over(Window.orderBy("key", "bucket")).cast("long").alias("trade_id"), "key", F.when(long, 1).otherwise(-1).alias("side"), F.col("bucket").alias("entry_at"), F.col("open").alias("entry_price"),
+        F.concat_ws("@", "key", F.col("bucket").cast("string")).alias("trade_id"), "key", F.when(long, 1).otherwise(-1).alias("side"), F.col("bucket").alias("entry_at"), F.col("open").alias("entry_price"),
         F.when(long, F.col("open") * 0.5).otherwise(F.col("open") * 1.6).alias("stop"), F.when(long, F.col("open") * 1.8).otherwise(F.col("open") * 0.4).alias("target"), F.expr("bucket + INTERVAL '12' HOUR").alias("time_stop"),
     )
 
@@ -192,20 +192,33 @@ def rolling_regime_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sequential_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
+    at, k = F.unix_seconds(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
     c = o.select(
-        F.col("o_orderpriority").alias("strategy"), F.date_format("o_orderdate", "yyyy-MM").alias("session"), F.col("o_orderkey").alias("trade_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("entry_at"),
-        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 86_400 * (1 + F.col("o_orderkey") % 5)).alias("exit_at"), (F.col("o_orderkey") % 97).cast("double").alias("priority"), (F.col("o_custkey") % 10).cast("string").alias("sector"),
-        (F.col("o_totalprice") / 500).alias("risk"), ((F.col("o_orderkey") % 201 - 100) * 10).cast("double").alias("net"),
+        F.col("o_orderpriority").alias("strategy"), F.date_format("o_orderdate", "yyyy-MM").alias("session"), k.alias("trade_id"), at.alias("entry_at"), F.when(k % 43 != 0, at + 86_400 * (1 + k % 5)).alias("exit_at"),
+        (k % 97).cast("double").alias("priority"), (F.col("o_custkey") % 10).cast("string").alias("sector"), (k % 31).alias("qty"), (F.col("o_totalprice") / 500).alias("risk"), ((k % 201 - 100) * 10).cast("double").alias("net"),
+        F.when(k % 3 == 0, "STOP").otherwise("TIME").alias("exit_reason"), (F.col("o_orderpriority") == "1-URGENT").alias("halt_after_stop"),
     )
     return books.sequential_book(c, 100_000.0)
 
 
-@query()
+_TRANCHE = """, o AS (SELECT a.session_idx AS d, b.key, b.open FROM bars b JOIN axis a ON a.bucket = b.bucket WHERE b.open > 0), p AS (SELECT session_idx AS s, key FROM (SELECT a.session_idx, b.key, row_number() OVER (PARTITION BY a.session_idx ORDER BY b.close DESC, b.key) AS r FROM bars b JOIN axis a ON a.bucket = b.bucket) WHERE r <= 2),
+e AS (SELECT min(s) AS b, (SELECT max(d) FROM o) AS e FROM p), days AS (SELECT unnest(range(b, e)) AS s, b, e FROM e), f AS (SELECT p.s, p.key, o.open AS base FROM p JOIN o ON o.d = p.s AND o.key = p.key),
+h AS (SELECT f.s, f.key, t.t, x.open IS NULL AS absent, last_value(x.open IGNORE NULLS) OVER (PARTITION BY f.s, f.key ORDER BY t.t) / base AS m FROM f JOIN (SELECT DISTINCT d AS t FROM o) t ON t.t BETWEEN f.s AND f.s + 5 LEFT JOIN o x ON x.d = t.t AND x.key = f.key),
+g AS (SELECT days.s, days.b, n.n, r.growth FROM days LEFT JOIN (SELECT s, count(*) AS n FROM f GROUP BY 1) n ON n.s = days.s LEFT JOIN (SELECT s, avg(m) AS growth FROM h WHERE t = s + 5 GROUP BY 1) r ON r.s = days.s),
+c AS (SELECT *, coalesce(product(growth) OVER w, 1) / 5.0 * (CASE WHEN count(*) FILTER (WHERE n IS NULL) OVER w = 0 THEN 1 ELSE 0 END) AS capital FROM g WINDOW w AS (PARTITION BY (s - b) % 5 ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, sum(CASE WHEN n IS NULL THEN capital ELSE 0 END) OVER (ORDER BY s) + greatest(0, 5 - (s - b + 1)) / 5.0 AS cash FROM c), v AS (SELECT h.*, capital / n * m AS w FROM h JOIN k ON k.s = h.s AND n IS NOT NULL),
+y AS (SELECT d, key, sum(bf) AS bf, sum(af) AS af, sum(nx) AS nx, sum(ms) AS ms, count(af) AS held FROM (SELECT t AS d, key, CASE WHEN t > s THEN w END AS bf, CASE WHEN t < s + 5 THEN w END AS af, NULL::DOUBLE AS nx, 0 AS ms FROM v UNION ALL SELECT t - 1, key, NULL, NULL, w, absent::INTEGER FROM v WHERE t > s) GROUP BY 1, 2),
+z AS (SELECT d, sum(af) AS af, sum(nx) AS nx, sum(greatest(coalesce(af, 0) - coalesce(bf, 0), 0)) AS up, sum(greatest(coalesce(bf, 0) - coalesce(af, 0), 0)) AS down, count(*) FILTER (WHERE held > 0) AS positions, sum(ms) AS missing FROM y GROUP BY 1)
+SELECT 'top' AS arm, CAST(k.s AS INTEGER) AS session_idx, round((coalesce(nx, 0) + cash) / (coalesce(af, 0) + cash) - 1, 8) AS ret, round(coalesce(up, 0) / (coalesce(af, 0) + cash), 8) AS bought, round(coalesce(down, 0) / (coalesce(af, 0) + cash), 8) AS sold, coalesce(positions, 0)::BIGINT AS positions, coalesce(missing, 0)::BIGINT AS missing FROM k LEFT JOIN z ON z.d = k.s"""
+
+
+@query(_AXIS + _TRANCHE)
 def tranche_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     axis = _axis(spark, sf_dir).select("bucket", "session_idx")
     b = bars(spark, sf_dir, "day").join(F.broadcast(axis), "bucket")
     picks = ranks.top_n(b, ["session_idx"], [F.desc("close"), F.asc("key")], 2).select(F.lit("top").alias("arm"), "session_idx", "key")
-    return books.tranche_book(picks, b.select("session_idx", "key", "open"))
+    got = books.tranche_book(picks, b.select("session_idx", "key", "open"))
+    return got.select("arm", "session_idx", *[F.round(c, 8).alias(c) for c in ("ret", "bought", "sold")], "positions", "missing")
 
 
 @query()
@@ -251,13 +264,44 @@ def winsorise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("n"))
 
 
-@query()
+_DAILY = "WITH d AS (SELECT event_type AS g, CAST(ts AS DATE) AS day, avg(value) - 120 AS x FROM events GROUP BY 1, 2), v AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d), "
+_DRAWN = "('0x' || substr(md5({parts}), 1, 13))::BIGINT"
+
+
+def _daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("g"), F.to_date("ts").alias("day")).agg((F.avg("value") - 120).alias("x"))
+
+
+def _bounds(df: DataFrame) -> DataFrame:
+    return df.select("g", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(_DAILY + f"""dr AS (SELECT g, n, draw, least(5, n - b * 5) AS len, {_DRAWN.format(parts="concat_ws(':', 7, g, draw, b)")} % (n - 4) AS st FROM (SELECT g, n, draw, unnest(range(0, ceil(n / 5.0)::BIGINT)) AS b FROM (SELECT DISTINCT g, n FROM v WHERE n >= 5), (SELECT unnest(range(0, 500)) AS draw))),
+m AS (SELECT dr.g, draw, sum(x) / max(v.n) AS m FROM dr JOIN v ON v.g = dr.g AND v.i >= st AND v.i < st + len GROUP BY 1, 2) SELECT g, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1""")
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v")).orderBy("day")
-    x = [r.v for r in days.collect()]
-    low, high = stats.block_bootstrap(x, 2000, 5, 0.95, 7)
-    f_low, f_high = stats.sign_flip([v - 120 for v in x], 2000, 0.95, 7)
-    return spark.createDataFrame([(len(x), low, high, f_low, f_high, stats.newey_west_t(x))], "n long, block_low double, block_high double, flip_low double, flip_high double, newey_west double")
+    return _bounds(stats.block_bootstrap(_daily(spark, sf_dir), ["g"], "day", "x", 500, 5, 0.95, 7))
+
+
+@query(_DAILY + f"""bm AS (SELECT a.g, a.i AS st, a.n, avg(b.x) AS m FROM v a JOIN v b ON a.g = b.g AND b.i BETWEEN a.i AND a.i + 4 WHERE a.i <= a.n - 5 GROUP BY 1, 2, 3), s AS (SELECT g, avg(x) AS m FROM v GROUP BY 1), o AS (SELECT bm.g, s.m, avg(bm.m) AS c, sqrt(5.0 / max(n) * avg(pow(bm.m - s.m, 2))) AS se FROM bm JOIN s ON s.g = bm.g GROUP BY 1, 2),
+dr AS (SELECT g, draw, {_DRAWN.format(parts="concat_ws(':', 7, g, draw, b)")} % (n - 4) AS st FROM (SELECT g, n, draw, unnest(range(0, ceil(n / 5.0)::BIGINT)) AS b FROM (SELECT DISTINCT g, n FROM v WHERE n >= 5), (SELECT unnest(range(0, 500)) AS draw))),
+t AS (SELECT dr.g, draw, avg(bm.m) AS dm, sqrt(var_pop(bm.m) / count(*)) AS ds FROM dr JOIN bm ON bm.g = dr.g AND bm.st = dr.st GROUP BY 1, 2), u AS (SELECT o.g, o.m, o.se, CASE WHEN ds > 1e-12 THEN (dm - c) / ds ELSE 0 END AS t FROM t JOIN o ON o.g = t.g)
+SELECT g, round(m - quantile_cont(t, 0.975) * se, 6) AS low, round(m - quantile_cont(t, 0.025) * se, 6) AS high FROM u GROUP BY g, m, se""")
+def studentized_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(stats.studentized_interval(_daily(spark, sf_dir), ["g"], "day", "x", 500, 5, 0.95, 7))
+
+
+@query(_DAILY + f"""e AS (SELECT v.g, draw, n, x, CASE WHEN {_DRAWN.format(parts="concat_ws(':', 7, g, draw, i)")} % 2 = 0 THEN 1 ELSE -1 END AS s FROM v, (SELECT unnest(range(0, 400)) AS draw) WHERE n >= 2), a AS (SELECT g, draw, max(n) AS n, avg(s * x) AS a, sum(s) AS b, avg(x) AS m FROM e GROUP BY 1, 2),
+f AS (SELECT g, draw, CASE WHEN abs(b) < n THEN least((m - a) / (1 - b / n), (m + a) / (1 + b / n)) END AS lo, CASE WHEN abs(b) < n THEN greatest((m - a) / (1 - b / n), (m + a) / (1 + b / n)) END AS hi FROM a)
+SELECT g, round(max(lo) FILTER (WHERE r = 20), 6) AS low, round(max(hi) FILTER (WHERE q = 20), 6) AS high FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY lo NULLS FIRST, draw) AS r, row_number() OVER (PARTITION BY g ORDER BY hi DESC NULLS FIRST, draw) AS q FROM f) GROUP BY 1""")
+def sign_flip_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(stats.sign_flip_interval(_daily(spark, sf_dir), ["g"], "day", "x", 400, 0.95, 7))
+
+
+@query(_DAILY + """e AS (SELECT *, x - avg(x) OVER (PARTITION BY g) AS d FROM v), c AS (SELECT a.g, j, sum(a.d * b.d) AS p FROM e a, (SELECT unnest(range(0, 6)) AS j), e b WHERE b.g = a.g AND b.i = a.i - j GROUP BY 1, 2),
+q AS (SELECT g, sum(p * CASE WHEN j = 0 THEN 1 ELSE 2 * (1 - j / 6.0) END) AS s FROM c GROUP BY 1), m AS (SELECT g, count(*) AS n, avg(x) AS m FROM v GROUP BY 1)
+SELECT m.g, n, round(CASE WHEN n >= 3 AND s > 0 THEN m / sqrt(s / n / n) END, 6) AS nw_t FROM m JOIN q ON q.g = m.g""")
+def newey_west_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.newey_west(_daily(spark, sf_dir), ["g"], "day", "x").select("g", "n", F.round("nw_t", 6).alias("nw_t"))
 
 
 @query()
