@@ -98,7 +98,8 @@ def stable_id(*parts: Column) -> Column:
 
 
 def crore_amount(title: Column) -> Column:
-    """The greatest amount in crore that a headline names; a lakh crore is 100,000."""
-    found = F.regexp_extract_all(title, F.lit(r"(?i)([\d,]+(?:\.\d+)?) ?(?:lakh )?crore"), F.lit(0))
-    one = lambda m: F.regexp_replace(F.regexp_extract(m, r"^([\d,]+(?:\.\d+)?)", 1), ",", "").cast("double") * F.when(m.rlike("(?i)lakh"), 100000.0).otherwise(1.0)
+    """The greatest amount in crore (or cr) behind a currency mark in a headline; a lakh crore is 100,000."""
+    amount = r"(?i)(?:rs\.?|₹|inr)\s?([\d,]+(?:\.\d+)?)\s?(crore|cr\b|lakh crore)"
+    found = F.regexp_extract_all(title, F.lit(amount), F.lit(0))
+    one = lambda m: F.regexp_replace(F.regexp_extract(m, amount, 1), ",", "").try_cast("double") * F.when(m.rlike("(?i)lakh"), 100000.0).otherwise(1.0)
     return F.array_max(F.transform(found, one))

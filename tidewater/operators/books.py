@@ -44,6 +44,27 @@ def order_costs(value: Column, is_buy: Column, r: Rates = Rates()) -> Column:
     )
 
 
+def day_costs(trades: DataFrame, by: list[str], capital: float, half_spread_bps: float = 5.0, slippage_bps: float = 0.0, multiplier: float = 1.0, rates: Rates = Rates(), measured: str | None = None) -> DataFrame:
+    """Per group, each part of its trades' costs as a share of the capital: brokerage, statutory, depository, spread, slippage, cost.
+
+    ``trades``: weight (share of the book traded) and is_buy; ``measured`` names a column of
+    half spreads in basis points that goes before the fallback where it has a value.
+    """
+    value = F.col("weight") * capital
+    half = F.coalesce(F.col(measured), F.lit(half_spread_bps)) if measured else F.lit(half_spread_bps)
+    each = trades.select(*by, order_costs(value, F.col("is_buy"), rates).alias("_c"), (value * half / 10_000).alias("_s"), (value * slippage_bps / 10_000).alias("_i"))
+    share = lambda c: F.sum(c) * multiplier / capital
+    got = each.groupBy(*by).agg(share("_c.brokerage").alias("brokerage"), share("_c.statutory").alias("statutory"), share("_c.depository").alias("depository"), share("_s").alias("spread"), share("_i").alias("slippage"))
+    return got.withColumn("cost", F.col("brokerage") + F.col("statutory") + F.col("depository") + F.col("spread") + F.col("slippage"))
+
+
+def session_costs(returns: DataFrame, by: str, capital: float, half_spread_bps: float = 5.0, slippage_bps: float = 0.0, multiplier: float = 1.0, rates: Rates = Rates()) -> DataFrame:
+    """``by, cost``: a round trip within each session on equal shares, bought at the open and sold at what they have become (returns: by, key, r)."""
+    share = 1 / F.count("*").over(Window.partitionBy(by))
+    legs = returns.withColumn("_w", share).select(by, F.explode(F.array(F.struct(F.col("_w").alias("weight"), F.lit(True).alias("is_buy")), F.struct((F.col("_w") * (1 + F.col("r"))).alias("weight"), F.lit(False).alias("is_buy")))).alias("_l"))
+    return day_costs(legs.select(by, "_l.*"), [by], capital, half_spread_bps, slippage_bps, multiplier, rates).select(by, "cost")
+
+
 def paths(trades: DataFrame, bars: DataFrame, width: str) -> DataFrame:
     """How each trade ends: ``trade_id, exit_at, exit_price, exit_reason``.
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.reasons import DIVISION_UNDEFINED, MISSING_INPUT, NOT_APPLICABLE, result
 from ..functions.scalars import crore_amount
+from .newsrules import CORRECTION
 
 # The vocabularies of the rules.
 CORPORATE_EVENTS = ("RESULTS", "EARNINGS", "GUIDANCE", "DIVIDEND", "BONUS", "SPLIT", "BUYBACK", "FUNDRAISING", "MERGER_ACQUISITION", "DEMERGER", "STAKE_SALE", "BLOCK_DEAL", "PROMOTER_CHANGE", "MANAGEMENT_CHANGE", "ORDER_CONTRACT", "RATING_CHANGE", "DEFAULT", "BANKRUPTCY", "DEBT", "CORPORATE_ACTION", "FRAUD_ALLEGATION", "LITIGATION")
@@ -28,7 +29,10 @@ BREAKING_WORDS = r"(?i)\b(breaking|just in)\b"
 HIGH_IMPACT = ("RESULTS", "MERGER_ACQUISITION", "DEMERGER", "BANKRUPTCY", "DEFAULT", "FRAUD_ALLEGATION", "INVESTIGATION", "RATING_CHANGE", "INTEREST_RATE")
 MEDIUM_IMPACT = ("ORDER_CONTRACT", "FUNDRAISING", "DIVIDEND", "BONUS", "SPLIT", "BUYBACK", "MANAGEMENT_CHANGE", "BROKERAGE_ACTION", "STAKE_SALE", "BLOCK_DEAL", "PROMOTER_CHANGE", "COMMODITIES", "FII_DII", "INFLATION", "GDP", "REGULATORY", "GOVERNMENT_POLICY", "LITIGATION", "MARKET_WIDE", "GEOPOLITICAL", "GUIDANCE", "CORPORATE_ACTION", "DEBT")
 SIZED_EVENTS = ("ORDER_CONTRACT", "FUNDRAISING", "MERGER_ACQUISITION", "STAKE_SALE")
-STOP_WORDS = ("the", "and", "for", "with", "from", "after", "over", "into", "its", "this", "that", "will", "says", "said")
+STOP_WORDS = (
+    "a an the of in on at to for and or as by with from is are was were be be its it this that after before over under amid into up down new says said may will could "
+    "shares share stock stocks today live updates update news report reports rs crore cr lakh per cent percent here what why how check key"
+).split()
 
 
 @F.pandas_udf(StringType())
@@ -61,7 +65,7 @@ def edits(observations: DataFrame, material: tuple[str, ...] = ("title", "summar
     """What changed between consecutive observations of an article: ``item_id, at, changed, decision``."""
     w = Window.partitionBy("item_id").orderBy("at")
     changed = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.lag(c).over(w)), c) for c in material]))
-    correction = r"(?i)\b(corrects?|corrected|correction|corrigendum|clarifies|clarification)\b"
+    correction = CORRECTION
     marked = F.col("title").rlike(correction) & ~F.coalesce(F.lag("title").over(w).rlike(correction), F.lit(False))
     o = observations.withColumns({"_n": F.row_number().over(w), "changed": changed, "_m": marked})
     decision = F.when(F.array_contains("changed", "title") & F.col("_m"), "STORY_CORRECTION").otherwise("STORY_UPDATE")

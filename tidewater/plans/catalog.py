@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import desk, market, newsroom, research
+from . import desk, market, newsdesk, newsroom, panel, research
 
-QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES, **desk.QUERIES}
-ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES, **desk.ORACLES}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES, **desk.QUERIES, **panel.QUERIES, **newsdesk.QUERIES}
+ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES, **desk.ORACLES, **panel.ORACLES, **newsdesk.ORACLES}

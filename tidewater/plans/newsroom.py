@@ -74,10 +74,14 @@ def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.duplicates(_items(spark, sf_dir))
 
 
-@query("""WITH o AS (SELECT conv_id AS item_id, turn AS t, role AS title, text AS body, lag(role) OVER w AS pt, lag(text) OVER w AS pb, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT item_id, t AS "at", array_to_string(list_filter([CASE WHEN title IS NOT NULL AND title IS DISTINCT FROM pt THEN 'title' END, CASE WHEN body IS NOT NULL AND body IS DISTINCT FROM pb THEN 'body' END], lambda x: x IS NOT NULL), ',') AS changed, 'STORY_UPDATE' AS decision FROM o WHERE n > 1 AND ((title IS NOT NULL AND title IS DISTINCT FROM pt) OR (body IS NOT NULL AND body IS DISTINCT FROM pb))""")
+_EDIT = "CASE WHEN conv_id % 3 = 0 AND turn % 4 = 3 THEN 'Correction: ' ELSE '' END || role"
+
+
+@query(f"""WITH o AS (SELECT conv_id AS item_id, turn AS t, {_EDIT} AS title, text AS body, lag({_EDIT}) OVER w AS pt, lag(text) OVER w AS pb, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT item_id, t AS "at", array_to_string(list_filter([CASE WHEN title IS NOT NULL AND title IS DISTINCT FROM pt THEN 'title' END, CASE WHEN body IS NOT NULL AND body IS DISTINCT FROM pb THEN 'body' END], lambda x: x IS NOT NULL), ',') AS changed,
+ CASE WHEN title IS DISTINCT FROM pt AND title LIKE 'Correction%' AND NOT pt LIKE 'Correction%' THEN 'STORY_CORRECTION' ELSE 'STORY_UPDATE' END AS decision FROM o WHERE n > 1 AND ((title IS NOT NULL AND title IS DISTINCT FROM pt) OR (body IS NOT NULL AND body IS DISTINCT FROM pb))""")
 def edit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("at"), F.col("role").alias("title"), F.col("text").alias("body"))
+    o = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("at"), F.expr(_EDIT).alias("title"), F.col("text").alias("body"))
     return news.edits(o, ("title", "body")).select("item_id", "at", F.array_join("changed", ",").alias("changed"), "decision")
 
 
