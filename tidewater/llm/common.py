@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark's setting that drops a query's shuffle files once it ends.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: The tables of each open :func:`scratch`, the innermost last.
+#: The tables and broadcasts of each open :func:`scratch`, the innermost last.
 _OPEN: list[list[DataFrame]] = []
+_SENT: list[list[Broadcast]] = []
 
 
 def drop(*tables: DataFrame) -> None:
@@ -71,13 +73,14 @@ def forget(df: DataFrame) -> None:
 
 @contextmanager
 def scratch():
-    """Tables that :func:`stored` writes inside are deleted when the block ends, but for one that goes through the yielded function.
+    """Tables that :func:`stored` writes inside are deleted when the block ends, and broadcasts are released, but for a table that goes through the yielded function.
 
     What leaves the block is stored last and handed out by that function; a block around
     this one then owns it.
     """
     own: list[DataFrame] = []
     _OPEN.append(own)
+    _SENT.append([])
 
     def keep(df: DataFrame) -> DataFrame:
         own[:] = [x for x in own if x is not df]
@@ -89,9 +92,19 @@ def scratch():
         yield keep
     finally:
         _OPEN.pop()
+        for sent in _SENT.pop():
+            sent.unpersist()
         drop(*own)
 
 
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of bounded size; executors and their Python workers let go of it when the scratch ends."""
+    sent = spark.sparkContext.broadcast(value)
+    if _SENT:
+        _SENT[-1].append(sent)
+    return sent
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -165,7 +178,7 @@ def bitmap(hashes: DataFrame, column: str, bits: int = 25):
     words = np.zeros(1 << (bits - 3), np.uint8)
     for page, raw in rows.toLocalIterator(prefetchPartitions=True):
         words[page << 12 : (page << 12) + len(raw)] = np.frombuffer(raw, np.uint8)
-    return spark.sparkContext.broadcast(Bitmap(words, bits))
+    return broadcast(spark, Bitmap(words, bits))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

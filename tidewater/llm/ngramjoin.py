@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, column, components, forget, scratch, short_batches, slices, stored, table
+from .common import bitmap, broadcast, column, components, forget, scratch, short_batches, slices, stored, table
 from .textkit import mix, window_hashes, windows_of, words_of
 
 SHINGLE = 5
@@ -229,7 +229,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
     classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     reps = classes.where("rep IS NOT NULL").select("rep")
-    counters = rows.sparkSession.sparkContext.broadcast(_counters(profile))
+    counters = broadcast(rows.sparkSession, _counters(profile).astype(np.float32))
     wanted = bitmap(reps.select(F.xxhash64("rep").alias("key")), "key")
     seen = stored(_prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     hot = bitmap(seen, "token")
