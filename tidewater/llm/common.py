@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code handles at once; its arrays take some 60 times that.
 SLICE_BYTES = 1 << 19
-#: Rows of text that Spark hands to Python at once; Spark's own limit of 10,000 rows is meant for short ones.
-BATCH_ROWS = 2000
+#: Rows of text that Spark hands to Python at once, and that it reads from Parquet at once; its own limits (10,000 and
+#: 4,096 rows) are meant for short ones, and the arrays of such batches are so large that they fragment an executor's heap.
+BATCH_ROWS, READ_ROWS = 2000, 512
+#: Bytes that a writer of an intermediate table gathers before it writes them out.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,7 +118,7 @@ def stored(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
@@ -126,10 +129,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """Bound the session's Arrow batches at ``BATCH_ROWS`` rows, unless they are smaller already."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """Bound the session's Arrow batches at ``BATCH_ROWS`` rows and its Parquet batches at ``READ_ROWS``, unless they are smaller already."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(conf.get(key)) <= most:
+            conf.set(key, most)
     return df
 
 
