@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import desk, features, market, newsdesk, newsroom, panel, research
+from . import canon, desk, features, market, newsdesk, newsroom, panel, research
 
-QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES, **desk.QUERIES, **panel.QUERIES, **newsdesk.QUERIES, **features.QUERIES}
-ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES, **desk.ORACLES, **panel.ORACLES, **newsdesk.ORACLES, **features.ORACLES}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES, **newsroom.QUERIES, **desk.QUERIES, **panel.QUERIES, **newsdesk.QUERIES, **features.QUERIES, **canon.QUERIES}
+ORACLES: dict[str, str] = {**market.ORACLES, **research.ORACLES, **newsroom.ORACLES, **desk.ORACLES, **panel.ORACLES, **newsdesk.ORACLES, **features.ORACLES, **canon.ORACLES}
