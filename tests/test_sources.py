@@ -104,9 +104,22 @@ def test_late_rows_are_stored_and_counted(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     _ticks(spark, [(1, T(2024, 1, 1), 1, "v", 1.0, "{}")]).coalesce(1).write.parquet(source)
     tail.append_batches(tail.tail(spark, source), out, str(tmp_path / "c"), "2024-01-01 12:00:00")
-    _ticks(spark, [(2, T(2024, 1, 1, 1), 1, "v", 1.0, "{}"), (3, T(2024, 1, 2), 1, "v", 1.0, "{}")]).coalesce(1).write.mode("append").parquet(source)
-    tail.append_batches(tail.tail(spark, source), out, str(tmp_path / "c"), "2024-01-01 12:00:00")
-    assert {r.event_id: r.late for r in spark.read.parquet(out).collect()} == {1: False, 2: True, 3: False}
+    # the batch that first passes the instant has no late rows; those after it have
+    for rows in ([(2, T(2024, 1, 1, 1)), (3, T(2024, 1, 2))], [(4, T(2024, 1, 1, 2)), (5, T(2024, 1, 3))]):
+        _ticks(spark, [(i, at, 1, "v", 1.0, "{}") for i, at in rows]).coalesce(1).write.mode("append").parquet(source)
+        tail.append_batches(tail.tail(spark, source), out, str(tmp_path / "c"), "2024-01-01 12:00:00")
+    assert {r.event_id: r.late for r in spark.read.parquet(out).collect()} == {1: False, 2: False, 3: False, 4: True, 5: False}
+    assert tail.ready_batch(spark, out) == 1 and {r.batch: r.late for r in tail.late_counts(spark, out).collect()} == {0: 0, 1: 0, 2: 1}
+
+
+def test_repeats_and_conflicts_are_told_apart(spark):
+    schema = "k int, v double, at int"
+    stored = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 0)], schema)
+    batch = spark.createDataFrame([(1, 1.0, 5), (2, 9.0, 5), (3, 3.0, 5), (3, 3.0, 6), (4, 4.0, 5), (4, 5.0, 6)], schema)
+    new, conflicts = tail.split_repeats(batch, stored, ["k"], ["v"], "at")
+    assert sorted(map(tuple, new.collect())) == [(3, 3.0, 5), (4, 4.0, 5)] and sorted(map(tuple, conflicts.collect())) == [(2, 9.0, 5), (4, 5.0, 6)]
+    states = {r.k: r.state for r in tail.poll_split(batch.where("at = 5"), stored, "k", "v").collect()}
+    assert states == {1: "SEEN", 2: "CHANGED", 3: "NEW", 4: "NEW"}
 
 
 def test_repeats_within_the_watermark_go(spark, tmp_path):

@@ -1,7 +1,7 @@
-"""Costs, price paths, patterns, regimes, and the order-dependent books.
+"""Costs, price paths, patterns, regimes, and books.
 
-Whatever does not depend on the order of admissions is an expression; books, where a
-trade's admission depends on those before it, run per strategy in grouped pandas.
+A book's tranches are joins and running products; where a trade's admission depends on
+those before it, a session's candidates are folded in order.
 """
 
 from __future__ import annotations
@@ -65,7 +65,17 @@ def session_costs(returns: DataFrame, by: str, capital: float, half_spread_bps:
     return day_costs(legs.select(by, "_l.*"), [by], capital, half_spread_bps, slippage_bps, multiplier, rates).select(by, "cost")
 
 
-def paths(trades: DataFrame, bars: DataFrame, width: str) -> DataFrame:
+def _beside(trades: DataFrame, bars: DataFrame, until: str, slot_hours: int) -> DataFrame:
+    """Trades with the bars of their key from the entry's slot to that of ``until``: joined by equality on key and slot.
+
+    A trade is laid out over the slots that it spans, so a hot key meets its own hours only.
+    """
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (3600 * slot_hours))
+    spread = trades.where(F.col("entry_at") <= F.col(until)).withColumn("_slot", F.explode(F.sequence(slot("entry_at"), slot(until))))
+    return spread.join(bars.withColumn("_slot", slot("bucket")), ["key", "_slot"]).drop("_slot")
+
+
+def paths(trades: DataFrame, bars: DataFrame, width: str, slot_hours: int = 24) -> DataFrame:
     """How each trade ends: ``trade_id, exit_at, exit_price, exit_reason``.
 
     ``trades``: trade_id, key, side (+1 or -1), entry_at, stop, target, time_stop.  ``bars``: key,
@@ -74,11 +84,11 @@ def paths(trades: DataFrame, bars: DataFrame, width: str) -> DataFrame:
     (STOP_GAP); then the target; at the time stop the close (TIME); a series that ends
     before it closes at its last bar (NO_EXIT_BAR).  Without a bar at the entry there is no path.
 
-    Trades meet only bars between entry and time stop, and the first event is an
-    aggregate: no series is collected.
+    Trades meet only bars of the slots between entry and time stop, and the first event is
+    an aggregate: no series is collected.
     """
     end = F.col("bucket") + F.expr(width)
-    near = trades.join(bars, "key").where((F.col("bucket") >= F.col("entry_at")) & (end <= F.col("time_stop")))
+    near = _beside(trades, bars, "time_stop", slot_hours).where((F.col("bucket") >= F.col("entry_at")) & (end <= F.col("time_stop")))
     long = F.col("side") > 0
     through = lambda price, level: F.when(long, price <= level).otherwise(price >= level)
     reached = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
@@ -100,9 +110,9 @@ def paths(trades: DataFrame, bars: DataFrame, width: str) -> DataFrame:
     return got.where("_entered").select("trade_id", out["_end"].alias("exit_at"), out["_event"]["price"].alias("exit_price"), out["_event"]["reason"].alias("exit_reason"))
 
 
-def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
+def excursions(trades: DataFrame, bars: DataFrame, slot_hours: int = 24) -> DataFrame:
     """``trade_id, mfe, mae``: the best and worst move from the entry price inside each trade, in shares of it."""
-    inside = trades.join(bars, "key").where((F.col("bucket") >= F.col("entry_at")) & (F.col("bucket") < F.col("exit_at")))
+    inside = _beside(trades, bars, "exit_at", slot_hours).where((F.col("bucket") >= F.col("entry_at")) & (F.col("bucket") < F.col("exit_at")))
     up, down = F.max("high") / F.first("entry_price") - 1, F.min("low") / F.first("entry_price") - 1
     side = F.first("side")
     return inside.groupBy("trade_id").agg(F.when(side > 0, up).otherwise(-down).alias("mfe"), F.when(side > 0, down).otherwise(-up).alias("mae"))

@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reasons import DIVISION_UNDEFINED, INSUFFICIENT_HISTORY, result
 
 
-def history(bars: DataFrame, fields: list[str] = ("high", "low", "close")) -> DataFrame:
-    """``key, bucket, h``: each key's bars in order as one array, and its last bucket."""
+#: Calendar days before a key's last bar that its folds read.
+HISTORY_DAYS = 450
+
+
+def history(bars: DataFrame, fields: list[str] = ("high", "low", "close"), days: int = HISTORY_DAYS) -> DataFrame:
+    """``key, bucket, h``: each key's bars of the last ``days`` days in order as one array, and its last bucket."""
     entry = F.struct("bucket", *fields)
-    return bars.groupBy("key").agg(F.max("bucket").alias("bucket"), F.array_sort(F.collect_list(entry)).alias("h"))
+    recent = F.col("bucket") >= F.max("bucket").over(Window.partitionBy("key")) - F.expr(f"INTERVAL '{days}' DAY")
+    return bars.withColumn("_recent", recent).where("_recent").groupBy("key").agg(F.max("bucket").alias("bucket"), F.array_sort(F.collect_list(entry)).alias("h"))
 
 
 def _mean(values: Column, n: int) -> Column:
@@ -38,11 +43,20 @@ def _wilder(values: Column, n: int) -> Column:
     return F.aggregate(_rest(values, n), _mean(values, n), lambda e, x: (e * (n - 1) + x) / n)
 
 
-def _series(values: Column, n: int) -> Column:
-    """The exponential mean at every value from the n-th on (quadratic in a bounded history)."""
-    alpha = 2 / (n + 1)
-    step = lambda out, x: F.concat(out, F.array(F.lit(alpha) * x + F.lit(1 - alpha) * F.element_at(out, -1)))
-    return F.aggregate(_rest(values, n), F.array(_mean(values, n)), step)
+def _macd(c: Column, fast: int = 12, slow: int = 26, trigger: int = 9) -> Column:
+    """(line, trigger) at the last close: one fold that carries both means and the mean of their difference, seeded with its first values' mean."""
+    weight = lambda n, x, e: F.lit(2 / (n + 1)) * x + F.lit(1 - 2 / (n + 1)) * e
+    first = F.slice(c, 1, slow)
+    a, b = _smooth(first, fast, 2 / (fast + 1)), _mean(c, slow)
+    state = lambda a, b, n, total, t: F.struct(a.alias("a"), b.alias("b"), n.alias("n"), total.alias("total"), t.alias("t"))
+
+    def step(s, x):
+        a, b, n = weight(fast, x, s["a"]), weight(slow, x, s["b"]), s["n"] + 1
+        total = F.when(n <= trigger, s["total"] + (a - b)).otherwise(s["total"])
+        return state(a, b, n, total, F.when(n <= trigger, total / trigger).otherwise(weight(trigger, a - b, s["t"])))
+
+    start = state(a, b, F.lit(1), a - b, F.lit(0.0))
+    return F.aggregate(_rest(c, slow), start, step, lambda s: F.struct((s["a"] - s["b"]).alias("line"), s["t"].alias("trigger")))
 
 
 def ema(n: int) -> Column:
@@ -75,19 +89,18 @@ def latest_indicators(bars: DataFrame) -> DataFrame:
     """``key, bucket`` and ema_12, ema_26, rsi_14, atr_14, atr_pct_14, macd_line, macd_trigger, macd_histogram."""
     h = history(bars)
     c = F.col("h.close")
-    line = F.zip_with(F.slice(_series(c, 12), 15, F.greatest(F.size(c) - 25, F.lit(0))), _series(c, 26), lambda a, b: a - b)
-    out = h.withColumns({"ema_12": ema(12), "ema_26": ema(26), "rsi_14": rsi(), "atr_14": atr(), "_line": F.when(F.size(c) >= 26, line)})
+    out = h.withColumns({"ema_12": ema(12), "ema_26": ema(26), "rsi_14": rsi(), "atr_14": atr(), "_macd": F.when(F.size(c) >= 26, _macd(c))})
     last = F.element_at(c, -1)
     out = out.withColumns(
         {
             "atr_pct_14": result(F.try_divide(F.col("atr_14.value"), last), (F.col("atr_14.reason").isNotNull(), INSUFFICIENT_HISTORY), (last <= 0, DIVISION_UNDEFINED)),
-            "macd_line": result(F.try_element_at("_line", F.lit(-1)), (F.size(c) < 26, INSUFFICIENT_HISTORY)),
-            "macd_trigger": result(_smooth(F.col("_line"), 9, 2 / 10), (F.size(c) < 34, INSUFFICIENT_HISTORY)),
+            "macd_line": result(F.col("_macd.line"), (F.size(c) < 26, INSUFFICIENT_HISTORY)),
+            "macd_trigger": result(F.col("_macd.trigger"), (F.size(c) < 34, INSUFFICIENT_HISTORY)),
         }
     )
     # the difference of the two rounded values, so that it is 0 where they agree
     out = out.withColumn("macd_histogram", result(F.col("macd_line.value") - F.col("macd_trigger.value"), (F.size(c) < 34, INSUFFICIENT_HISTORY)))
-    return out.drop("h", "_line")
+    return out.drop("h", "_macd")
 
 
 def ema_path(x: np.ndarray, n: int) -> np.ndarray:

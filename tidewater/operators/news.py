@@ -42,23 +42,34 @@ def compatible_title(titles: pd.Series) -> pd.Series:
     return titles.map(lambda t: None if t is None else squeeze.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())
 
 
+def _earliest_before(items: DataFrame, key: str, span: int) -> DataFrame:
+    """``item_id, first_id``: each item's earliest predecessor of its source and key within ``span`` microseconds, if there is one.
+
+    Every item asks at the start of its window; items and questions lie in one descending
+    order and the item met last is carried along, so a text that is repeated often costs a
+    row each, not its whole window.
+    """
+    own = items.where(F.col(key).isNotNull()).select("source", F.col(key).alias("_k"), "_t", "item_id")
+    seen = own.select("source", "_k", F.col("_t").alias("_at"), F.lit(1).alias("_side"), "item_id", F.struct("_t", "item_id").alias("_row"), F.lit(None).cast("long").alias("_asked"))
+    asks = own.select("source", "_k", (F.col("_t") - span).alias("_at"), F.lit(0).alias("_side"), "item_id", F.lit(None).cast(seen.schema["_row"].dataType).alias("_row"), F.col("_t").alias("_asked"))
+    w = Window.partitionBy("source", "_k").orderBy(F.desc("_at"), F.desc("_side"), F.desc("item_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = seen.unionByName(asks).withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_side = 0 AND _row._t < _asked")
+    return met.select("item_id", F.col("_row.item_id").alias("first_id"))
+
+
 def duplicates(items: DataFrame, window_hours: int = 24) -> DataFrame:
     """Decides each article against earlier ones of its source: ``item_id, decision, rule, related_id``.
 
     ``items``: item_id, source, url, title_hash, content_hash, at.  The rules URL, CONTENT and
     TITLE apply in that order; the earliest match within the window is the related one.
-    A rule's earlier article is found by one window per key over its own frame, so equal
-    articles are never paired with each other.
     """
-    seconds = window_hours * 3600
     timed = items.withColumn("_t", F.unix_micros(F.col("at").cast("timestamp")))
-    found = timed
-    for rule, key in (("SAME_SOURCE_URL", "url"), ("SAME_SOURCE_CONTENT", "content_hash"), ("SAME_SOURCE_TITLE", "title_hash")):
-        w = Window.partitionBy("source", key).orderBy("_t").rangeBetween(-seconds * 1_000_000, -1)
-        found = found.withColumn(f"_{rule}", F.when(F.col(key).isNotNull(), F.min(F.struct("_t", "item_id")).over(w)["item_id"]))
-    rules = ("SAME_SOURCE_URL", "SAME_SOURCE_CONTENT", "SAME_SOURCE_TITLE")
-    rule = F.coalesce(*[F.when(F.col(f"_{r}").isNotNull(), r) for r in rules], F.lit("FIRST_SEEN"))
-    return found.select("item_id", F.when(rule == "FIRST_SEEN", "NEW_ARTICLE").otherwise("DUPLICATE_ARTICLE").alias("decision"), rule.alias("rule"), F.coalesce(*[F.col(f"_{r}") for r in rules]).alias("related_id"))
+    found = timed.select("item_id")
+    rules = {"SAME_SOURCE_URL": "url", "SAME_SOURCE_CONTENT": "content_hash", "SAME_SOURCE_TITLE": "title_hash"}
+    for rule, key in rules.items():
+        found = found.join(_earliest_before(timed, key, window_hours * 3_600_000_000).withColumnRenamed("first_id", rule), "item_id", "left")
+    rule = F.coalesce(*[F.when(F.col(r).isNotNull(), r) for r in rules], F.lit("FIRST_SEEN"))
+    return found.select("item_id", F.when(rule == "FIRST_SEEN", "NEW_ARTICLE").otherwise("DUPLICATE_ARTICLE").alias("decision"), rule.alias("rule"), F.coalesce(*[F.col(r) for r in rules]).alias("related_id"))
 
 
 def edits(observations: DataFrame, material: tuple[str, ...] = ("title", "summary", "body")) -> DataFrame:
