@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 19
 BATCH_ROWS, READ_ROWS = 2000, 512
 #: Bytes that a writer of an intermediate table gathers before it writes them out.
 ROW_GROUP = 16 << 20
+#: Files of an intermediate table, per core of the cluster: many small shuffle partitions are written by few tasks.
+FILES_PER_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +120,7 @@ def stored(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
