@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import column, short_batches, table
 
+#: Shards that a table of few rows is dealt over.
+SPREAD = 48
 #: Scaled components are 64-bit integers, in the SQL form too; one that is not below this has no such form.
 BEYOND = float(1 << 63)
 
@@ -108,7 +110,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     block streams past each shard, so what moves is the queries times the shards.
     """
     n, m = sizes or (vectors.count(), queries.count())
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
+    # a small table still makes shards for some tens of tasks
+    shards, blocks = max(1, -(-n // shard_rows), min(SPREAD, n // 512)), max(1, -(-m // block_rows))
     deal = lambda count: F.pmod(F.xxhash64("vec_id", "q"), F.lit(count)).cast("int")
     shard = _packed(vectors, deal(shards), "shard").select("dim", "shard", F.lit(-1).alias("block"), F.col("shard_ids").alias("ids"), F.col("shard_m").alias("m"))
     block = _packed(queries, deal(blocks), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
