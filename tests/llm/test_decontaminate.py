@@ -82,3 +82,28 @@ def test_awkward_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert contaminated(empty, items).count() == clean(empty, items).count() == 0
     assert contaminated(docs, items.where("false")).count() == 0 and clean(docs, items.where("false")).count() == docs.count()
+
+
+def test_query_against_every_alignment(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 40
+    items = [rng.choices(vocabulary, k=rng.randrange(14, 30)) for _ in range(8)]
+    texts = []
+    for d in range(50):
+        words = rng.choices(vocabulary, k=rng.randrange(5, 60))
+        if d % 2:
+            copy = list(rng.choice(items))
+            for p in rng.sample(range(len(copy)), len(copy) // 6):  # every sixth word or so is another one
+                copy[p] = rng.choice(vocabulary)
+            words[rng.randrange(len(words)) : 0] = copy
+        texts.append(words)
+    want = {}
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            share = _score(item, words) / (MATCH * len(item))
+            if share >= 0.5:
+                want[d, i] = share
+    docs = documents(spark, [" ".join(t) for t in texts]).repartition(3)
+    rows = contaminated(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
+    assert len(want) > 20

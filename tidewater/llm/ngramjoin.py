@@ -31,6 +31,8 @@ SHINGLE = 5
 PERCENT = 75
 #: The greatest l that a document may pick.
 MATCHES = 3
+#: Rounds in which each class meets one centre, before classes of different components meet pair by pair.
+STAR_ROUNDS = 2
 #: What comparing two documents costs, in rows of the prefix join.
 COMPARISON = 50
 #: The frequency table has 2**20 counters whatever the corpus; it only orders shingles, so its errors change no result.
@@ -224,6 +226,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return keep(stored(_near_duplicates(rows)))
 
 
+def _placed(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """The tokens with their class's component: the class itself before any is known, or where it has no link."""
+    if joined is None:
+        return tokens.withColumn("comp", F.col("doc"))
+    return tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+
 def _near_duplicates(rows: DataFrame) -> DataFrame:
     profile = _profile(rows)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
@@ -239,19 +248,27 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     repeated = not sets.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     tokens = stored(tokens.distinct() if repeated else tokens)
 
-    # first round: each class with the one that leads most of its prefix.  A copy's own edits come first in its
-    # order, so the member that has a token earliest is the least edited one: the centre of a group of near copies
-    first = F.struct("pos", "doc", "n", "matches")
-    leader = tokens.groupBy("token").agg(F.min(first).alias("l"), F.count("*").alias("c")).where("c > 1")
-    led = tokens.join(leader.select("token", F.col("l.doc").alias("x"), F.col("l.n").alias("xn"), F.col("l.pos").alias("xpos"), F.col("l.matches").alias("xmatches")), "token")
-    need = F.least("matches", "xmatches")
-    led = led.where((F.col("doc") != F.col("x")) & _counts("n", "pos", "xn", "xpos", need))
-    star = led.groupBy("doc", "x").agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
-    links = stored(_verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
-    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    # second round: pairs of different components, of which one is not the token's largest
-    placed = tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    # star rounds: each class with the one that leads most of its prefix.  A copy's own edits come first in its order,
+    # so the member that has a token earliest is the least edited one: the centre of a group of near copies.  From the
+    # second round on the centres are those of a token's largest component, for the classes that are not in it yet.
+    # What a centre leads is a part of what the two share, so it is not held against l here: the pair is verified
+    links = joined = None
+    for _ in range(STAR_ROUNDS):
+        placed = _placed(tokens, joined)
+        first = F.min(F.struct("pos", "doc", "n", "matches"))
+        most = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")).groupBy("token")
+        # at first every class is a component of its own: the earliest of them leads
+        rank = F.struct("c", "comp") if joined is not None else F.struct(-F.col("l.pos"), -F.col("l.doc"))
+        leader = most.agg(F.max_by(F.struct("comp", "l"), rank).alias("m"), F.count("*").alias("k")).where("k > 1")
+        led = placed.join(leader.select("token", F.col("m.comp").alias("xcomp"), F.col("m.l.doc").alias("x"), F.col("m.l.n").alias("xn"), F.col("m.l.pos").alias("xpos"), F.col("m.l.matches").alias("xmatches")), "token")
+        led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches")))
+        star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
+        found = stored(_verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
+        links = found if links is None else links.union(found)
+        joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    # last round: pairs of different components, of which one is not the token's largest
+    placed = _placed(tokens, joined)
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
     forget(tokens)
