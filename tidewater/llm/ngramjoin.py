@@ -164,7 +164,7 @@ def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broa
     return rows.mapInArrow(run, schema)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+def verified(rows: DataFrame, pairs: DataFrame, repeated: bool, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of the pairs (x, y), those whose sets reach the similarity: exact sizes of intersection and union."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
     wanted = bitmap(ids.select(F.xxhash64("doc").alias("key")), "key")
@@ -185,11 +185,11 @@ def _verified(rows: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "zx", 1 << 18):
-            left, right = (shingle_sets(pa.array([unpack(z).decode() for z in batch.column(c).to_pylist()], pa.string())) for c in ("zx", "zy"))
+            left, right = (shingle_sets(pa.array([unpack(z).decode() for z in batch.column(c).to_pylist()], pa.string()), shingle) for c in ("zx", "zy"))
             good = []
             for i, (a, b) in enumerate(zip(left, right)):
                 shared = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
                     good.append(i)
             if good:
                 yield batch.select(["x", "y"]).take(pa.array(good))
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return keep(stored(_near_duplicates(rows)))
 
 
-def _placed(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
+def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
     """The tokens with their class's component: the class itself before any is known, or where it has no link."""
     if joined is None:
         return tokens.withColumn("comp", F.col("doc"))
@@ -254,7 +254,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     # What a centre leads is a part of what the two share, so it is not held against l here: the pair is verified
     links = joined = None
     for _ in range(STAR_ROUNDS):
-        placed = _placed(tokens, joined)
+        placed = placed_in(tokens, joined)
         first = F.min(F.struct("pos", "doc", "n", "matches"))
         most = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")).groupBy("token")
         # at first every class is a component of its own: the earliest of them leads
@@ -263,12 +263,12 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
         led = placed.join(leader.select("token", F.col("m.comp").alias("xcomp"), F.col("m.l.doc").alias("x"), F.col("m.l.n").alias("xn"), F.col("m.l.pos").alias("xpos"), F.col("m.l.matches").alias("xmatches")), "token")
         led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches")))
         star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
-        found = stored(_verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
+        found = stored(verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
         links = found if links is None else links.union(found)
         joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # last round: pairs of different components, of which one is not the token's largest
-    placed = _placed(tokens, joined)
+    placed = placed_in(tokens, joined)
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
     forget(tokens)
@@ -284,7 +284,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
         & _counts("l_n", "l_pos", "r_n", "r_pos", need),
     )
     pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need")
-    more = stored(_verified(rows, stored(pairs.select("x", "y")), repeated))
+    more = stored(verified(rows, stored(pairs.select("x", "y")), repeated))
     joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
