@@ -16,6 +16,7 @@ _WHERE = {
     8: ("decontaminate", "op8_decontamination"),
     9: ("pii", "op9_pii"),
     10: ("langid", "op10_language_id"),
+    11: ("structure", "op11_structure_repair"),
     13: ("superminhash", "op13_superminhash"),
 }
 
