@@ -17,6 +17,7 @@ _WHERE = {
     9: ("pii", "op9_pii"),
     10: ("langid", "op10_language_id"),
     11: ("structure", "op11_structure_repair"),
+    12: ("hardnegatives", "op12_hard_negatives"),
     13: ("superminhash", "op13_superminhash"),
 }
 
