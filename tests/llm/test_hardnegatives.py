@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
 
 def test_awkward_rows(spark):
     rows = [(0, [1.0, 1.0], 1), (0, [1.0, 1.0], 1), (0, [2.0, 0.0], 2), (1, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (2, [0.6, 0.5], 2), (3, [0.6, 0.5], 3), (4, [1.0, 1.0], None)]
-    rows += [(None, [1.0, 1.0], 1), (5, [3.0], 1), (10, [2.0], 1), (6, [], 1), (7, [-1.0, -1.0], 1), (8, [1e20, 0.1], 2), (9, [0.0, 0.0], 2), (20, [0.0, 0.0], 2)]
+    rows += [(None, [1.0, 1.0], 1), (5, [3.0], 1), (10, [2.0], 1), (6, [], 1), (7, [-1.0, -1.0], 1), (8, [1e20, 0.1], 9), (9, [0.0, 0.0], 2), (20, [0.0, 0.0], 2)]
     got = _found(spark, rows, "vec_id IN (0, 10, 7, 20)")
     assert got == _exact(rows, lambda i: i in (0, 10, 7, 20)) and got
     df = spark.createDataFrame([(1, None, 1), (2, [None, 1.0], 1), (3, [math.nan, 1.0], 1), (4, [math.inf, 0.0], 2)], SCHEMA).selectExpr("*", "1 AS lane", "2 AS Block", "3 AS uid", "4 AS low", "5 AS window")
