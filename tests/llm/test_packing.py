@@ -8,7 +8,7 @@ from helpers import SCHEMA, awkward, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.packing import added_tokens, assign, pack
+from tidewater.llm.packing import added_tokens, assign, default_vocabulary, pack, token_ids
 
 
 def _reference_ids(text):
@@ -90,3 +90,12 @@ def test_queries_take_added_tokens_as_the_json_form_does(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for got in (op1_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.ids_crc32 for r in got.collect()} == want
+
+
+def test_very_long_runs_have_the_ids_of_the_whole_text(spark):
+    n = 5_000_000
+    texts = [" " * n, "\n" * n, "ab" * (n // 2), "!?" * (n // 2), "x" + " " * n + "y \u2003 z", "a" + "\r\n" * (n // 2) + "<|endoftext|>" + "\u3000" * 1_200_000 + "b  c", "\t" * 1_100_000 + "\x1c" + " \x85" * 600_000]
+    for text in texts:
+        assert np.array_equal(token_ids(default_vocabulary(), added_tokens(), text, 1), _reference_ids(text))
+    got = pack(documents(spark, texts[4:5]), added=added_tokens()).agg({"length": "sum"}).first()[0]
+    assert got == len(_reference_ids(texts[4]))

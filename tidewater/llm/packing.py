@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,22 +43,47 @@ def added_tokens() -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
-def encoder(vocabulary: str, added: dict[str, int] | None = None):
-    """The tokenizer of a rank file; strings of special tokens are ordinary text to it, but for those ``added``."""
-    known = (vocabulary, *sorted((added or {}).items()))
+def encoder(vocabulary: str, added: dict[str, int] | None = None, whole: bool = False):
+    """The tokenizer of a rank file; strings of special tokens are ordinary text to it, but for those ``added``.  To a ``whole`` one a text is one piece."""
+    known = (vocabulary, whole, *sorted((added or {}).items()))
     if known not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[known] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+        _ENCODERS[known] = tiktoken.Encoding("byte_bpe", pat_str=r"(?s:.+)" if whole else public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
     return _ENCODERS[known]
 
 
-def token_ids(encode, text: str | None, end: int) -> np.ndarray:
+#: White space as the vocabulary's pattern has it, in runs that its look-ahead cannot walk back through.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def _in_parts(encode, vocabulary: str, added: dict[str, int] | None, text: str) -> np.ndarray:
+    """The ids of a text with very long runs of white space, the runs apart.
+
+    The pattern makes one piece of a run, without its last character if something follows
+    in the text that is no added token; so the parts have the pieces of the whole.
+    """
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        rest = run.end() < len(text) and not text.startswith(tuple(added or ()), run.end())
+        out.append(encode.encode_to_numpy(text[at : run.start()], allowed_special="all", disallowed_special=()))
+        at = run.end() - rest
+        out.append(encoder(vocabulary, None, whole=True).encode_to_numpy(text[run.start() : at], disallowed_special=()))
+    out.append(encode.encode_to_numpy(text[at:], allowed_special="all", disallowed_special=()))
+    return np.concatenate(out)
+
+
+def token_ids(vocabulary: str, added: dict[str, int] | None, text: str | None, end: int) -> np.ndarray:
     """A document's ids followed by ``end``; a null text has the end alone."""
-    return np.append(encode.encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
+    encode = encoder(vocabulary, added)
+    try:
+        ids = encode.encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32)
+    except ValueError:  # the pattern ran out of stack
+        ids = _in_parts(encode, vocabulary, added, text)
+    return np.append(ids, np.uint32(end)).astype("<u4")
 
 
 def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -98,7 +124,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     is a document of the end token alone; null ids and repeated rows are packed as they
     are; an empty table gives no rows; further columns are ignored.  A task holds one
     block of ``block_tokens`` tokens, or its longest document.  Strings of ``added`` become
-    their ids wherever they stand in a text; without it they are ordinary text.
+    their ids wherever they stand in a text; without it they are ordinary text.  A text may be of
+    any length and of one character throughout: a run of white space that the pattern cannot
+    walk back through is encoded apart, with the same ids.
     """
     vocabulary = vocabulary or default_vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -124,11 +152,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, tokens = encoder(vocabulary, added), [], 0
+        block, tokens = [], 0
         first = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text"):
             for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                block.append((key, ids := token_ids(encode, body, end)))
+                block.append((key, ids := token_ids(vocabulary, added, body, end)))
                 tokens += len(ids)
                 if tokens >= block_tokens:
                     yield packed(block, first)
