@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,6 @@ SLICE_BYTES = 1 << 19
 BATCH_ROWS, READ_ROWS = 2000, 512
 #: Bytes that a writer of an intermediate table gathers before it writes them out.
 ROW_GROUP = 16 << 20
-#: Files of an intermediate table, per core of the cluster: many small shuffle partitions are written by few tasks.
-FILES_PER_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +55,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark's setting that drops a query's shuffle files once it ends.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: The tables and broadcasts of each open :func:`scratch`, the innermost last.
-_OPEN: list[list[DataFrame]] = []
-_SENT: list[list[Broadcast]] = []
+
+
+class _Scratch:
+    """The tables and broadcasts of an open :func:`scratch`, and the one around it."""
+
+    def __init__(self, around: _Scratch | None):
+        self.around, self.tables, self.sent = around, [], []
+
+
+#: The innermost open scratch of this thread: queries of other threads have their own.
+_SCRATCH: ContextVar[_Scratch | None] = ContextVar("scratch", default=None)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -71,8 +78,10 @@ def drop(*tables: DataFrame) -> None:
 
 def forget(df: DataFrame) -> None:
     """Delete a stored table ahead of its scratch."""
-    for own in _OPEN:
-        own[:] = [x for x in own if x is not df]
+    own = _SCRATCH.get()
+    while own:
+        own.tables[:] = [x for x in own.tables if x is not df]
+        own = own.around
     drop(df)
 
 
@@ -83,50 +92,52 @@ def scratch():
     What leaves the block is stored last and handed out by that function; a block around
     this one then owns it.
     """
-    own: list[DataFrame] = []
-    _OPEN.append(own)
-    _SENT.append([])
+    own = _Scratch(_SCRATCH.get())
+    token = _SCRATCH.set(own)
 
     def keep(df: DataFrame) -> DataFrame:
-        own[:] = [x for x in own if x is not df]
-        if len(_OPEN) > 1:
-            _OPEN[-2].append(df)
+        own.tables[:] = [x for x in own.tables if x is not df]
+        if own.around:
+            own.around.tables.append(df)
         return df
 
     try:
         yield keep
     finally:
-        _OPEN.pop()
-        for sent in _SENT.pop():
+        _SCRATCH.reset(token)
+        for sent in own.sent:
             sent.unpersist()
-        drop(*own)
+        drop(*own.tables)
 
 
 def broadcast(spark: SparkSession, value) -> Broadcast:
     """Broadcast a value of bounded size; executors and their Python workers let go of it when the scratch ends."""
     sent = spark.sparkContext.broadcast(value)
-    if _SENT:
-        _SENT[-1].append(sent)
+    if own := _SCRATCH.get():
+        own.sent.append(sent)
     return sent
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    Nothing reads the write's shuffles a second time, so their files go when it ends.
+    A stage over a table writes a file per partition that it reads, one behind a shuffle a file
+    per partition that adaptive execution makes of it: both follow the data's size, so
+    no task grows with the input.  Nothing reads the write's shuffles a second time, so
+    their files go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
-    if _OPEN:
-        _OPEN[-1].append(back)
+    if own := _SCRATCH.get():
+        own.tables.append(back)
     return back
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, short_batches, slices, stored, table
+from .common import bitmap, column, scratch, short_batches, slices, stored, table
 from .textkit import Words, _range_hash, _WORD_BASE, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -171,11 +171,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text has no words.  Rows of equal id and text are one document (all of them
     keep or lose the same words); texts that differ under one id are told apart and
     ordered by their checksum; a null id comes before all others.  An empty table gives
-    no rows.  Windows are compared by 64-bit hashes.
+    no rows; other columns are ignored whatever their names.  A very long text is one
+    document like any other: a task holds one at a time.  Windows are compared by 64-bit hashes.
     """
-    rows = short_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"))
+    body = column(text)
+    rows = short_batches(docs).select(column(doc_id).alias("doc_id"), body.alias("text"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("version"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = repeats(rows, window, anchor).distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    with scratch() as keep:
+        spans = keep(stored(repeats(rows, window, anchor).distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count")).alias("spans"))))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
