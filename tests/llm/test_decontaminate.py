@@ -5,7 +5,7 @@ import random
 import numpy as np
 from helpers import SCHEMA, awkward, documents
 
-from tidewater.llm.decontaminate import GAP, MATCH, MISMATCH, clean, contaminated, smith_waterman
+from tidewater.llm.decontaminate import GAP, MATCH, MISMATCH, clean, contaminated, least_seeds, room, smith_waterman
 
 ITEMS = "item_id long, text string"
 
@@ -107,3 +107,51 @@ def test_query_against_every_alignment(spark):
     rows = contaminated(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEMS)).collect()
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
     assert len(want) > 20
+
+
+def _edits(rng, item, vocabulary):
+    """Copies by the classes of edits that leave about the threshold."""
+    other = lambda: rng.choice(vocabulary)
+    yield [other() if k % 3 == 2 else x for k, x in enumerate(item)]  # every third word replaced
+    yield [y for k, x in enumerate(item) for y in ([x, other()] if k % 2 else [x])]  # one inserted after every second
+    yield [y for x in item for y in (x, other())][:-1]  # after every one
+    yield [y for k, x in enumerate(item) for y in ([x, other(), other()] if k % 3 == 2 else [x])]  # two after every third
+    yield [x for k, x in enumerate(item) if k % 4]  # every fourth dropped
+    yield item[: len(item) // 2 + 1]  # the first half
+    mixed = list(item)
+    for _ in range(len(item) // 3):
+        p = rng.randrange(len(mixed))
+        mixed[p : p + 1] = rng.choice([[other()], [], [mixed[p], other()]])
+    yield mixed
+
+
+def test_every_class_of_edits_is_found(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of"] * 60
+    items = [rng.choices(vocabulary, k=n) for n in (3, 4, 5, 6, 7, 8, 12, 20, 33, 60)]
+    texts = [rng.choices(vocabulary, k=rng.randrange(40)) + copy + rng.choices(vocabulary, k=rng.randrange(40)) for item in items for copy in _edits(rng, item, vocabulary)]
+    want = {}
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            share = _score(item, words) / (MATCH * len(item))
+            if share >= 0.5:
+                want[d, i] = round(share, 9)
+    rows = contaminated(documents(spark, [" ".join(t) for t in texts]), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in rows} == want and len(want) > 40
+
+
+def test_least_seeds_holds_for_every_alignment():
+    """Every string of edits of a short item: what reaches the threshold meets so many seeds and takes so much room."""
+    import itertools
+
+    for n in range(4, 8):
+        fewest, longest = n, 0
+        # per item word: matched, replaced or dropped, and how many words are inserted behind it
+        for kinds in itertools.product("mrd", repeat=n):
+            for inserted in itertools.product(range(3), repeat=n - 1):
+                if MATCH * kinds.count("m") - (n - kinds.count("m")) - sum(inserted) < n:
+                    continue
+                fewest = min(fewest, sum(a == b == "m" and k < 2 for a, b, k in zip(kinds, kinds[1:], inserted)))
+                longest = max(longest, n - kinds.count("d") + sum(inserted))
+        assert max(1, least_seeds(n, 0.5)) <= max(1, fewest) and longest <= room(n, 0.5)
+        assert fewest >= 1 or n < 4

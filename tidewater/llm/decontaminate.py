@@ -1,33 +1,67 @@
 """Benchmark decontamination (operator 8): rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of each part of a test item that the fewest documents have are its seeds.  Where a document
-meets a seed, the passage around it is aligned with the item word by word; the score
-is the alignment's share of what a verbatim copy would get, so edited and paraphrased
-copies score as far as they follow the item.
+A seed is two neighbouring words of a test item; a passage meets it where it has the two words
+side by side or with one word between them.  From the alignment's costs follows how many
+seeds a passage meets at least if its score reaches the threshold (:func:`least_seeds`): replaced,
+dropped and inserted words each cost what the seeds they break are worth.  Of an item's
+seeds the most common ones may therefore rest, one less than that number: whatever
+reaches the threshold meets one of the others.  Where a document meets a rare seed, and as
+many seeds as are needed in the room that an alignment can take, the passage around them
+is aligned with the item word by word.  The score is the alignment's share of what a
+verbatim copy would get, so edited and paraphrased copies score as far as they follow the item;
+no pair that reaches the threshold is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, short_batches, slices, table
-from .textkit import windows_of, words_of
+from .common import broadcast, column, scratch, short_batches, slices, stored, table
+from .textkit import Words, mix, words_of
 
-SEED_WORDS = 3
-#: Of every STRETCH seeds in a row of an item, the RAREST that the fewest documents have search.  Only the order of the
-#: counts matters, so an item searches with as many seeds whatever the size of the corpus, and each part of it is covered.
-STRETCH, RAREST = 8, 6
+#: An item of fewer words has no seeds.
+SHORTEST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score, as a share of a verbatim copy's, from which a document counts as contaminated.
 LEAST = 0.5
 #: Words of test items that are broadcast at once; a larger benchmark takes several passes.
 PART_WORDS = 2_000_000
+#: Bits of the table that tells most words of a corpus from those that begin a seed.
+FILTER_BITS = 20
+
+
+@cache
+def least_seeds(n: int, least: float) -> int:
+    """How many of an item's n - 1 neighbouring pairs an alignment of at least that share meets, at least.
+
+    With m words matched, at most 2m - s errors leave the score s.  Each break between two runs
+    of matched item words takes an error and an unmatched item word; a pair inside a run
+    is lost only to two inserted words.  (An error costs 1 whatever its kind.)
+    """
+    score = int(np.ceil(least * MATCH * n - 1e-9))
+    fewest = n
+    for m in range(-(-score // MATCH), n + 1):
+        errors = MATCH * m - score
+        runs = min(n - m, errors) + 1
+        inside = m - runs
+        fewest = min(fewest, inside - min(inside, (errors - runs + 1) // 2))
+    return max(fewest, 0)
+
+
+def room(n: int, least: float) -> int:
+    """Words of a passage that an alignment of at least that share spans, at most."""
+    return n + MATCH * n - int(np.ceil(least * MATCH * n - 1e-9))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash for two words in this order."""
+    return mix(mix(first) + second * np.uint64(0x9E3779B97F4A7C15))
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -57,37 +91,64 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
 class Items:
     """The words and seeds of a part of the benchmark."""
 
-    def __init__(self, ids: list, column: pa.Array):
+    def __init__(self, ids: list, column: pa.Array, least: float = LEAST):
         words = words_of(column, lower=True, marks=True)
         self.ids, self.words, self.first = ids, words.hashes, words.first
-        h, at = windows_of(words, SEED_WORDS)
+        self.size = np.diff(words.first)
+        self.need = np.array([max(1, least_seeds(int(n), least)) for n in self.size], np.int64)
+        self.room = np.array([room(int(n), least) for n in self.size], np.int64)
+        item = words.doc_of()
+        at = np.flatnonzero((item[1:] == item[:-1]) & (self.size[item[1:]] >= SHORTEST)) if len(item) else np.zeros(0, np.int64)
+        h, at = pair_hashes(self.words[at], self.words[at + 1]), at
+        # of three words the outer two may reach the threshold alone
+        three = np.flatnonzero(self.size == 3)
+        outer = self.first[three]
+        h, at = np.concatenate([h, pair_hashes(self.words[outer], self.words[outer + 2])]), np.concatenate([at, outer])
         order = np.argsort(h, kind="stable")
         self.seeds, self.at = h[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
+        self.rare = np.ones(len(h), bool)
 
-    def keep(self, distinct: np.ndarray, counts: np.ndarray) -> None:
-        """Keep the seeds that occur and are among the rarest of their stretch of the item."""
+    def rest(self, distinct: np.ndarray, counts: np.ndarray) -> None:
+        """Let the most common seeds of each item rest, one less than an alignment meets at least."""
         df = np.zeros(len(self.seeds), np.int64)
         if len(distinct):
             at = np.minimum(np.searchsorted(distinct, self.seeds), len(distinct) - 1)
             df = np.where(distinct[at] == self.seeds, counts[at], 0)
-        stretch = (self.item << 32) + (self.at - self.first[self.item]) // STRETCH
-        met = df > 0
-        order = np.lexsort((self.seeds, np.where(met, df, np.iinfo(np.int64).max), stretch))
+        order = np.lexsort((self.seeds, -df, self.item))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(stretch[order], stretch[order])
-        good = met & (rank < RAREST)
-        self.seeds, self.at, self.item = self.seeds[good], self.at[good], self.item[good]
-
-    def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into hashes, index into seeds) of equal values."""
-        a, b = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
-        hit = np.flatnonzero(b > a)
-        n = (b - a)[hit]
-        return np.repeat(hit, n), np.repeat(a[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-
-def _parts(benchmark: DataFrame) -> Iterator[Items]:
+        rank[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
+        self.rare = rank >= self.need[self.item] - 1
+
+    def tables(self) -> tuple[tuple, tuple]:
+        """The rare seeds and all seeds: (bit table, hashes, places)."""
+        return tuple((_bits(self.seeds[own]), self.seeds[own], np.flatnonzero(own)) for own in (self.rare, np.ones(len(self.seeds), bool)))
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    table = np.zeros(1 << FILTER_BITS, bool)
+    table[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+    return table
+
+
+def _met(words: Words, doc: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (first word's place, seed) wherever a document has a seed's words side by side or with one between."""
+    bits, hashes, places = table
+    out = []
+    for distance in (1, 2):
+        if len(doc) <= distance:
+            continue
+        h = pair_hashes(words.hashes[:-distance], words.hashes[distance:])
+        at = np.flatnonzero(bits[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        at = at[doc[at] == doc[at + distance]]
+        a, b = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+        n = b - a
+        which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        out.append((np.repeat(at, n), places[which.astype(np.int64)]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _parts(benchmark: DataFrame, least: float) -> Iterator[Items]:
     """The test items, in parts of bounded size."""
     ids, texts, size = [], [], 0
     for key, text in benchmark.toLocalIterator():
@@ -95,10 +156,10 @@ def _parts(benchmark: DataFrame) -> Iterator[Items]:
         texts.append(text or "")
         size += len(texts[-1]) // 2
         if size >= PART_WORDS:
-            yield Items(ids, pa.array(texts, pa.string()))
+            yield Items(ids, pa.array(texts, pa.string()), least)
             ids, texts, size = [], [], 0
     if ids:
-        yield Items(ids, pa.array(texts, pa.string()))
+        yield Items(ids, pa.array(texts, pa.string()), least)
 
 
 def _seed_counts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +167,14 @@ def _seed_counts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.unique(shared.value.seeds)
+        table = _bits(seeds), seeds, np.arange(len(seeds))
         total = np.zeros(len(seeds), np.int64)
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"), lower=True, marks=True)
-            h, at = windows_of(words, SEED_WORDS)
-            place = np.minimum(np.searchsorted(seeds, h), max(len(seeds) - 1, 0))
-            hit = np.flatnonzero(seeds[place] == h) if len(seeds) else np.zeros(0, np.int64)
-            doc = words.doc_of()[at[hit]]
-            total += np.bincount(np.unique(doc * len(seeds) + place[hit]) % max(len(seeds), 1), minlength=len(seeds))
+            doc = words.doc_of()
+            at, seed = _met(words, doc, table)
+            once = np.unique(doc[at] * max(len(seeds), 1) + seed)
+            total += np.bincount(once % max(len(seeds), 1), minlength=len(seeds))
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seeds[met].view(np.int64)), pa.array(total[met])], ["seed", "n"])
 
@@ -123,40 +184,52 @@ def _seed_counts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return seeds[order], np.array([r.n for r in rows], np.int64)[order]
 
 
-def _matches(batch: pa.RecordBatch, items: Items, least: float) -> dict[tuple[int, int], tuple]:
+def _matches(batch: pa.RecordBatch, items: Items, tables: tuple, least: float) -> dict[tuple[int, int], tuple]:
     """The best alignment (score, start, end, seeds) of each (row, item) of a batch that reaches ``least``."""
     words = words_of(batch.column("text"), lower=True, marks=True)
-    h, at = windows_of(words, SEED_WORDS)
-    where, seed = items.met(h)
-    pos, item = at[where], items.item[seed]
-    doc = words.doc_of()[pos] if len(pos) else pos
-    diagonal = pos - (items.at[seed] - items.first[item])  # where the item would begin
-    order = np.lexsort((pos, item, doc))
-    pos, item, doc, diagonal = pos[order], item[order], doc[order], diagonal[order]
-    size = np.diff(items.first)
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[item[1:]])
-    starts = np.flatnonzero(new)
+    doc = words.doc_of()
+    pos, seed = _met(words, doc, tables[0])
+    if not len(pos):
+        return {}
+    code = np.unique(doc[pos] * len(items.size) + items.item[seed])
+    pos, seed = _met(words, doc, tables[1])
+    own = doc[pos] * len(items.size) + items.item[seed]
+    known = np.isin(own, code)
+    own, pos, seed = own[known], pos[known], seed[known]
+    # a word pair met at one place counts once, whatever number of the item's places has it
+    order = np.lexsort((seed, pos, own))
+    own, pos, seed = own[order], pos[order], seed[order]
+    item = own % len(items.size)
+    last = np.arange(len(own)) + items.need[item] - 1
+    there = np.flatnonzero(last < len(own))
+    there = there[(own[last[there]] == own[there]) & (pos[last[there]] - pos[there] <= items.room[item[there]])]
     best: dict[tuple[int, int], tuple] = {}
-    for a, b in zip(starts, [*starts[1:], len(pos)]):
-        d, i = int(doc[a]), int(item[a])
-        n, slack = int(size[i]), int(size[i]) // 4 + 2
-        lo = max(int(words.first[d]), int(diagonal[a:b].min()) - slack)
-        hi = min(int(words.first[d + 1]), int(diagonal[a:b].max()) + n + slack)
-        score, x, y = smith_waterman(items.words[items.first[i] : items.first[i + 1]], words.hashes[lo:hi])
+    if not len(there):
+        return best
+    # runs of such places, joined where their surroundings touch
+    a, b = there, last[there]
+    end = np.maximum.accumulate(b)
+    new = np.ones(len(a), bool)
+    new[1:] = (own[a[1:]] != own[a[:-1]]) | (pos[a[1:]] - pos[end[:-1]] > items.room[item[a[1:]]])
+    for x, y in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(a)]):
+        d, i = divmod(int(own[a[x]]), len(items.size))
+        n, reach = int(items.size[i]), int(items.room[i])
+        lo = max(int(words.first[d]), int(pos[a[x]]) - reach)
+        hi = min(int(words.first[d + 1]), int(pos[b[x:y].max()]) + reach + 1)
+        score, start, stop = smith_waterman(items.words[items.first[i] : items.first[i + 1]], words.hashes[lo:hi])
         share = score / (MATCH * n)
         if share >= least and share > best.get((d, i), (0,))[0]:
             off = lo - int(words.first[d])
-            best[d, i] = (share, off + x, off + y, len(np.unique(pos[a:b])))
+            inside = pos[a[x] : b[y - 1] + 1]
+            best[d, i] = (share, off + start, off + stop, len(np.unique(inside[(inside >= lo + start) & (inside < lo + stop)])))
     return best
 
 
-def _shared_parts(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
+def _shared_parts(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, least: float) -> Iterator:
     """Broadcast each part of the benchmark with the seeds that are rare over all documents."""
-    context = rows.sparkSession.sparkContext
-    for items in _parts(benchmark.select(column(item_id), column(item_text))):
-        items.keep(*_seed_counts(rows, context.broadcast(items)))
-        yield context.broadcast(items)
+    for items in _parts(benchmark.select(column(item_id), column(item_text)), least):
+        items.rest(*_seed_counts(rows, broadcast(rows.sparkSession, items)))
+        yield broadcast(rows.sparkSession, items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
@@ -164,11 +237,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ``score`` (0 to 1) is the best alignment's score over that of a verbatim copy; pairs
     below ``least`` are left out.  ``start`` and ``end`` are the passage's words (parted at
-    ASCII white space and punctuation, A-Z folded); ``seeds`` counts the distinct seeds.
+    ASCII white space and punctuation, A-Z folded); ``seeds`` counts the places in it that meet a seed.
+    Of equally good alignments with one item the first counts.
 
     Null or empty texts match nothing, and an item of fewer than three words has no seed
-    and takes no part.  Ids may be null; repeated documents or items each give their
-    rows; an empty table on either side gives no rows.  Other columns are ignored.
+    and takes no part.  A very long text is searched from end to end, a slice of the rows at a time.
+    Ids may be null; repeated documents or items each give their rows; an empty table on
+    either side gives no rows.  Other columns are ignored whatever their names.
     """
     rows = short_batches(docs).select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString())
@@ -176,8 +251,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = shared.value.tables()
             for batch in slices(batches, "text"):
-                best = _matches(batch, shared.value, least)
+                best = _matches(batch, shared.value, tables, least)
                 found = sorted(best)
                 if found:
                     columns = [batch.column("doc_id").take(pa.array([d for d, _ in found], pa.int64())), pa.array([shared.value.ids[i] for _, i in found])]
@@ -186,14 +262,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
         return rows.mapInArrow(run, schema)
 
-    found = [search(shared) for shared in _shared_parts(rows, benchmark, item_id, item_text)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+    with scratch() as keep:
+        found = [search(shared) for shared in _shared_parts(rows, benchmark, item_id, item_text, least)]
+        return keep(stored(reduce(DataFrame.union, found))) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """The documents, with all their columns, that repeat no test item; rules as for :func:`contaminated`.
 
-    Rows are judged where they are read: none moves.
+    Rows are judged where they are read: none moves.  The benchmark's parts are let go with the
+    scratch around the call, if there is one.
     """
     rows = short_batches(docs).select(column(text).alias("text"))
 
@@ -203,13 +281,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = shared.value.tables()
             for batch in slices(batches, body):
-                bad = {d for d, _ in _matches(pa.RecordBatch.from_arrays([batch.column(body)], ["text"]), shared.value, least)}
+                bad = {d for d, _ in _matches(pa.RecordBatch.from_arrays([batch.column(body)], ["text"]), shared.value, tables, least)}
                 yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))
 
         return run
 
-    for shared in _shared_parts(rows, benchmark, item_id, item_text):
+    for shared in _shared_parts(rows, benchmark, item_id, item_text, least):
         docs = docs.mapInArrow(keep(shared), docs.schema)
     return docs.toDF(*names)
 
