@@ -153,14 +153,14 @@ def long_form(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(pairs))
 
 
-def beta(stock: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
+def beta(stock: DataFrame, index: DataFrame, n: int = 60, common: tuple[str, ...] = ("bucket",)) -> DataFrame:
     """``key, value, reason``: slope of a key's last n returns on the index's, over common buckets.
 
-    ``index`` is the bars of one key.
+    ``index`` is the bars of one key, or of one key an instant if ``common`` names the instant too.
     """
-    step = lambda df: df.withColumn("_p", F.lag("close").over(along())).where("_p > 0").select("key", "bucket", (F.col("close") / F.col("_p") - 1).alias("r"))
-    other = step(index).select("bucket", F.col("r").alias("x"))
-    both = step(stock).join(other, "bucket")
+    step = lambda df: df.withColumn("_p", F.lag("close").over(along())).where("_p > 0").select("key", *common, (F.col("close") / F.col("_p") - 1).alias("r"))
+    other = step(index).select(*common, F.col("r").alias("x"))
+    both = step(stock).join(other, list(common))
     latest = Window.partitionBy("key").orderBy(F.desc("bucket"))
     both = both.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= n)
     got = both.groupBy("key").agg(F.count("*").alias("_c"), F.regr_slope("r", "x").alias("_b"), F.var_pop("x").alias("_v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,16 +52,26 @@ def bar_rows(bars: DataFrame, index: DataFrame, instant: Column, previous_sessio
     A key whose last visible bar is not of the previous session is stale: its values are MISSING_INPUT.
     ``index`` holds the benchmark's bars; ``sectors``: key, sector.
     """
-    seen = visible_bars(bars, instant)
-    last = last_rows(seen, list(STOCK_FEATURES))
+    with_sector = None if sectors is None else lambda df: df.join(sectors, "key", "left")
+    return visible_rows(visible_bars(bars, instant), visible_bars(index, instant), previous_session, with_sector)
+
+
+def visible_rows(seen: DataFrame, index: DataFrame, previous_session: Column, with_sector: Callable[[DataFrame], DataFrame] | None = None, common: tuple[str, ...] = ("bucket",), features_of: tuple[str, ...] = STOCK_FEATURES) -> DataFrame:
+    """The rows of :func:`bar_rows` of bars that are all visible.
+
+    ``key`` may be a struct of a key and an instant: then each instant's bars make rows of their
+    own, ``common`` names the columns that a bar shares with the index's, and ``with_sector``
+    adds a sector that is the instant's own.
+    """
+    last = last_rows(seen, list(features_of))
     folds = latest_indicators(seen.select("key", "bucket", "open", "high", "low", "close", "volume")).select("key", *FOLDED)
-    both = last.join(folds, "key", "left").join(beta(seen, visible_bars(index, instant)).withColumnRenamed("beta", "beta_60"), "key", "left")
+    both = last.join(folds, "key", "left").join(beta(seen, index, common=common).withColumnRenamed("beta", "beta_60"), "key", "left")
     both = both.withColumn("beta_60", F.coalesce("beta_60", result(F.lit(None).cast("double"), (F.lit(True), MISSING_INPUT))))
     stale = F.col("bucket") != previous_session
-    rows = _long(both, "INSTRUMENT", {n: n for n in (*STOCK_FEATURES, "volatility_20", *FOLDED, "beta_60")}, stale)
-    if sectors is None:
+    rows = _long(both, "INSTRUMENT", {n: n for n in (*features_of, "volatility_20", *FOLDED, "beta_60")}, stale)
+    if with_sector is None:
         return rows
-    ret = last.select("key", F.when(~stale, F.col("ret_20d.value")).alias("r"), "input_max_knowable_at", "inputs_sha256").join(sectors, "key", "left")
+    ret = with_sector(last.select("key", F.when(~stale, F.col("ret_20d.value")).alias("r"), "input_max_knowable_at", "inputs_sha256"))
     rel = peer_median(ret, "sector", "key", "r").select("key", "input_max_knowable_at", "inputs_sha256", result(F.col("relative"), (F.col("relative").isNull(), MISSING_INPUT)).alias("sector_rs_20"))
     return rows.unionByName(_long(rel, "INSTRUMENT", {"sector_rs_20": "sector_rs_20"}, F.lit(False)))
 

@@ -66,6 +66,42 @@ MONTHLY_SQL = """monthly AS (
          round(avg(l_tax), 6) AS spread, count(*) AS lines FROM lineitem GROUP BY 1, 2)"""
 
 
+def desk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of each supplier's unit prices by the shipping week, knowable 8, 9 or 10 days after its Monday; rows grow with ``lineitem``."""
+    l = table(spark, sf_dir, "lineitem").withColumns({"key": F.col("l_suppkey"), "bucket": F.date_trunc("week", "l_shipdate").cast("timestamp_ntz"), "price": F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100})  # noqa: E741
+    return _week(l)
+
+
+def desk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars over all suppliers, as key 0."""
+    l = table(spark, sf_dir, "lineitem").withColumns({"key": F.lit(0).cast("long"), "bucket": F.date_trunc("week", "l_shipdate").cast("timestamp_ntz"), "price": F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100})  # noqa: E741
+    return _week(l)
+
+
+def _week(lines: DataFrame) -> DataFrame:
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    bars = lines.groupBy("key", "bucket").agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("l_quantity").cast("long").alias("volume"), (F.sum("l_linenumber") % 3).cast("int").alias("_late")
+    )
+    return bars.withColumn("knowable_at", F.col("bucket") + F.make_dt_interval(days=8 + F.col("_late"))).drop("_late")
+
+
+DESK_SQL = """lines AS (SELECT l_suppkey AS key, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS bucket, floor(l_extendedprice / l_quantity * 100) / 100 AS price, * FROM lineitem),
+desk AS (SELECT key, bucket, arg_min(price, (l_shipdate, l_orderkey, l_linenumber)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (l_shipdate, l_orderkey, l_linenumber)) AS close,
+  CAST(sum(l_quantity) AS BIGINT) AS volume, bucket + to_days(CAST(8 + sum(l_linenumber) % 3 AS INTEGER)) AS knowable_at FROM lines GROUP BY 1, 2)"""
+INDEX_SQL = """desk_index AS (SELECT 0 AS key, bucket, arg_max(price, (l_shipdate, l_orderkey, l_linenumber)) AS close, bucket + to_days(CAST(8 + sum(l_linenumber) % 3 AS INTEGER)) AS knowable_at FROM lines GROUP BY 2)"""
+
+
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants: the starts of all months that ``lineitem`` ships in but the first, each with its last weekly session."""
+    m = table(spark, sf_dir, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("as_of")).distinct().where("as_of > timestamp_ntz'1995-01-01'")
+    return m.withColumn("previous_session", F.date_trunc("week", F.col("as_of") - F.expr("INTERVAL '8' DAY") - F.expr("INTERVAL '1' SECOND")).cast("timestamp_ntz"))
+
+
+MONTHS_SQL = """months AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS as_of FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-02-01'),
+instants AS (SELECT as_of, CAST(date_trunc('week', as_of - INTERVAL 8 DAY - INTERVAL 1 SECOND) AS TIMESTAMP) AS previous_session FROM months)"""
+
+
 def text_of(column: str) -> str:
     """A timestamp as text, the same on both sides."""
     return f"CAST({column} AS STRING)"
