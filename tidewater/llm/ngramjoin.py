@@ -56,14 +56,14 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def _least_overlap(n: int) -> int:
+def _least_overlap(n: int, percent: int = PERCENT) -> int:
     """What a set of n shingles shares with any partner, at least."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[np.ndarray, int]:
+def prefix(hashes: np.ndarray, counts: np.ndarray, background: float, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """A set's prefix for the l of the lowest estimated cost, in order, and that l."""
-    n, overlap = len(hashes), _least_overlap(len(hashes))
+    n, overlap = len(hashes), _least_overlap(len(hashes), percent)
     seen = counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
     most = min(MATCHES, overlap)
     first = n - overlap + 1
@@ -75,7 +75,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, background: float) -> tuple[n
     return hashes[order[: first + picked - 1]], picked
 
 
-def _profile(rows: DataFrame) -> DataFrame:
+def _profile(rows: DataFrame, shingle: int) -> DataFrame:
     """One scan for two things: a row per document (doc_id, n, a, b) with its set's digest, and the counters' pages."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -84,7 +84,7 @@ def _profile(rows: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "a", "b", "part", "page", "counts"]
         doc_type = None
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"))
+            sets = shingle_sets(batch.column("text"), shingle)
             ids = batch.column("doc_id")
             doc_type = ids.type
             if sets:
@@ -128,7 +128,7 @@ def _counters(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
     return counts
 
 
-def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broadcast | None) -> DataFrame:
+def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broadcast | None, shingle: int, percent: int) -> DataFrame:
     """The prefix shingles of the wanted documents: without ``hot`` the bare tokens, with it those that may be shared.
 
     Rows then are (token, doc, n, pos, matches): the token's place in the document's order,
@@ -147,9 +147,9 @@ def _prefixes(rows: DataFrame, counters: Broadcast, wanted: Broadcast, hot: Broa
             batch = batch.take(pa.array(keep))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             out: list[tuple] = []
-            for doc, s in zip(ids, shingle_sets(batch.column("text"))):
+            for doc, s in zip(ids, shingle_sets(batch.column("text"), shingle)):
                 if len(s):
-                    token, matches = prefix(s, counts, background)
+                    token, matches = prefix(s, counts, background, percent)
                     if hot is not None:
                         pos = np.flatnonzero(hot.value.has(token))
                         out.append((token[pos], np.full(len(pos), doc), *(np.full(len(pos), x, np.int32) for x in (len(s), 0, matches))))
@@ -197,24 +197,24 @@ def verified(rows: DataFrame, pairs: DataFrame, repeated: bool, shingle: int = S
     return both.select("x", "y", "zx", "zy").mapInArrow(compare, "x long, y long")
 
 
-def _counts(n: str, pos: str, other_n: str, other_pos: str, matches: Column) -> Column:
+def _counts(n: str, pos: str, other_n: str, other_pos: str, matches: Column, percent: int) -> Column:
     """Whether a shared token counts: sizes allow the similarity, and both places the l-th match.
 
     A pair that shares ``need`` shingles has its l-th common one among the first
     n - need + l of each side.
     """
-    need = F.ceil((F.col(n) + F.col(other_n)) * PERCENT / (100 + PERCENT))
-    size = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT
+    need = F.ceil((F.col(n) + F.col(other_n)) * percent / (100 + percent))
+    size = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent
     return size & (F.col(pos) < F.col(n) - need + matches) & (F.col(other_pos) < F.col(other_n) - need + matches)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
-    A document's set has the distinct five-word shingles of its whole text (A-Z folded,
+    A document's set has the distinct shingles of ``shingle`` words of its whole text (A-Z folded,
     parted at ASCII white space); one of fewer words has all of them as one shingle; a
     null or blank text has none and is linked with nothing.  Two documents are linked
-    when their sets' similarity is 0.75 or more; ``component_id`` is the smallest id that
+    when their sets' similarity is ``percent`` hundredths or more; ``component_id`` is the smallest id that
     links reach, the own included.
 
     Ids are integers; rows of one id count as one document per text; a row without id
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = short_batches(docs).select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     with scratch() as keep:
-        return keep(stored(_near_duplicates(rows)))
+        return keep(stored(_near_duplicates(rows, shingle, percent)))
 
 
 def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -233,17 +233,17 @@ def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
     return tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def _near_duplicates(rows: DataFrame) -> DataFrame:
-    profile = _profile(rows)
+def _near_duplicates(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    profile = _profile(rows, shingle)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
     classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     reps = classes.where("rep IS NOT NULL").select("rep")
     counters = broadcast(rows.sparkSession, _counters(profile).astype(np.float32))
     wanted = bitmap(reps.select(F.xxhash64("rep").alias("key")), "key")
-    seen = stored(_prefixes(rows, counters, wanted, None).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    seen = stored(_prefixes(rows, counters, wanted, None, shingle, percent).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     hot = bitmap(seen, "token")
     forget(seen)
-    tokens = _prefixes(rows, counters, wanted, hot)
+    tokens = _prefixes(rows, counters, wanted, hot, shingle, percent)
     # rows that repeat an id would send their tokens again and again
     repeated = not sets.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     tokens = stored(tokens.distinct() if repeated else tokens)
@@ -261,9 +261,9 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
         rank = F.struct("c", "comp") if joined is not None else F.struct(-F.col("l.pos"), -F.col("l.doc"))
         leader = most.agg(F.max_by(F.struct("comp", "l"), rank).alias("m"), F.count("*").alias("k")).where("k > 1")
         led = placed.join(leader.select("token", F.col("m.comp").alias("xcomp"), F.col("m.l.doc").alias("x"), F.col("m.l.n").alias("xn"), F.col("m.l.pos").alias("xpos"), F.col("m.l.matches").alias("xmatches")), "token")
-        led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches")))
+        led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches"), percent))
         star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
-        found = stored(verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated))
+        found = stored(verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated, shingle, percent))
         links = found if links is None else links.union(found)
         joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
@@ -281,10 +281,10 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
         (left["token"] == right["token"])
         & (F.col("l_comp") != F.col("r_comp"))
         & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc")))
-        & _counts("l_n", "l_pos", "r_n", "r_pos", need),
+        & _counts("l_n", "l_pos", "r_n", "r_pos", need, percent),
     )
     pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need")
-    more = stored(verified(rows, stored(pairs.select("x", "y")), repeated))
+    more = stored(verified(rows, stored(pairs.select("x", "y")), repeated, shingle, percent))
     joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))

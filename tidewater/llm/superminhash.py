@@ -11,8 +11,9 @@ documents of one token are candidates, which are compared on their full sets; wh
 grouped by the distributed union-find of :func:`components`.
 
 Equal sets are one class from the start.  A class first meets one centre, the candidate that
-shares most tokens with others; pairs are formed only of classes that this leaves in
-different components, so a large group of near copies costs a link per member.
+shares most tokens with others.  Documents of bands that this leaves with several components go
+through the n-gram join of :mod:`ngramjoin`: similar ones that are just no links share bands as
+often as links do, and only their rare shingles tell them apart without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, forget, scratch, short_batches, slices, stored, table
-from .ngramjoin import placed_in, shingle_sets, verified
+from .common import bitmap, column, components, forget, scratch, short_batches, slices, stored, table
+from .ngramjoin import near_duplicates, placed_in, shingle_sets, verified
 from .textkit import mix
 
 SHINGLE, PERCENT = 4, 80
@@ -101,6 +103,19 @@ def _profile(rows: DataFrame, bands: int, per_band: int, shingle: int) -> DataFr
     return stored(rows.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, tokens array<long>"))
 
 
+def _texts(source: DataFrame, wanted: Broadcast, repeated: bool) -> DataFrame:
+    """The rows whose ids may be wanted, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.flatnonzero(wanted.value.has(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+            if len(keep):
+                yield batch.select(["doc_id", "text"]).take(pa.array(keep))
+
+    found = source.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text string")
+    return found.dropDuplicates(["doc_id", "text"]) if repeated else found
+
+
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -150,20 +165,16 @@ def _groups(source: DataFrame, shingle: int, percent: int, bands: int, per_band:
         links = found if links is None else links.union(found)
         joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    # last round: pairs of different components, of which one is not the token's largest
+    # bands that still hold several components: their documents meet by rare shingles.  Bands cannot tell a group of copies
+    # that are just too far apart from one of links, so pairs of a band would be all pairs of such a group
     placed = placed_in(tokens, joined)
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
+    several = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+    open_docs = stored(placed.join(several, "token", "left_semi").select("doc").distinct())
     forget(tokens)
-    left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("doc", "n", "comp")])
-    right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "comp")])
-    met = left.join(
-        right,
-        (left["token"] == right["token"]) & (F.col("l_comp") != F.col("r_comp")) & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc"))) & near("l_n", "r_n"),
-    )
-    pairs = met.select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).distinct()
-    more = stored(verified(source, stored(pairs), repeated, shingle, percent))
-    joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    wanted = bitmap(open_docs.select(F.xxhash64("doc").alias("key")), "key")
+    left = stored(_texts(source, wanted, repeated).join(open_docs.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"))
+    met = near_duplicates(left, shingle=shingle, percent=percent).where("doc_id <> component_id")
+    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(met.select(F.col("component_id"), F.col("doc_id"))))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
     found = sets.join(classes, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
