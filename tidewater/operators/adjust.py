@@ -1,4 +1,4 @@
-"""Corporate actions: exact factors, point-in-time adjustment of prices, classification of revisions."""
+"""Corporate actions: exact factors, point-in-time adjustment of prices, classification of revisions.  :mod:`basis` has what a vendor had applied already."""
 
 from __future__ import annotations
 
@@ -61,14 +61,3 @@ def classify_revision(stored: Column, new: Column, factors: Column, tick: float
     explained = F.exists(F.filter(subsets, lambda p: F.abs(p - 1) > 1e-12), lambda p: F.abs(stored / p - new) <= tick)
     late = F.lit(False) if same_session is None else same_session
     return F.when(stored == new, "SAME").when(F.abs(stored - new) <= tick, "ROUNDING").when(explained, "CA_ADJUSTMENT").when(late, "SETTLEMENT").otherwise("UNEXPLAINED")
-
-
-def vendor_treatment(factor: Column, previous_close: Column, ex_open: Column, tolerance: float = 0.25) -> Column:
-    """Whether a vendor applied a factor, by the jump at the ex-date: APPLIED, NOT_APPLIED or UNKNOWN.
-
-    In logarithms the jump has to be nearer to 0 (applied) or to -log(factor) (not) than
-    ``tolerance`` times the factor's own logarithm.
-    """
-    jump, size = F.log(ex_open / previous_close), F.log(factor)
-    usable = (previous_close > 0) & (ex_open > 0) & (F.abs(size) > 0.05)
-    return F.when(~usable | usable.isNull(), "UNKNOWN").when(F.abs(jump) <= tolerance * F.abs(size), "APPLIED").when(F.abs(jump + size) <= tolerance * F.abs(size), "NOT_APPLIED").otherwise("UNKNOWN")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import basis as BA
 from ..operators import pit
 from ..operators import replay as R
 from .derive import DESK_SQL, INDEX_SQL, MONTHS_SQL, desk_bars, desk_index, months, table, text_of
@@ -113,3 +114,93 @@ def as_if_live_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = o.where("o_orderkey % 7 = 1 AND weekday(day) <> 6").select("day", F.col("knowable_at").alias("first_at"), F.expr("knowable_at + INTERVAL '1' HOUR").alias("confirmed_at"))
     moved = R.weekday_live(o.withColumn("knowable_at", F.expr("knowable_at + INTERVAL '3' DAY")), R.measured_weekday_lags(live))
     return moved.selectExpr("o_orderkey", f"{text_of('knowable_at')} AS knowable_at", "knowable_basis", f"{text_of('confirmed_at')} AS confirmed_at")
+
+
+_INSTANT = "2000-06-01 00:00:00"
+_ACTION_SQL = """acts AS (
+  SELECT l_suppkey AS key, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS action_id, CAST(l_shipdate AS DATE) AS ex_date, list_extract(['SPLIT', 'BONUS', 'SPLIT', 'RIGHTS', 'DIVIDEND', 'MERGER'], CAST(l_orderkey % 6 AS INTEGER) + 1) AS kind,
+         l_shipdate + to_days(CAST(l_partkey % 7 - 3 AS INTEGER)) AS knowable_at, CASE WHEN l_partkey % 13 > 0 THEN 2 + CAST(l_quantity AS BIGINT) % 4 END AS face_before, 1 + l_linenumber % 2 AS face_after,
+         CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_partkey % 7 = 0 THEN 9 ELSE 1 + l_linenumber % 2 END ELSE 1 + l_linenumber % 3 END AS ratio_new, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_orderkey % 2 = 0 THEN 2 + CAST(l_quantity AS BIGINT) % 4 ELSE 1 + l_partkey % 3 END AS ratio_old
+  FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09 AND l_tax >= 0.07)"""
+_BARS_SQL = DESK_SQL + """, dbars AS (SELECT *, CAST(bucket AS DATE) AS day, key || '-' || year(bucket) AS payload, CASE WHEN key % 5 = 0 THEN 'intraday' ELSE 'historical' END AS endpoint, CASE WHEN key % 11 = 0 THEN 'GLOBAL_INDEX' ELSE 'EQ' END AS segment,
+  CAST(make_date(year(bucket), 1, 1) AS TIMESTAMP) + to_days(CAST(key * 37 % 900 AS INTEGER)) AS fetched_at FROM desk),
+basis AS (SELECT payload, CASE WHEN any_value(segment) LIKE 'GLOBAL%' OR any_value(endpoint) = 'intraday' THEN 'RAW_OBSERVED' ELSE 'VENDOR_ADJUSTED' END AS price_basis, CAST(min(fetched_at) AS DATE) AS basis_as_of FROM dbars WHERE key % 17 > 0 GROUP BY payload)"""
+_FACTOR_SQL = _BARS_SQL + ", " + _ACTION_SQL + """, statused AS (SELECT *, CASE WHEN kind = 'SPLIT' AND face_before IS NOT NULL AND NOT (ratio_old IS NOT NULL AND (ratio_new <> face_after OR ratio_old <> face_before)) THEN 'EXACT' WHEN kind = 'SPLIT' THEN 'UNCERTAIN'
+    WHEN kind = 'BONUS' AND ratio_old IS NOT NULL THEN 'EXACT' WHEN kind = 'BONUS' THEN 'UNCERTAIN' ELSE 'UNSUPPORTED' END AS status FROM acts),
+facs AS (SELECT s.*, CASE WHEN status = 'EXACT' THEN CASE WHEN kind = 'SPLIT' THEN face_before ELSE ratio_new + ratio_old END END AS num, CASE WHEN status = 'EXACT' THEN CASE WHEN kind = 'SPLIT' THEN face_after ELSE ratio_old END END AS den FROM statused s),
+prior AS (SELECT action_id, arg_max(b.close, b.day) AS pc, arg_max(coalesce(p.basis_as_of, DATE '9999-01-01'), b.day) AS pb FROM facs f JOIN dbars b ON b.key = f.key AND b.day < f.ex_date LEFT JOIN basis p USING (payload) GROUP BY 1),
+later AS (SELECT action_id, arg_min(b.open, b.day) AS eo FROM facs f JOIN dbars b ON b.key = f.key AND b.day >= f.ex_date GROUP BY 1),
+factors AS (SELECT f.*, CASE WHEN num IS NULL THEN 'N/A' WHEN action_id % 4 = 1 THEN 'APPLIED' WHEN pc IS NOT NULL AND pb < ex_date THEN 'UNKNOWN' WHEN pc IS NULL OR eo IS NULL THEN 'UNKNOWN' WHEN abs(ln(num / den)) < 0.2 THEN 'UNKNOWN'
+    WHEN abs(ln(pc / eo) - ln(num / den)) < 0.15 THEN 'NOT_APPLIED' WHEN abs(ln(pc / eo)) < 0.15 THEN 'APPLIED' ELSE 'UNKNOWN' END AS treatment FROM facs f LEFT JOIN prior USING (action_id) LEFT JOIN later USING (action_id))"""
+
+
+def _desk_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corporate actions by rule from the returned lines of high discount and tax; some eight a supplier at every size."""
+    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.09 AND l_tax >= 0.07")  # noqa: E741
+    return l.selectExpr(
+        "l_suppkey AS key", "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS action_id", "CAST(l_shipdate AS DATE) AS ex_date", "element_at(array('SPLIT', 'BONUS', 'SPLIT', 'RIGHTS', 'DIVIDEND', 'MERGER'), CAST(l_orderkey % 6 AS INT) + 1) AS kind",
+        "CAST(l_shipdate AS TIMESTAMP_NTZ) + make_dt_interval(CAST(l_partkey % 7 - 3 AS INT)) AS knowable_at", "CASE WHEN l_partkey % 13 > 0 THEN 2 + CAST(l_quantity AS BIGINT) % 4 END AS face_before", "1 + l_linenumber % 2 AS face_after",
+        "CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_partkey % 7 = 0 THEN 9 ELSE 1 + l_linenumber % 2 END ELSE 1 + l_linenumber % 3 END AS ratio_new", "CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_orderkey % 2 = 0 THEN 2 + CAST(l_quantity AS BIGINT) % 4 ELSE 1 + l_partkey % 3 END AS ratio_old",
+    )
+
+
+def _desk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk_bars(spark, sf_dir).selectExpr(
+        "*", "CAST(bucket AS DATE) AS day", "concat(key, '-', year(bucket)) AS payload", "CASE WHEN key % 5 = 0 THEN 'intraday' ELSE 'historical' END AS endpoint", "CASE WHEN key % 11 = 0 THEN 'GLOBAL_INDEX' ELSE 'EQ' END AS segment",
+        "CAST(make_date(year(bucket), 1, 1) AS TIMESTAMP_NTZ) + make_dt_interval(CAST(key * 37 % 900 AS INT)) AS fetched_at",
+    )
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    days, actions = _desk_days(spark, sf_dir), _desk_actions(spark, sf_dir)
+    basis = BA.price_basis(days.where("key % 17 > 0"))  # the rest has none on record
+    return days, basis, BA.derive_factors(actions, days, basis, actions.where("action_id % 4 = 1").select("action_id"))
+
+
+@query(f"WITH {_BARS_SQL} SELECT payload, price_basis, CAST(basis_as_of AS VARCHAR) AS basis_as_of FROM basis")
+def payload_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each payload's prices are based on."""
+    return BA.price_basis(_desk_days(spark, sf_dir).where("key % 17 > 0")).selectExpr("payload", "price_basis", f"{text_of('basis_as_of')} AS basis_as_of")
+
+
+@query(f"WITH {_FACTOR_SQL} SELECT action_id, kind, status, num, den, treatment FROM factors")
+def derived_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action's exact factor and whether the vendor's history contains it."""
+    return _derived(spark, sf_dir)[2].select("action_id", "kind", "status", "num", "den", "treatment")
+
+
+_KNOWN_SQL = _FACTOR_SQL + f""", ex AS (SELECT * FROM factors WHERE status = 'EXACT'), excluded AS (SELECT key || '-' || (year(ex_date) - 1) AS payload, action_id FROM ex WHERE action_id % 3 = 0),
+horizon AS (SELECT min(ex_date) AS h FROM factors WHERE knowable_at < TIMESTAMP '{_INSTANT}'),
+b AS (SELECT d.*, price_basis, basis_as_of FROM dbars d LEFT JOIN basis USING (payload) WHERE knowable_at < TIMESTAMP '{_INSTANT}'),
+j AS (SELECT b.key, b.day, list(f.num) FILTER (WHERE f.knowable_at < TIMESTAMP '{_INSTANT}' AND f.ex_date <= DATE '{_INSTANT[:10]}') AS tn, list(f.den) FILTER (WHERE f.knowable_at < TIMESTAMP '{_INSTANT}' AND f.ex_date <= DATE '{_INSTANT[:10]}') AS td,
+   list(f.num) FILTER (WHERE price_basis = 'VENDOR_ADJUSTED' AND f.ex_date <= basis_as_of AND treatment = 'APPLIED' AND x.action_id IS NULL) AS bn, list(f.den) FILTER (WHERE price_basis = 'VENDOR_ADJUSTED' AND f.ex_date <= basis_as_of AND treatment = 'APPLIED' AND x.action_id IS NULL) AS bd,
+   count(*) FILTER (WHERE price_basis = 'VENDOR_ADJUSTED' AND f.ex_date <= basis_as_of AND treatment = 'UNKNOWN') AS unknown
+  FROM b JOIN ex f ON f.key = b.key AND b.day < f.ex_date LEFT JOIN excluded x ON x.payload = b.payload AND x.action_id = f.action_id GROUP BY 1, 2),
+p AS (SELECT b.*, h, coalesce(unknown, 0) AS unknown, len(coalesce(tn, [])) AS used, """ + ", ".join(f"list_reduce(list_prepend(1::HUGEINT, list_transform(coalesce({c}, []), lambda v: v::HUGEINT)), lambda v, w: v * w) AS {c}" for c in ("tn", "td", "bn", "bd")) + """ FROM b LEFT JOIN j USING (key, day), horizon),
+q AS (SELECT *, tn * bd AS num, td * bn AS den, price_basis IS NULL OR (price_basis = 'VENDOR_ADJUSTED' AND (unknown > 0 OR h IS NULL OR day < h)) AS doubtful FROM p),
+known AS (SELECT *, CASE WHEN num = den THEN 'AS_STORED' WHEN num > den THEN 'ADJUSTED' ELSE 'RECONSTRUCTED' END AS status, CASE WHEN doubtful THEN 'low_confidence' WHEN num < den THEN 'reconstructed' END AS refusal FROM q)"""
+
+
+def _over(value: str, top: str, bottom: str) -> str:
+    """SQL: value * top / bottom in millionths, halves to even, as a number."""
+    n = f"(CAST(round({value} * 1000000) AS HUGEINT) * {top})"
+    return f"((({n} // {bottom}) + CASE WHEN 2 * ({n} % {bottom}) > {bottom} OR (2 * ({n} % {bottom}) = {bottom} AND ({n} // {bottom}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 1000000)"
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days, basis, factors = _derived(spark, sf_dir)
+    excluded = factors.where("status = 'EXACT' AND action_id % 3 = 0").selectExpr("concat(key, '-', year(ex_date) - 1) AS payload", "action_id")
+    return BA.bars_as_known(days, factors, basis, excluded, F.lit(_INSTANT).cast("timestamp_ntz"))
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT key, CAST(day AS VARCHAR) AS day, {_over('open', 'den', 'num')} AS open, {_over('close', 'den', 'num')} AS close, {_over('volume', 'num', 'den')} AS volume, round(num::DOUBLE / den::DOUBLE, 9) AS factor, status, used AS actions_known FROM known WHERE refusal IS NULL")
+def bars_on_known_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as a trader knew them at an instant: target over baked factors, exactly; refused rows left out."""
+    got = BA.usable(_known(spark, sf_dir))
+    return got.select("key", F.col("day").cast("string").alias("day"), *[F.col(c).cast("double").alias(c) for c in ("open", "close", "volume")], F.round(F.col("num").cast("double") / F.col("den").cast("double"), 9).alias("factor"), "status", "actions_known")
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT key, count(*) FILTER (WHERE refusal = 'reconstructed') AS reconstructed, count(*) FILTER (WHERE refusal = 'low_confidence') AS low_confidence FROM known GROUP BY key")
+def refused_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bars of each key may not be used at the instant, and why."""
+    return BA.refused(_known(spark, sf_dir))
