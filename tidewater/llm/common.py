@@ -22,6 +22,8 @@ SLICE_BYTES = 1 << 19
 BATCH_ROWS, READ_ROWS = 2000, 512
 #: Bytes that a writer of an intermediate table gathers before it writes them out.
 ROW_GROUP = 16 << 20
+#: A task that writes an intermediate table has so many bytes of what is read for it, or a table has this many files a core.
+FILE_BYTES, FILES_PER_CORE = 64 << 20, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,20 +120,27 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
     return sent
 
 
+def read_bytes(df: DataFrame) -> int:
+    """How large the tables are that a plan reads, together."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    A stage over a table writes a file per partition that it reads, one behind a shuffle a file
-    per partition that adaptive execution makes of it: both follow the data's size, so
-    no task grows with the input.  Nothing reads the write's shuffles a second time, so
-    their files go when it ends.
+    Many small partitions are written by few tasks, but by one at least for every
+    ``FILE_BYTES`` that the plan reads, however few cores there are just then: so no
+    task grows with the input.  Nothing reads the write's shuffles a second time, so their
+    files go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        files = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, read_bytes(df) // FILE_BYTES)
+        df.coalesce(min(files, (1 << 31) - 1)).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
