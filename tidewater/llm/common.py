@@ -123,7 +123,7 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
 def read_bytes(df: DataFrame) -> int:
     """How large the tables are that a plan reads, together."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def stored(df: DataFrame) -> DataFrame:
