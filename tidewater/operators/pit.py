@@ -49,6 +49,31 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right
     return both.select("_left.*", *[F.col(f"_right.`{c}`").alias(c if c not in left.columns else f"right_{c}") for c in values])
 
 
+def asof_many(left: DataFrame, facts: dict[str, tuple[DataFrame, str, list[str], list[str]]], keys: list[str], at: str) -> DataFrame:
+    """Each left row with a struct per kind of fact: its key's last one strictly before the row (null without one).
+
+    ``facts``: kind to (table, its time, its order at one time, its values).  All kinds and the
+    left rows are laid out in one order, and the last row of every kind is carried forward:
+    one shuffle and one sort, however many kinds there are.
+    """
+    kinds = {k: df.select(F.struct(*values).alias("v")).schema["v"].dataType for k, (df, _, _, values) in facts.items()}
+    # each kind has its own order columns: between kinds of one time the order does not matter
+    orders = {(k, i): df.schema[c].dataType for k, (df, _, order, _) in facts.items() for i, c in enumerate(order)}
+    whole = left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType
+
+    def laid(df: DataFrame, time: str, side: int, row, of: str | None = None, order: list[str] = (), values: list[str] = ()) -> DataFrame:
+        held = [(F.struct(*values) if k == of else F.lit(None).cast(t)).alias(f"_{k}") for k, t in kinds.items()]
+        places = [(F.col(order[i]) if k == of else F.lit(None).cast(t)).alias(f"_o_{k}_{i}") for (k, i), t in orders.items()]
+        return df.select(*keys, F.col(time).alias("_at"), F.lit(side).alias("_side"), row.alias("_row"), *held, *places)
+
+    both = laid(left, at, 0, F.struct(*left.columns))
+    for k, (df, time, order, values) in facts.items():
+        both = both.unionByName(laid(df, time, 1, F.lit(None).cast(whole), k, order, values))
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", *[f"_o_{k}_{i}" for k, i in orders]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.withColumns({f"_{k}": F.last(f"_{k}", ignorenulls=True).over(w) for k in kinds}).where("_side = 0")
+    return carried.select("_row.*", *[F.col(f"_{k}").alias(k) for k in kinds])
+
+
 def first_match(left: DataFrame, right: DataFrame, on: Column, left_id: list[str], order: list[Column], values: list[str]) -> DataFrame:
     """Each left row with its first matching right row by ``order`` (a lateral join with limit 1)."""
     met = left.alias("l").join(right.alias("r"), on).groupBy(*[F.col(f"l.{c}").alias(c) for c in left_id])

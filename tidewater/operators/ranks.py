@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import orderstats
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """1-based rank; equal values share the mean of their places."""
@@ -42,18 +44,8 @@ def matched_excess(df: DataFrame, by: list[str], cell: list[str], value: str, pi
 
 
 def peer_median(df: DataFrame, group: str, key: str, value: str, least: int = 3) -> DataFrame:
-    """Each row's value less the median of the other members of its group (null with fewer than ``least``).
-
-    A group's sorted values travel once; each row leaves its own out by position.  Groups
-    are sectors: bounded by the listing, not by history.
-    """
-    whole = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    both = df.join(whole, group, "left")
-    at = F.array_position("_v", F.col(value)).cast("int")
-    others = F.concat(F.slice("_v", 1, at - 1), F.slice("_v", at + 1, F.size("_v")))
-    n = F.size(others)
-    middle = (F.try_element_at(others, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(others, F.floor((n + 2) / 2).cast("int"))) / 2
-    return both.withColumn("_m", F.when((at > 0) & (n >= least), middle)).withColumn("relative", F.col(value) - F.col("_m")).drop("_v", "_m")
+    """Each row's value less the median of the other members of its group (null with fewer than ``least``)."""
+    return orderstats.peer_median(df, group, value, least)
 
 
 def drawdown(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -68,18 +60,6 @@ def cap_bucket(rank: Column) -> Column:
     return F.when(rank <= 100, "LARGE").when(rank <= 250, "MID").otherwise("SMALL")
 
 
-def upper_median(value: str) -> Column:
-    """The middle value; of two the greater."""
-    v = F.array_sort(F.collect_list(value))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
-
-
-def nearest_rank(value: str, q: float) -> Column:
-    """The value at index int(q * (n - 1) + 0.5) of the sorted values."""
-    v = F.array_sort(F.collect_list(value))
-    return F.element_at(v, (F.floor((F.size(v) - 1) * q + 0.5) + 1).cast("int"))
-
-
 def psi(reference: DataFrame, current: DataFrame, value: str, n: int = 10) -> DataFrame:
     """Population stability index of ``current`` against the deciles of ``reference``: one row."""
     edges = reference.select(F.percentile(value, [i / n for i in range(1, n)]).alias("edges"))
@@ -98,3 +78,21 @@ def fingerprint(df: DataFrame, by: list[str], order: list[str], columns: list[st
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
     seq = F.array_sort(F.collect_list(F.struct(*order, row.alias("_h"))))
     return df.groupBy(*by).agg(F.md5(F.array_join(F.transform(seq, lambda x: x["_h"]), "").cast("binary")).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+def rank_sequences(rows: DataFrame, axis: DataFrame, features: list[str], length: int) -> DataFrame:
+    """``session, key, present, sequence``: for every row the unit ranks of its key's features over the ``length`` sessions up to its own.
+
+    ``rows``: session, key and features; ranks are within a session's rows.  ``axis`` has each
+    session with its dense ``session_idx`` (as from :func:`pit.sessions`).  A session in which the
+    key is absent, or that lies before the first, is a row of zeros; so is a null feature's rank.
+    ``sequence`` is an array of ``length`` arrays, oldest first; ``present`` counts the sessions with a row.
+    """
+    ranks = F.array(*[F.coalesce(F.when(F.col(f).isNotNull(), unit_rank(f, ["session", f"_has_{f}"])), F.lit(0.0)) for f in features])
+    marked = rows.withColumns({f"_has_{f}": F.col(f).isNotNull() for f in features})
+    placed = marked.withColumn("_r", ranks).join(F.broadcast(axis.select("session", "session_idx")), "session")  # a calendar
+    w = Window.partitionBy("key").orderBy("session_idx").rangeBetween(-(length - 1), Window.currentRow)
+    held = placed.withColumn("_all", F.map_from_entries(F.collect_list(F.struct("session_idx", "_r")).over(w)))
+    zero = F.array(*[F.lit(0.0)] * len(features))
+    sequence = F.transform(F.sequence(F.col("session_idx") - length + 1, F.col("session_idx")), lambda i: F.coalesce(F.try_element_at("_all", i), zero))
+    return held.select("session", "key", F.size("_all").cast("long").alias("present"), sequence.alias("sequence"))

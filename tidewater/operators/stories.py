@@ -34,8 +34,11 @@ FIELDS = [x.split()[0] for x in ITEM.split(", ")]
 
 
 def keys(items: DataFrame) -> Column:
-    """The keys under which an item meets its candidates: every pair that a rule joins has one in common."""
-    words = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
+    """The keys under which an item meets its candidates: every pair that a rule joins has one in common.
+
+    A column ``ordered`` has the words in an order that all items share; without it that of a hash stands.
+    """
+    words = F.col("ordered") if "ordered" in items.columns else F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
     n = F.size("words")
 
     def first(least: float) -> Column:
@@ -79,9 +82,17 @@ def evidence(m: str, c: str) -> tuple[Column, Column]:
     return score, method
 
 
+def _rare_first(items: DataFrame) -> DataFrame:
+    """The items with ``ordered``, their words by how many items have them: rare ones make keys that few items share."""
+    laid = items.select("item_id", F.explode("words").alias("w"))
+    counted = laid.join(laid.groupBy("w").agg(F.count("*").alias("c")), "w")
+    ordered = counted.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("ordered"))
+    return items.join(ordered, "item_id", "left").withColumn("ordered", F.coalesce("ordered", F.array().cast("array<string>")))
+
+
 def links(items: DataFrame) -> DataFrame:
     """``item_id, parent_id, score, method``: each item's best earlier one, of equal scores the first; items without one have no row."""
-    base = cleaned(items)
+    base = _rare_first(cleaned(items))
     slot = F.floor(F.unix_micros("at") / (WINDOW_HOURS * 3.6e9))
     laid = base.select("item_id", "at", "knowable_at", slot.alias("_s"), F.explode(keys(base)).alias("_k"))
     left = laid.select("_k", F.explode(F.array(F.col("_s") - 1, "_s", F.col("_s") + 1)).alias("_s"), F.col("item_id").alias("m_id"), F.col("at").alias("m_at"), F.col("knowable_at").alias("m_known"))

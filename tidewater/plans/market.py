@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.reasons import digits12
 from ..operators import bars as B
 from ..operators import indicators as I
-from ..operators import pit, ranks
+from ..operators import orderstats, pit, ranks
 from .derive import ACTIONS_SQL, KNOWN_SQL, MONTHLY_SQL, actions, bars, bars_sql, known_bars, monthly, table
 
 #: The instant of the point-in-time reads.
@@ -314,7 +314,10 @@ def percentile_cont_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, list_sort(list(p_retailprice))[len(list(p_retailprice)) // 2 + 1] AS upper_median, list_sort(list(p_size))[CAST(floor((count(*) - 1) * 0.9 + 0.5) AS INTEGER) + 1] AS p90_size FROM part GROUP BY 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(ranks.upper_median("p_retailprice").alias("upper_median"), ranks.nearest_rank("p_size", 0.9).alias("p90_size"))
+    part = table(spark, sf_dir, "part")
+    prices = orderstats.order_statistics(part, ["p_brand"], "p_retailprice", {"upper_median": orderstats.upper_median})
+    sizes = orderstats.order_statistics(part, ["p_brand"], "p_size", {"p90_size": orderstats.nearest_rank(0.9)})
+    return prices.drop("n").join(sizes.drop("n"), "p_brand")
 
 
 @query("""WITH r AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), c AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'),

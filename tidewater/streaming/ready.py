@@ -104,7 +104,13 @@ def first_ready(rows: DataFrame, shards: DataFrame, instant, at: str = "ts") ->
     That is the batch behind the one in which the last of the shards passes the instant;
     ``watermark`` is the least of the shards' latest times up to there.
     """
-    passed = rows.where(F.col(at) >= instant).groupBy("shard").agg(F.min("batch").alias("_b"))
-    last = shards.join(passed, "shard", "left").agg(F.count_if(F.col("_b").isNull()).alias("_open"), F.max("_b").alias("_b")).where("_open = 0 AND _b IS NOT NULL").select("_b")
-    upto = rows.join(F.broadcast(last), F.col("batch") <= F.col("_b")).groupBy("shard", "_b").agg(F.max(at).alias("_m"))  # one row
-    return upto.groupBy("_b").agg(F.min("_m").alias("watermark")).select((F.col("_b") + 1).alias("batch"), "watermark")
+    one = F.lit(0).alias("_run")
+    return first_ready_each(rows.select("*", one), shards.select("*", one), ["_run"], instant, at).drop("_run")
+
+
+def first_ready_each(rows: DataFrame, shards: DataFrame, run: list[str], instant, at: str = "ts") -> DataFrame:
+    """:func:`first_ready` of every capture: ``rows`` and ``shards`` have the columns ``run``, which ``instant`` may depend on."""
+    passed = rows.where(F.col(at) >= instant).groupBy(*run, "shard").agg(F.min("batch").alias("_b"))
+    last = shards.join(passed, [*run, "shard"], "left").groupBy(*run).agg(F.count_if(F.col("_b").isNull()).alias("_open"), F.max("_b").alias("_b")).where("_open = 0").drop("_open")
+    upto = rows.join(last, run).where(F.col("batch") <= F.col("_b")).groupBy(*run, "shard", "_b").agg(F.max(at).alias("_m"))
+    return upto.groupBy(*run, "_b").agg(F.min("_m").alias("watermark")).select(*run, (F.col("_b") + 1).alias("batch"), "watermark")
