@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = short_batches(docs).select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     with scratch() as keep:
-        return keep(stored(_near_duplicates(rows, shingle, percent)))
+        return keep(stored(grouped(rows, shingle, percent)))
 
 
 def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -233,7 +233,8 @@ def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
     return tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def _near_duplicates(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """:func:`near_duplicates` of rows (doc_id, text) of bigint ids; ``known`` has links (x, y) that hold already."""
     profile = _profile(rows, shingle)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
     classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
@@ -252,7 +253,8 @@ def _near_duplicates(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     # so the member that has a token earliest is the least edited one: the centre of a group of near copies.  From the
     # second round on the centres are those of a token's largest component, for the classes that are not in it yet.
     # What a centre leads is a part of what the two share, so it is not held against l here: the pair is verified
-    links = joined = None
+    links = known
+    joined = None if known is None else components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
     for _ in range(STAR_ROUNDS):
         placed = placed_in(tokens, joined)
         first = F.min(F.struct("pos", "doc", "n", "matches"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, column, components, forget, scratch, short_batches, slices, stored, table
-from .ngramjoin import near_duplicates, placed_in, shingle_sets, verified
+from .ngramjoin import grouped, placed_in, shingle_sets, verified
 from .textkit import mix
 
 SHINGLE, PERCENT = 4, 80
@@ -173,7 +173,7 @@ def _groups(source: DataFrame, shingle: int, percent: int, bands: int, per_band:
     forget(tokens)
     wanted = bitmap(open_docs.select(F.xxhash64("doc").alias("key")), "key")
     left = stored(_texts(source, wanted, repeated).join(open_docs.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"))
-    met = near_duplicates(left, shingle=shingle, percent=percent).where("doc_id <> component_id")
+    met = grouped(left, shingle, percent, links).where("doc_id <> component_id")
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(met.select(F.col("component_id"), F.col("doc_id"))))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
