@@ -75,18 +75,21 @@ def flow_feature(flows: DataFrame, n: int, previous_session: Column) -> DataFram
     return state.join(total).select(result(F.col("_n"), *rules).alias("flow"))
 
 
-def own_ratios(quarters: DataFrame, years: DataFrame, prices: DataFrame, unit: float = 1e7) -> DataFrame:
+def own_ratios(quarters: DataFrame, years: DataFrame, prices: DataFrame, actions: DataFrame, session: Column, unit: float = 1e7) -> DataFrame:
     """``key`` with pe_ttm, earnings_yield_ttm, pb_own, eps_surprise_srw, eps_surprise_srw_price as (value, reason) structs.
 
     ``quarters``: key, period, profit; ``years``: key, period, profit, eps, book; ``prices``: key, price.
-    Shares are profit over profit per share of the latest year where both have one sign; trailing profit needs
-    four quarters in a row.
+    Shares are profit over profit per share of the latest year where both have one sign; a split or bonus
+    (``actions``: key, kind, ex_date) with its ex-date behind that year's end and up to the session
+    changes their number, so what needs it is MISSING_INPUT then.  Trailing profit needs four quarters in a row.
     """
     from .fundamentals import trailing
 
     ttm = trailing(quarters.select("key", F.lit("p").alias("item"), "period", F.col("profit").alias("value")), "p").select("key", "period", "ttm")
     good = years.where(F.col("profit") * F.col("eps") > 0)
-    shares = latest_by(good.select("key", "period", "profit", "eps"), ["key"], ["period"]).select("key", (F.col("profit") * unit / F.col("eps")).alias("shares"))
+    shares = latest_by(good.select("key", "period", "profit", "eps"), ["key"], ["period"]).select("key", F.col("period").alias("_year_end"), (F.col("profit") * unit / F.col("eps")).alias("_shares"))
+    latest = actions.where(F.col("kind").isin("SPLIT", "BONUS") & (F.col("ex_date") <= session)).groupBy("key").agg(F.max("ex_date").alias("_changed"))
+    shares = shares.join(latest, "key", "left").select("key", F.when(F.col("_changed").isNull() | (F.col("_changed") <= F.col("_year_end")), F.col("_shares")).alias("shares"))
     book = latest_by(years.where("book IS NOT NULL").select("key", "period", "book"), ["key"], ["period"]).select("key", "book")
     last = latest_by(quarters.select("key", "period", "profit"), ["key"], ["period"])
     before = quarters.select("key", F.last_day(F.add_months("period", 12)).alias("period"), F.col("profit").alias("_base"))
@@ -99,9 +102,9 @@ def own_ratios(quarters: DataFrame, years: DataFrame, prices: DataFrame, unit: f
     change = (F.col("_q") - F.col("_base")) * unit / F.col("shares")
     return b.select(
         "key",
-        result(F.col("price") / F.nullif(eps, F.lit(0.0)), none, few, unpriced, (eps <= 0, NOT_APPLICABLE)).alias("pe_ttm"),
+        result(F.col("price") / F.nullif(eps, F.lit(0.0)), none, few, unpriced, (eps <= 0, DIVISION_UNDEFINED)).alias("pe_ttm"),
         result(eps / F.nullif("price", F.lit(0.0)), none, few, unpriced, bad).alias("earnings_yield_ttm"),
-        result(F.col("price") * F.col("shares") / F.nullif(F.col("book") * unit, F.lit(0.0)), none, unpriced, (F.col("book").isNull(), MISSING_INPUT), (F.col("book") <= 0, NOT_APPLICABLE)).alias("pb_own"),
+        result(F.col("price") * F.col("shares") / F.nullif(F.col("book") * unit, F.lit(0.0)), none, unpriced, (F.col("book").isNull(), MISSING_INPUT), (F.col("book") <= 0, DIVISION_UNDEFINED)).alias("pb_own"),
         result((F.col("_q") - F.col("_base")) / F.nullif(F.abs("_base"), F.lit(0.0)), (F.col("_q").isNull(), MISSING_INPUT), (F.col("_base").isNull(), INSUFFICIENT_HISTORY), (F.col("_base") == 0, DIVISION_UNDEFINED)).alias("eps_surprise_srw"),
         result(change / F.nullif("price", F.lit(0.0)), (F.col("_q").isNull(), MISSING_INPUT), (F.col("_base").isNull(), INSUFFICIENT_HISTORY), none, unpriced, bad).alias("eps_surprise_srw_price"),
     )

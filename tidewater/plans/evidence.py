@@ -84,11 +84,11 @@ _UNIT = "CASE WHEN count(*) OVER s < 2 THEN 0 ELSE (rank() OVER (PARTITION BY se
 @query(f"""WITH {MONTHLY_SQL}, r AS (SELECT session, key, {', '.join(_UNIT.format(c=c) for c in ('turnover', 'score', 'lines'))} FROM monthly WINDOW s AS (PARTITION BY session)),
 axis AS (SELECT session, row_number() OVER (ORDER BY session) AS i FROM (SELECT DISTINCT session FROM monthly)), x AS (SELECT r.*, i FROM r JOIN axis USING (session)),
 g AS (SELECT a.session, a.key, k, count(b.key) AS here, coalesce(round(any_value(b.turnover), 6), 0) AS t, coalesce(round(any_value(b.score), 6), 0) AS s, coalesce(round(any_value(b.lines), 6), 0) AS l FROM x a CROSS JOIN (SELECT unnest(range(6)) AS k) LEFT JOIN x b ON b.key = a.key AND b.i = a.i - 5 + k GROUP BY 1, 2, 3)
-SELECT session, key, sum(here)::BIGINT AS present, round(sum(t * (k + 1)), 6) AS turnover, round(sum(s * (k + 1)), 6) AS score, round(sum(l * (k + 1)), 6) AS lines FROM g GROUP BY 1, 2""")
+SELECT session, key, sum(here)::BIGINT AS present, round(sum(t * (k + 1)), 6) + 0.0 AS turnover, round(sum(s * (k + 1)), 6) + 0.0 AS score, round(sum(l * (k + 1)), 6) + 0.0 AS lines FROM g GROUP BY 1, 2""")
 def rank_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six months of three unit ranks up to every month of every supplier; each place is weighted by its number, so a shifted sequence shows."""
     m = monthly(spark, sf_dir)
     axis = pit.sessions(m.select(F.col("session").alias("day"))).select(F.col("day").alias("session"), "session_idx")
     got = ranks.rank_sequences(m, axis, ["turnover", "score", "lines"], 6)
-    weighed = lambda j: F.round(F.aggregate(F.transform("sequence", lambda x, i: F.round(x[j], 6) * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    weighed = lambda j: F.round(F.aggregate(F.transform("sequence", lambda x, i: F.round(x[j], 6) * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)  # noqa: E731  no negative zero
     return got.select("session", "key", "present", *[weighed(j).alias(c) for j, c in enumerate(("turnover", "score", "lines"))])

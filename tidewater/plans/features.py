@@ -144,19 +144,22 @@ def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT o_custkey AS key, last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE AS p, count(*) - 1.0 AS profit FROM orders GROUP BY 1, 2), qr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p DESC) AS r, max(p) OVER (PARTITION BY key) AS lp FROM q),
 t AS (SELECT key, CASE WHEN count(*) FILTER (WHERE p = last_day(lp - to_months(CAST(3 * (r - 1) AS INTEGER)))::DATE) = 4 THEN sum(profit) END AS ttm FROM qr WHERE r <= 4 GROUP BY 1), y AS (SELECT o_custkey AS key, year(o_orderdate) AS p, count(*) - 2.0 AS profit, (count(*) - 3.0) / 4 AS eps, CASE WHEN count(*) > 2 THEN count(*) - 3.0 END AS book FROM orders GROUP BY 1, 2),
-s AS (SELECT key, arg_max(profit * 1e7 / eps, p) AS shares FROM y WHERE profit * eps > 0 GROUP BY 1), b AS (SELECT key, arg_max(book, p) AS book FROM y WHERE book IS NOT NULL GROUP BY 1), st AS (SELECT a.key, a.profit AS q, b.profit AS base FROM qr a LEFT JOIN q b ON b.key = a.key AND last_day(b.p + INTERVAL 12 MONTH)::DATE = a.p WHERE a.r = 1),
+s0 AS (SELECT key, arg_max(profit * 1e7 / eps, p) AS shares, make_date(max(p), 3, 31) AS fy FROM y WHERE profit * eps > 0 GROUP BY 1), act AS (SELECT o_custkey AS key, max(CAST(o_orderdate AS DATE)) AS ex FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate <= TIMESTAMP '2001-11-01' GROUP BY 1),
+s AS (SELECT s0.key, CASE WHEN ex IS NULL OR ex <= fy THEN shares END AS shares FROM s0 LEFT JOIN act ON act.key = s0.key), b AS (SELECT key, arg_max(book, p) AS book FROM y WHERE book IS NOT NULL GROUP BY 1), st AS (SELECT a.key, a.profit AS q, b.profit AS base FROM qr a LEFT JOIN q b ON b.key = a.key AND last_day(b.p + INTERVAL 12 MONTH)::DATE = a.p WHERE a.r = 1),
 x AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS price, ttm, shares, book, q, base, ttm * 1e7 / shares AS eps FROM customer LEFT JOIN t ON t.key = c_custkey LEFT JOIN s ON s.key = c_custkey LEFT JOIN b ON b.key = c_custkey LEFT JOIN st ON st.key = c_custkey),
 z AS (SELECT *, CASE WHEN shares IS NULL THEN 'MISSING_INPUT' WHEN ttm IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN price IS NULL THEN 'MISSING_INPUT' END AS w, CASE WHEN q IS NULL THEN 'MISSING_INPUT' WHEN base IS NULL THEN 'INSUFFICIENT_HISTORY' END AS u FROM x)
-SELECT key, round(CASE WHEN w IS NULL AND eps > 0 THEN price / eps END, 6) AS pe_ttm, coalesce(w, CASE WHEN eps <= 0 THEN 'NOT_APPLICABLE' END) AS pe_ttm_reason, round(CASE WHEN w IS NULL AND price > 0 THEN eps / price END, 6) AS earnings_yield_ttm, coalesce(w, CASE WHEN price <= 0 THEN 'DIVISION_UNDEFINED' END) AS earnings_yield_ttm_reason,
- round(CASE WHEN shares IS NOT NULL AND price IS NOT NULL AND book > 0 THEN price * shares / (book * 1e7) END, 6) AS pb_own, CASE WHEN shares IS NULL OR price IS NULL OR book IS NULL THEN 'MISSING_INPUT' WHEN book <= 0 THEN 'NOT_APPLICABLE' END AS pb_own_reason,
+SELECT key, round(CASE WHEN w IS NULL AND eps > 0 THEN price / eps END, 6) AS pe_ttm, coalesce(w, CASE WHEN eps <= 0 THEN 'DIVISION_UNDEFINED' END) AS pe_ttm_reason, round(CASE WHEN w IS NULL AND price > 0 THEN eps / price END, 6) AS earnings_yield_ttm, coalesce(w, CASE WHEN price <= 0 THEN 'DIVISION_UNDEFINED' END) AS earnings_yield_ttm_reason,
+ round(CASE WHEN shares IS NOT NULL AND price IS NOT NULL AND book > 0 THEN price * shares / (book * 1e7) END, 6) AS pb_own, CASE WHEN shares IS NULL OR price IS NULL OR book IS NULL THEN 'MISSING_INPUT' WHEN book <= 0 THEN 'DIVISION_UNDEFINED' END AS pb_own_reason,
  round(CASE WHEN u IS NULL AND base <> 0 THEN (q - base) / abs(base) END, 6) AS eps_surprise_srw, coalesce(u, CASE WHEN base = 0 THEN 'DIVISION_UNDEFINED' END) AS eps_surprise_srw_reason,
  round(CASE WHEN u IS NULL AND shares IS NOT NULL AND price > 0 THEN (q - base) * 1e7 / shares / price END, 6) AS eps_surprise_srw_price, coalesce(u, CASE WHEN shares IS NULL OR price IS NULL THEN 'MISSING_INPUT' WHEN price <= 0 THEN 'DIVISION_UNDEFINED' END) AS eps_surprise_srw_price_reason FROM z""")
 def own_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, n = table(spark, sf_dir, "orders"), F.count("*")
     quarters = o.groupBy(F.col("o_custkey").alias("key"), F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate"), 2)).alias("period")).agg((n - 1.0).alias("profit"))
-    years = o.groupBy(F.col("o_custkey").alias("key"), F.date_trunc("year", "o_orderdate").cast("date").alias("period")).agg((n - 2.0).alias("profit"), ((n - 3.0) / 4).alias("eps"), F.when(n > 2, n - 3.0).alias("book"))
+    years = o.groupBy(F.col("o_custkey").alias("key"), F.make_date(F.year("o_orderdate"), F.lit(3), F.lit(31)).alias("period")).agg((n - 2.0).alias("profit"), ((n - 3.0) / 4).alias("eps"), F.when(n > 2, n - 3.0).alias("book"))
     prices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("price"))
-    got = ST.own_ratios(quarters, years, prices)
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "SPLIT").when(F.col("o_orderpriority") == "2-HIGH", "BONUS").otherwise("DIVIDEND")
+    actions = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), kind.alias("kind"), F.to_date("o_orderdate").alias("ex_date"))
+    got = ST.own_ratios(quarters, years, prices, actions, F.lit("2001-11-01").cast("date"))
     return got.select("key", *_pairs(got, got.columns[1:]))
 
 

@@ -110,7 +110,10 @@ def announcements(items: DataFrame) -> DataFrame:
     none = lambda c: F.nullif(c, F.lit(""))
     why = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "MALFORMED_ITEM").otherwise(F.col("reason"))
     rows = items.select(sid.alias("source_id"), F.trim("title").alias("title"), "link", "published_at", none(F.regexp_extract(F.coalesce("description", F.lit("")), SUBJECT, 1)).alias("subject"), none(F.regexp_extract(F.coalesce("link", F.lit("")), SYMBOL_IN_FILE, 1)).alias("symbol"), why.alias("reason"))
-    return rows.dropDuplicates(["source_id"])
+    # of rows of one id the earliest stands; rows that are equal in all else are one
+    rest = ["published_at", *[c for c in rows.columns if c not in ("source_id", "published_at")]]
+    first = rows.groupBy("source_id").agg(F.min(F.struct(F.col("published_at").isNull().alias("_undated"), *rest)).alias("_first"))
+    return first.select("source_id", "_first.*").select(*rows.columns)
 
 
 def event_calendar(spark: SparkSession, path: str) -> DataFrame:
