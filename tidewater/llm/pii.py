@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, table
+from .common import column, short_batches, slices, table
 from .textkit import _LOWER, _range_hash, mix, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -236,8 +236,9 @@ def marginals(g: Graph, model: Model, rounds: int = 12, damping: float = 0.3) ->
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = 4000) -> Model:
     """Learn the potentials from pattern labels on about ``documents`` documents chosen by a hash of id and text."""
     n = short_batches(docs).count()
-    chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.where(F.col(text).isNotNull() & (chance < min(1.0, documents / max(n, 1)))).select(F.col(text).alias("text"))
+    body = column(text)
+    chance = F.pmod(F.xxhash64(column(doc_id), body), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.where(body.isNotNull() & (chance < min(1.0, documents / max(n, 1)))).select(body.alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -269,7 +270,9 @@ def find(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
 
     ``base`` has the pattern matches; ``spans`` has them too, and each word that overlaps
     none of them and gets a label with probability ``least`` or more.  A null text
-    counts as empty; ids may be null or repeat; an empty table gives no rows.
+    counts as empty; ids may be null or repeat and repeated rows are answered alike; very long
+    texts are one graph each; other columns are ignored whatever their names; an empty
+    table gives no rows.
     """
     entry = "array<struct<kind:string,start:long,end:long>>"
 
@@ -289,7 +292,38 @@ def find(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(as_rows(g.spans), kind), pa.array(as_rows(every), kind)], ["doc_id", "base", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, base {entry}, spans {entry}")
+    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"doc_id {kind}, base {entry}, spans {entry}")
+
+
+def recovered(docs: DataFrame, model: Model, text: str = "text", share: int = 5, least: float = 0.9) -> DataFrame:
+    """One row that measures the field: ``hidden, found, wrong, alone, found_alone``, counts of words.
+
+    Of every ``share`` words with a pattern's label one is hidden, and the field is asked for it as
+    for any other word: ``found`` of the ``hidden`` get their label back with probability
+    ``least`` or more, ``wrong`` another label.  ``found_alone`` is what a field without skip
+    potentials brings back.  ``alone`` counts the hidden words without a skip edge.
+    """
+    flat = Model(model.unary, model.chain, np.zeros_like(model.skip))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(5, np.int64)
+        for batch in slices(batches, "text"):
+            g = graph_of(batch.column("text"))
+            labelled = np.flatnonzero(g.label > 0)
+            hidden = labelled[(g.start[labelled] + g.end[labelled]) % share == 0]
+            if not len(hidden):
+                continue
+            want = g.label[hidden]
+            g.label = g.label.copy()
+            g.label[hidden] = 0
+            p, q = marginals(g, model)[hidden], marginals(g, flat)[hidden]
+            sure = p.max(1) >= least
+            tied = np.isin(hidden, g.skip)
+            total += [len(hidden), (sure & (p.argmax(1) == want)).sum(), (sure & (p.argmax(1) > 0) & (p.argmax(1) != want)).sum(), (~tied).sum(), ((q.max(1) >= least) & (q.argmax(1) == want)).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], ["hidden", "found", "wrong", "alone", "found_alone"])
+
+    parts = docs.select(column(text).alias("text")).mapInArrow(run, "hidden long, found long, wrong long, alone long, found_alone long")
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns])
 
 
 def mask(text: str, spans: list) -> str:
