@@ -233,8 +233,8 @@ def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
     return tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None = None) -> DataFrame:
-    """:func:`near_duplicates` of rows (doc_id, text) of bigint ids; ``known`` has links (x, y) that hold already."""
+def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None = None, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """:func:`near_duplicates` of rows (doc_id, text) of bigint ids; ``known`` has links (x, y) that hold already, ``rounds`` is that of stars."""
     profile = _profile(rows, shingle)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
     classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
@@ -255,7 +255,7 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
     # What a centre leads is a part of what the two share, so it is not held against l here: the pair is verified
     links = known
     joined = None if known is None else components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    for _ in range(STAR_ROUNDS):
+    for _ in range(rounds):
         placed = placed_in(tokens, joined)
         first = F.min(F.struct("pos", "doc", "n", "matches"))
         most = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")).groupBy("token")

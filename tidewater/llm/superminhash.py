@@ -33,8 +33,8 @@ from .textkit import mix
 SHINGLE, PERCENT = 4, 80
 #: Bands times positions a band.  Of pairs at the similarity itself, five in a hundred million share no band: 0.59 ** 32.
 BANDS, ROWS = 32, 4
-#: Rounds in which each class meets one centre, before classes of different components meet pair by pair.
-STAR_ROUNDS = 2
+#: Rounds in which each class meets one centre of its bands, and of its rare shingles after that.
+STAR_ROUNDS, RARE_ROUNDS = 2, 4
 #: A bid that no element has made.
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -173,7 +173,7 @@ def _groups(source: DataFrame, shingle: int, percent: int, bands: int, per_band:
     forget(tokens)
     wanted = bitmap(open_docs.select(F.xxhash64("doc").alias("key")), "key")
     left = stored(_texts(source, wanted, repeated).join(open_docs.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"))
-    met = grouped(left, shingle, percent, links).where("doc_id <> component_id")
+    met = grouped(left, shingle, percent, links, RARE_ROUNDS).where("doc_id <> component_id")
     joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(met.select(F.col("component_id"), F.col("doc_id"))))
 
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
