@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.reasons import digits12
+from ..functions.reasons import digits12, sql_round
 from ..operators import bars as B
 from ..operators import indicators as I
 from ..operators import orderstats, pit, ranks
@@ -160,8 +160,8 @@ _FEATURE_SQL = f"""WITH {bars_sql()}, f AS (SELECT *, row_number() OVER w AS n,
  round(CASE WHEN n >= 20 THEN close / l20 - 1 END, 6) AS dist_low_20, CASE WHEN n < 20 THEN 'INSUFFICIENT_HISTORY' END AS dist_low_20_reason FROM f""")
 def ret_sma_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["ret_20d", "sma_20", "close_to_sma_20", "dist_high_20", "dist_low_20"]
-    f = B.features(bars(spark, sf_dir), names)
-    return f.select("key", *_text("bucket"), *[c for n in names for c in _rounded(n)])
+    f = B.features(bars(spark, sf_dir), names, plain=True)
+    return f.select("key", *_text("bucket"), *[c for n in names for c in (sql_round(F.col(f"{n}.value")).alias(n), F.col(f"{n}.reason").alias(f"{n}_reason"))])
 
 
 @query(_FEATURE_SQL + """ SELECT key, CAST(bucket AS VARCHAR) AS bucket, CASE WHEN n > 20 THEN CAST(close > ph AS INTEGER)::DOUBLE END AS breakout_20, CASE WHEN n <= 20 THEN 'INSUFFICIENT_HISTORY' END AS breakout_20_reason,
