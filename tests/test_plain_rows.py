@@ -32,7 +32,7 @@ def odd(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["labels_session", "ret_sma_range"])
+@pytest.mark.parametrize("name", ["label_flags", "labels_session", "ret_sma_range"])
 def test_zero_lows_and_halves(spark, odd, name):
     con = duckdb.connect()
     for t in ("events", "nation"):
