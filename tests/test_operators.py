@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pytest
@@ -246,3 +247,15 @@ def test_fundamentals(spark):
     growth = {r.key: r.growth for r in fundamentals.year_on_year(m, "p").collect()}
     assert growth["a"].value == 4.0 and growth["b"].reason == "MISSING_INPUT"
     assert fundamentals.surprise(m, "p").where("key = 'a'").first().surprise.value == 4.0
+
+
+def test_sequential_book_is_linear(spark):
+    # 198,000 candidates of one session: a fold that copies its result at every step does not end in this time
+    n = 200_000
+    c = spark.range(n).selectExpr(
+        "IF(id % 100 = 99, 't', 's') AS strategy", "'d' AS session", "id AS trade_id", "id AS entry_at", "IF(id % 11 = 0, null, id + 2 + id % 3) AS exit_at", "0.0D AS priority",
+        "CAST(id % 7 AS STRING) AS sector", "id % 13 AS qty", "10.0D AS risk", "CAST(id % 5 - 2 AS DOUBLE) AS net", "IF(id % 17 = 0, null, 'TIME') AS exit_reason", "false AS halt_after_stop",
+    )
+    started = time.monotonic()
+    got = {r.skip: r.n for r in books.sequential_book(c, 1e9).groupBy("skip").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == n and got["CAP_LIQUIDITY"] == sum(i % 13 == 0 for i in range(n)) and time.monotonic() - started < 60

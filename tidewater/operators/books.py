@@ -221,39 +221,75 @@ def sequential_book(candidates: DataFrame, equity: float, max_open: int = 5, sec
     first stop; a candidate is skipped when its size is nothing, too many trades or too much
     risk is open, its sector is full, or no bar follows it.
 
-    A session's candidates are one array that is folded in order; the state holds the open
-    trades only, ``max_open`` at most.
+    Each session's candidates pass through one task in order, batch by batch; the state holds the
+    open trades only, ``max_open`` at most, so the work is linear and no session is held whole.
     """
-    kind = "struct<exit_at:bigint,risk:double,sector:string,net:double,stopped:boolean>"
-    done = "struct<trade_id:bigint,taken:boolean,skip:string,net:double>"
-    c = F.struct(F.col("entry_at").cast("long").alias("entry_at"), (-F.col("priority")).alias("low"), F.col("trade_id").cast("long").alias("trade_id"), F.col("exit_at").cast("long").alias("exit_at"), F.col("sector").cast("string").alias("sector"), F.col("qty").cast("long").alias("qty"), F.col("risk").cast("double").alias("risk"), F.col("net").cast("double").alias("net"), F.col("exit_reason").isin("STOP", "STOP_GAP").alias("stopped"), F.coalesce("halt_after_stop", F.lit(False)).alias("halt"))
-    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda s, x: s + of(x))
-
-    def step(state, c):
-        ended = F.filter(state["open"], lambda t: t["exit_at"] <= c["entry_at"])
-        live = F.filter(state["open"], lambda t: t["exit_at"] > c["entry_at"])
-        realised = state["realised"] + total(ended, lambda t: t["net"])
-        stopped = state["stopped"] | F.exists(ended, lambda t: t["stopped"])
-        halted = state["halted"] | (realised <= -daily_loss * equity)
-        full = (F.size(live) >= max_open) | (total(live, lambda t: t["risk"]) + c["risk"] > open_risk * equity + 1e-6)
-        skip = (
-            F.when(halted, "HALT_DAILY")
-            .when(c["halt"] & stopped, "HALT_FIRST_STOP")
-            .when(c["qty"] <= 0, "CAP_LIQUIDITY")
-            .when(full, "CAP_OPEN_RISK")
-            .when(F.size(F.filter(live, lambda t: t["sector"] == c["sector"])) >= sector_cap, "CAP_SECTOR")
-            .when(c["exit_at"].isNull(), "NO_INTRADAY_BARS")
-        )
-        trade = F.array(F.struct(c["exit_at"].alias("exit_at"), c["risk"].alias("risk"), c["sector"].alias("sector"), c["net"].alias("net"), c["stopped"].alias("stopped")))
-        row = F.struct(c["trade_id"].alias("trade_id"), skip.isNull().alias("taken"), skip.alias("skip"), F.when(skip.isNull(), c["net"]).otherwise(0.0).alias("net"))
-        return F.struct(
-            halted.alias("halted"), stopped.alias("stopped"), realised.alias("realised"),
-            F.when(skip.isNull(), F.concat(live, trade)).otherwise(live).cast(f"array<{kind}>").alias("open"), F.concat(state["out"], F.array(row)).cast(f"array<{done}>").alias("out"),
-        )
-
-    start = F.struct(F.lit(False).alias("halted"), F.lit(False).alias("stopped"), F.lit(0.0).alias("realised"), F.array().cast(f"array<{kind}>").alias("open"), F.array().cast(f"array<{done}>").alias("out"))
-    whole = candidates.groupBy("strategy", "session").agg(F.array_sort(F.collect_list(c)).alias("all"))
-    return whole.select("strategy", "session", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("r")).select("strategy", "session", "r.*")
+    c = candidates.select(
+        F.col("strategy").cast("string"), F.col("session").cast("string"), F.col("entry_at").cast("long").alias("entry_at"), (-F.col("priority")).alias("low"), F.col("trade_id").cast("long").alias("trade_id"), F.col("exit_at").cast("long").alias("exit_at"), F.col("sector").cast("string").alias("sector"),
+        F.col("qty").cast("long").alias("qty"), F.col("risk").cast("double").alias("risk"), F.col("net").cast("double").alias("net"), F.col("exit_reason").isin("STOP", "STOP_GAP").alias("stopped"), F.coalesce("halt_after_stop", F.lit(False)).alias("halt"),
+    )
+    ordered = c.repartition("strategy", "session").sortWithinPartitions(*c.columns).drop("low")
+    least, most = -daily_loss * equity, open_risk * equity + 1e-6
+
+    def admit(batches):
+        import pyarrow as pa
+
+        book, day = None, None
+        for batch in batches:
+            taken, skips, nets = [], [], []
+            rows = zip(*(batch.column(n).to_pylist() for n in ("strategy", "session", "entry_at", "exit_at", "sector", "qty", "risk", "net", "stopped", "halt")))
+            for strategy, session, *row in rows:
+                if book is None or day != (strategy, session):
+                    book, day = _Book(least, most, max_open, sector_cap), (strategy, session)
+                skip = book.admit(*row)
+                taken.append(skip is None)
+                skips.append(skip)
+                nets.append(row[5] if skip is None else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("strategy"), batch.column("session"), batch.column("trade_id"), pa.array(taken, pa.bool_()), pa.array(skips, pa.string()), pa.array(nets, pa.float64())], names=["strategy", "session", "trade_id", "taken", "skip", "net"])
+
+    return ordered.mapInArrow(admit, "strategy string, session string, trade_id long, taken boolean, skip string, net double")
+
+
+def _or(a: bool | None, b: bool | None) -> bool | None:
+    """SQL's OR: true if either is, unknown if one is unknown."""
+    return True if a or b else None if a is None or b is None else False
+
+
+class _Book:
+    """The state of one session's book; nulls count as in SQL, and NaN is above every number."""
+
+    def __init__(self, least: float, most: float, max_open: int, sector_cap: int):
+        self.least, self.most, self.max_open, self.sector_cap = least, most, max_open, sector_cap
+        self.halted, self.stopped, self.realised, self.open = False, False, 0.0, []
+
+    def admit(self, entry_at, exit_at, sector, qty, risk, net, stopped, halt) -> str | None:
+        """Why the candidate is skipped; null if it is taken."""
+        ended = [t for t in self.open if entry_at is not None and t[0] <= entry_at]
+        self.open = [t for t in self.open if entry_at is not None and t[0] > entry_at]
+        if ended:
+            self.realised = _sum(self.realised, _sum(0.0, *(t[3] for t in ended)))
+            for t in ended:
+                self.stopped = _or(self.stopped, t[4])
+        self.halted = _or(self.halted, None if self.realised is None else self.realised <= self.least)
+        at_risk = _sum(_sum(0.0, *(t[1] for t in self.open)), risk)
+        if self.halted:
+            return "HALT_DAILY"
+        if halt and self.stopped:
+            return "HALT_FIRST_STOP"
+        if qty is not None and qty <= 0:
+            return "CAP_LIQUIDITY"
+        if len(self.open) >= self.max_open or (at_risk is not None and (at_risk > self.most or at_risk != at_risk)):
+            return "CAP_OPEN_RISK"
+        if sum(sector is not None and t[2] == sector for t in self.open) >= self.sector_cap:
+            return "CAP_SECTOR"
+        if exit_at is None:
+            return "NO_INTRADAY_BARS"
+        self.open.append((exit_at, risk, sector, net, stopped))
+        return None
+
+
+def _sum(*values: float | None) -> float | None:
+    return None if any(v is None for v in values) else sum(values[1:], values[0])
 
 
 def tranche_book(picks: DataFrame, opens: DataFrame, h: int = 5) -> DataFrame:
