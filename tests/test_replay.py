@@ -88,3 +88,14 @@ def test_as_if_live(spark):
     events = spark.createDataFrame([(1, t(5), t(2), t(50)), (2, None, t(2), t(50)), (3, t(5), t(9), t(50)), (4, t(5), t(2), t(3))], "id int, ex_at timestamp_ntz, knowable_at timestamp_ntz, fetched_at timestamp_ntz")
     got = {r.id: r.knowable_at for r in R.event_live(events, 3600).collect()}
     assert got == {1: t(5, 1), 2: t(50), 3: t(9), 4: t(3)}
+
+
+def test_facts_are_never_broadcast(spark, tmp_path):
+    # the file of the facts is the smaller one, what they are laid out to is not
+    spark.range(50).selectExpr("id AS k", "id AS no", "timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS INT)) AS knowable_at").write.parquet(str(tmp_path / "facts"))
+    instants = spark.range(2000).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS as_of", "id AS previous_session", "repeat('x', 100) AS more")
+    instants.write.parquet(str(tmp_path / "instants"))
+    got = R.versions(spark.read.parquet(str(tmp_path / "facts")), spark.read.parquet(str(tmp_path / "instants")), ["k"], ["no"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert got.count() == sum(max(0, 1999 - 24 * i) for i in range(50))

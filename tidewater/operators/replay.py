@@ -37,9 +37,8 @@ def seen(facts: DataFrame, instants: DataFrame, until: Column | None = None, slo
 
     ``instants`` has ``as_of`` (distinct) and whatever goes with it; ``facts`` has no such
     columns.  ``slot_seconds`` trades rows before the join (an interval's slots) against rows
-    after it (instants a slot); the result does not depend on it.  No key has to meet in
-    one task: the rows of a slot spread over its facts' partitions when the instants are few,
-    and skewed slots are split otherwise.
+    after it (instants a slot); the result does not depend on it.  The instants, a calendar, are
+    what is broadcast: facts are never sent to the driver and no slot has to meet in one task.
     """
     first, last = instants.agg(F.min("as_of"), F.max("as_of")).first()
     if first is None:
@@ -49,7 +48,7 @@ def seen(facts: DataFrame, instants: DataFrame, until: Column | None = None, slo
     end = F.least(last, until) if until is not None else last  # least leaves nulls out
     laid = facts.withColumns({"_from": F.col(knowable), "_until": end}).where((F.col("_from") < last) & (start <= F.col("_until")))
     laid = laid.withColumn("_slot", F.explode(F.sequence(_slot(start, slot_seconds), _slot(F.col("_until"), slot_seconds))))
-    both = laid.join(instants.withColumn("_slot", _slot(F.col("as_of"), slot_seconds)), "_slot")
+    both = laid.join(F.broadcast(instants.withColumn("_slot", _slot(F.col("as_of"), slot_seconds))), "_slot")  # a calendar; by its file's size the other side may look smaller
     return both.where((F.col("_from") < F.col("as_of")) & (F.col("as_of") <= F.col("_until"))).drop("_slot", "_from", "_until")
 
 
