@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import scalars
 from tidewater.functions.reasons import digits12, result
-from tidewater.operators import adjust, bars, books, fundamentals, gates, indicators, labels, pit, ranks, stats
+from tidewater.operators import adjust, bars, books, crosssection, fundamentals, gates, indicators, labels, pit, ranks, stats
 
 T = dt.datetime
 D = dt.date
@@ -259,3 +259,17 @@ def test_sequential_book_is_linear(spark):
     started = time.monotonic()
     got = {r.skip: r.n for r in books.sequential_book(c, 1e9).groupBy("skip").agg(F.count("*").alias("n")).collect()}
     assert sum(got.values()) == n and got["CAP_LIQUIDITY"] == sum(i % 13 == 0 for i in range(n)) and time.monotonic() - started < 60
+
+
+def test_log_volatility_reads_a_frame_once(spark):
+    # against the steps themselves, with missing sessions and closes that are not positive; lists made of lists took a time that grows with the square of the window
+    rng = np.random.default_rng(5)
+    rows = [("k", i, float(rng.choice([rng.uniform(50, 150), 0.0, 1e-3], p=[0.8, 0.1, 0.1]))) for i in range(120) if i % 7]
+    df = spark.createDataFrame(rows, "key string, i int, close double")
+    got = {r.i: r.v for r in df.select("i", crosssection.log_volatility(20).alias("v")).collect()}
+    for i in (r[1] for r in rows):
+        logs = [math.log(c) for _, j, c in rows if i - 20 <= j <= i and c > 0]
+        want = np.std(np.diff(logs)) if len(logs) >= 10 else None
+        assert got[i] == (pytest.approx(want, rel=1e-9) if want is not None else None)
+    plan = df.select(crosssection.log_volatility(20))._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "collect_list" not in plan

@@ -66,19 +66,23 @@ def suspect(exact: Column | None = None, threshold: float = 0.25) -> Column:
 def median_turnover(n: int = 20) -> Column:
     value = F.when((F.col("close") > 0) & (F.col("volume") >= 0), F.col("close") * F.col("volume"))
     frame = _sessions(-(n - 1), 0)
-    seen = F.array_sort(F.collect_list(value).over(frame))  # n values at most
+    seen = F.sort_array(F.collect_list(value).over(frame))  # n values at most
     middle = lambda k: F.get(seen, F.floor((F.size(seen) - k) / 2).cast("int"))
     return F.when(F.size(seen) >= n // 2, (middle(1) + middle(0)) / 2)
 
 
 def log_volatility(n: int = 60) -> Column:
     """Population deviation of the log steps between the valid closes of the last n + 1 sessions."""
-    closes = F.collect_list(F.when(F.col("close") > 0, F.log("close"))).over(_sessions(-n, 0))
-    steps = F.zip_with(F.slice(closes, 2, n + 1), F.slice(closes, 1, F.size(closes) - 1), lambda b, a: b - a)
-    total = lambda of: F.aggregate(steps, F.lit(0.0), lambda s, x: s + of(x))
-    count = F.size(steps)
-    mean = total(lambda x: x) / count
-    return F.when((F.size(closes) >= n // 2) & (count > 1), F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.pow(x - mean, 2)) / count))
+    valid = F.col("close") > 0
+    at = F.when(valid, F.log("close"))
+    before = F.last(at, ignorenulls=True).over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    square = F.when(valid, F.coalesce(F.pow(at - before, 2), F.lit(0.0)))
+    frame = _sessions(-n, 0)
+    steps = F.count(at).over(frame) - 1
+    # the first close of the frame has its step outside of it; the sum of the others is the way from it to the last
+    squares = F.sum(square).over(frame) - F.first(square, ignorenulls=True).over(frame)
+    mean = (F.last(at, ignorenulls=True).over(frame) - F.first(at, ignorenulls=True).over(frame)) / steps
+    return F.when((steps + 1 >= n // 2) & (steps > 1), F.sqrt(F.greatest(squares / steps - mean * mean, F.lit(0.0))))
 
 
 def eligible(panel: DataFrame, exact: Column | None = None, top: int = 200, min_history: int = 252, min_price: float = 20.0, lookback: int = 252, threshold: float = 0.25, turnover_window: int = 20, vol_window: int = 60) -> DataFrame:
