@@ -175,7 +175,7 @@ def filer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     n = s.count()
     k = F.col("o_orderkey") % 6
-    o = table(spark, sf_dir, "orders").withColumn("s_suppkey", F.col("o_custkey") % n).join(s, "s_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey").withColumn("s_suppkey", F.col("o_custkey") % n).join(s, "s_suppkey")
     firm = F.concat(F.lit("Firm"), F.col("s_suppkey").cast("string"))
     filer = F.when(k == 3, "Nobody Here Ltd").when(k == 4, F.concat(firm, F.lit(" Trading Mutual Fund"))).when(k == 5, F.concat(firm, F.lit(" Housing Trading Ltd"))).otherwise(F.concat(firm, F.lit(" Trading Limited")))
     symbol = F.when(k == 0, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).when(k == 1, "NOSUCH")
