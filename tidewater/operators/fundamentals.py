@@ -76,9 +76,11 @@ def vendor_ratio(snapshots: DataFrame, payload: str, name: str) -> DataFrame:
     """
     rows = F.from_json(F.col(payload), "array<struct<name:string,company:string,sector:string>>")
     s = snapshots.withColumn("_rows", rows).withColumn("_one", F.try_element_at(F.filter("_rows", lambda r: r["name"] == name), F.lit(1)))
-    own, peer = parse_number(F.col("_one.company")), parse_number(F.col("_one.sector"))
+    # columns of their own, so that a text is parsed once and not wherever a rule looks at it
+    s = s.withColumns({"_own": parse_number(F.col("_one.company")), "_peer": parse_number(F.col("_one.sector"))}).withColumn("_over", F.try_divide("_own", "_peer"))
+    own, peer = F.col("_own"), F.col("_peer")
     bad, absent = (F.col("_rows").isNull(), MALFORMED_INPUT), (F.col("_one").isNull() | own.isNull(), MISSING_INPUT)
-    return s.withColumns({"ratio": result(own, bad, absent), "to_sector": result(F.try_divide(own, peer), bad, absent, (peer.isNull(), MISSING_INPUT), (peer <= 0, DIVISION_UNDEFINED))}).drop("_rows", "_one")
+    return s.withColumns({"ratio": result(own, bad, absent), "to_sector": result(F.col("_over"), bad, absent, (peer.isNull(), MISSING_INPUT), (peer <= 0, DIVISION_UNDEFINED))}).drop("_rows", "_one", "_own", "_peer", "_over")
 
 
 def forensic_flags(ratios: DataFrame) -> DataFrame:

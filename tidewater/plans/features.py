@@ -67,7 +67,8 @@ def vendor_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c, end="": F.concat(F.round(c, 2).cast("decimal(18,2)").cast("string"), F.lit(end))
     sector = F.when(r == 2, F.lit("n/a")).when(r == 3, F.lit("0")).otherwise(text(v + 100))
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.when(r == 1, "-").otherwise(text(c, "%" if n.startswith("RO") else "")).alias("company"), sector.alias("sector")) for n, c in own.items()])
-    df = table(spark, sf_dir, "part").select("p_partkey", F.when(r == 0, F.lit('{"name"')).otherwise(F.to_json(rows)).alias("payload"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice").repartition("p_partkey")  # a small file's rows are much work
+    df = part.select("p_partkey", F.when(r == 0, F.lit('{"name"')).otherwise(F.to_json(rows)).alias("payload"))
     out = {"pe": "P/E", "pb": "P/B", "roe_pct": "ROE", "roce_pct": "ROCE", "ev_ebitda": "EV/EBITDA"}
     for c, n in out.items():
         df = fund.vendor_ratio(df, "payload", n).withColumnsRenamed({"ratio": c, "to_sector": f"{c}_to_sector"})
