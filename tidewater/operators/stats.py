@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orderstats import order_statistics
 from .ranks import average_rank
 
 
@@ -52,9 +55,19 @@ def ridge(df: DataFrame, features: list[str], y: str, alpha: float) -> np.ndarra
 
 
 def winsorised(df: DataFrame, by: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """The value cut to its group's two percentiles."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("_b"))
-    return df.join(bounds, by).withColumn(value, F.least(F.greatest(F.col(value), F.col("_b")[0]), F.col("_b")[1])).drop("_b")
+    """The value cut to its group's two percentiles, exact; no task holds a group's values."""
+
+    def bound(q: float, name: str) -> DataFrame:
+        at = lambda n: (n - 1) * q
+        # each bound by itself: what is ordered lies between the places that are asked for
+        found = order_statistics(df, by, value, {"_a": lambda n: F.floor(at(n)), "_z": lambda n: F.ceil(at(n))})
+        a, z, place = F.col("_a").cast("double"), F.col("_z").cast("double"), at(F.col("n"))
+        between = (F.ceil(place) - place) * a + (place - F.floor(place)) * z
+        return found.select(*by, F.when(a == z, a).otherwise(between).alias(name))
+
+    known = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by]))
+    both = known.join(bound(low, "_low"), by, "left").join(bound(high, "_high"), by, "left")
+    return both.withColumn(value, F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high"))).drop("_low", "_high")
 
 
 def draw_number(*parts) -> Column:
