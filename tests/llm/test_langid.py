@@ -90,3 +90,17 @@ def test_floor_parts_labelled_texts_from_noise(spark):
     assert 0 < floor <= 0.51 * max(r.score for r in own) and all(r.score >= floor for r in own)
     assert all(r.score < floor for r in identify(noise, profiles).collect())
     assert score_floor(docs.where("false"), profiles) == 0
+
+
+def test_floor_scores_every_labelled_text(spark, monkeypatch):
+    from tidewater.llm import langid
+
+    seen = []
+
+    def counted(docs, profiles, doc_id):
+        seen.append(docs.count())
+        return docs.limit(5).selectExpr("lang AS doc_id", "lang AS lang_pred", "0.5D AS score")
+
+    monkeypatch.setattr(langid, "identify", counted)
+    docs = spark.range(30_000).selectExpr("concat('text ', id) AS text", "'aa' AS lang")
+    assert score_floor(docs, langid.Profiles(["aa"], langid.np.zeros((1, 8)))) == 0.25 and seen == [30_000]

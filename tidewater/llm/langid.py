@@ -208,18 +208,15 @@ def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text:
     return rows.mapInArrow(predict, schema).toDF(*(["doc_id"] if carry is None else carry), *names)
 
 
-def score_floor(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", share: float = 0.001, of_it: float = 0.5, sample: int = 20000) -> float:
+def score_floor(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", share: float = 0.001, of_it: float = 0.5) -> float:
     """A score under which a text resembles no learned language: ``of_it`` times the score that all but ``share`` of the labelled texts reach.
 
-    About ``sample`` labelled texts, chosen by a hash of the text, are scored (all, if
-    fewer); without labelled texts the floor is 0.
+    Every labelled text is scored; without labelled texts the floor is 0.
     """
     labelled = docs.select(column(text).alias("text"), column(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = labelled.count() if profiles.languages else 0
-    if not known:
+    if not profiles.languages:
         return 0.0
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < sample / known)
-    scored = identify(chosen.select("text", "lang"), profiles, doc_id="lang").where(F.col("lang_pred") != UNDETERMINED)
+    scored = identify(labelled, profiles, doc_id="lang").where(F.col("lang_pred") != UNDETERMINED)
     return of_it * (scored.agg(F.percentile_approx("score", F.lit(share), F.lit(10000))).first()[0] or 0.0)
 
 
