@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.reasons import DIVISION_UNDEFINED, MISSING_INPUT, NOT_APPLICABLE, result
 from ..functions.scalars import crore_amount
+from .alike import candidates, of_pairs, stored
 from .newsrules import CORRECTION
 
 # The vocabularies of the rules.
@@ -166,29 +167,27 @@ def news_counts(items: DataFrame, instant: Column, covered: Column, by: list[str
 
 def title_words(title: Column) -> Column:
     """The distinct words of a title that carry meaning."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS) & ~w.rlike(r"^\d+$"))
-    return F.array_distinct(words)
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", " ")), " "))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS) & ~w.rlike(r"^\d+$"))
 
 
 def similar_pairs(items: DataFrame, least: float = 0.7, hours: int = 3) -> DataFrame:
     """``item_id, earlier_id, jaccard``: each item with its best earlier one of similar words inside the window.
 
-    Items meet over shared words within neighbouring time buckets.  All order their words
-    alike, rare ones first, and of n words only the n - ceil(least * n) + 1 rarest join:
-    two sets of the similarity share one of those, so common words seldom pair anything.
+    Items meet over the rarest of their words within slots of time (:mod:`.alike`), and only
+    those that share several are compared.
     """
     span = hours * 3600
-    base = items.withColumns({"_t": F.unix_timestamp(F.col("at").cast("timestamp")), "_w": title_words(F.col("title"))}).where(F.size("_w") > 0)
-    words = base.select("item_id", "_t", F.floor(F.col("_t") / span).alias("_b"), F.size("_w").alias("_n"), F.explode("_w").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("_f"))
-    ranked = words.join(frequency, "word").withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy("_f", "word")))
-    kept = ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1)
-    left = kept.select("word", "_b", F.col("item_id").alias("item_id"), F.col("_t").alias("_ta"))
-    right = kept.select("word", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"), F.col("item_id").alias("earlier_id"), F.col("_t").alias("_tb"))
-    near = left.join(right, ["word", "_b"]).where((F.struct("_tb", "earlier_id") < F.struct("_ta", "item_id")) & (F.col("_ta") - F.col("_tb") <= span)).select("item_id", "earlier_id").distinct()
-    a, b = base.select("item_id", F.col("_w").alias("_wa")), base.select(F.col("item_id").alias("earlier_id"), F.col("_w").alias("_wb"))
-    score = F.size(F.array_intersect("_wa", "_wb")) / F.size(F.array_union("_wa", "_wb"))
-    scored = near.join(a, "item_id").join(b, "earlier_id").withColumn("jaccard", score).where(F.col("jaccard") >= least)
+    base = stored(items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("t"), title_words(F.col("title")).alias("words")).where(F.size("words") > 0), "titles")
+    pairs = candidates(base, least, span)
+    base = of_pairs(base, pairs)
+    a, b = (base.select(F.col("item_id").alias(f"{p}_id"), F.col("t").alias(f"_t{p}"), F.col("words").alias(f"_w{p}")) for p in "ab")
+    met = pairs.join(a, "a_id").join(b, "b_id").withColumn("_both", F.size(F.array_intersect("_wa", "_wb")))
+    later = F.struct("_tb", "b_id") > F.struct("_ta", "a_id")
+    scored = met.select(
+        F.when(later, F.col("b_id")).otherwise(F.col("a_id")).alias("item_id"), F.when(later, F.col("a_id")).otherwise(F.col("b_id")).alias("earlier_id"),
+        (F.col("_both") / (F.size("_wa") + F.size("_wb") - F.col("_both"))).alias("jaccard"),
+    ).where(F.col("jaccard") >= least)
     return scored.groupBy("item_id").agg(F.max_by(F.struct("earlier_id", "jaccard"), F.struct("jaccard", -F.col("earlier_id"))).alias("m")).select("item_id", "m.earlier_id", F.round("m.jaccard", 6).alias("jaccard"))
 
 
