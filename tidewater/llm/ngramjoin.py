@@ -247,7 +247,7 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
     tokens = _prefixes(rows, counters, wanted, hot, shingle, percent)
     # rows that repeat an id would send their tokens again and again
     repeated = not sets.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    tokens = stored(tokens.distinct() if repeated else tokens)
+    held = tokens = stored(tokens.distinct() if repeated else tokens)
 
     # star rounds: each class with the one that leads most of its prefix.  A copy's own edits come first in its order,
     # so the member that has a token earliest is the least edited one: the centre of a group of near copies.  From the
@@ -258,11 +258,16 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
     for _ in range(rounds):
         placed = placed_in(tokens, joined)
         first = F.min(F.struct("pos", "doc", "n", "matches"))
-        most = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")).groupBy("token")
-        # at first every class is a component of its own: the earliest of them leads
-        rank = F.struct("c", "comp") if joined is not None else F.struct(-F.col("l.pos"), -F.col("l.doc"))
-        leader = most.agg(F.max_by(F.struct("comp", "l"), rank).alias("m"), F.count("*").alias("k")).where("k > 1")
+        if joined is None:  # every class is a component of its own: the earliest of them leads
+            most, rank = placed.groupBy("token", "doc", "comp").agg(first.alias("l")) if repeated else placed.withColumn("l", F.struct("pos", "doc", "n", "matches")), F.struct(-F.col("l.pos"), -F.col("l.doc"))
+        else:
+            most, rank = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")), F.struct("c", "comp")
+        leader = most.groupBy("token").agg(F.max_by(F.struct("comp", "l"), rank).alias("m"), F.count("*").alias("k")).where("k > 1")
         led = placed.join(leader.select("token", F.col("m.comp").alias("xcomp"), F.col("m.l.doc").alias("x"), F.col("m.l.n").alias("xn"), F.col("m.l.pos").alias("xpos"), F.col("m.l.matches").alias("xmatches")), "token")
+        if joined is not None:  # components only grow, so a token of one component links nothing in later rounds either
+            led = stored(led)
+            forget(held)
+            held, tokens = led, led.select("token", "doc", "n", "pos", "matches")
         led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches"), percent))
         star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
         found = stored(verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated, shingle, percent))
@@ -273,7 +278,7 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
     placed = placed_in(tokens, joined)
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
-    forget(tokens)
+    forget(held)
     cols = ["doc", "n", "pos", "matches", "comp"]
     left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
     right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
