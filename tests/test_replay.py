@@ -99,3 +99,14 @@ def test_facts_are_never_broadcast(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
     assert got.count() == sum(max(0, 1999 - 24 * i) for i in range(50))
+
+
+def test_bars_are_laid_out_behind_the_shuffle(spark):
+    bars, index = _bars(spark, ["a", "b"], 40, 4), _bars(spark, ["i"], 40, 5)
+    _, instants = _instants(spark, 20, 30, 41)
+    got = R.replay_bars(bars, index, instants, names=("ret_1d", "sma_20"), others=("beta_60",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Exchange hashpartitioning" not in plan[: plan.index("Generate explode")]
+    rows = [(r.as_of, r.key, r.feature_id, r.value, r.reason) for r in got.collect()]
+    every = [(r.as_of, r.key, r.feature_id, r.value, r.reason) for r in R.replay_bars(bars, index, instants).where("feature_id IN ('ret_1d', 'sma_20', 'beta_60')").collect()]
+    assert sorted(rows, key=str) == sorted(every, key=str) and len(rows) == 18

@@ -51,6 +51,26 @@ def nearest_rank(q: float) -> Callable[[Column], Column]:
     return lambda n: F.floor((n - 1) * q + 0.5)
 
 
+def peer_median_in_order(df: DataFrame, by: list[str], value: str, least: int = 3) -> DataFrame:
+    """:func:`peer_median` where groups are many and small: one shuffle and one sort, each group's rows in one task."""
+    # rows that belong to no group meet nobody: they are spread by their value
+    alone = F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in by]), F.xxhash64(value))
+    group = Window.partitionBy(*by, "_alone").orderBy(F.col(value).asc_nulls_last())
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = df.withColumn("_alone", alone).withColumns({"_at": F.row_number().over(group) - 1, "_n": F.count(value).over(every)})
+    first = F.floor((F.col("_n") - 2) / 2)
+    at = lambda i: F.max(F.when(F.col("_at") == F.least(first + i, F.col("_n") - 1), F.col(value))).over(every)
+    return _relative(placed.withColumns({f"_s{i}": at(i) for i in range(3)}), value, F.col("_n"), F.col("_alone").isNull(), least).drop("_alone", "_at", "_n", "_s0", "_s1", "_s2")
+
+
+def _relative(both: DataFrame, value: str, n: Column, grouped: Column, least: int) -> DataFrame:
+    """``relative`` from a group's size and the three values around its middle, ``_s0`` to ``_s2``."""
+    # the others' k-th value is the group's, one further on if the row itself stands before it
+    other = lambda k: F.when(F.col(value) > F.col(f"_s{k}"), F.col(f"_s{k}")).otherwise(F.col(f"_s{k + 1}"))
+    middle = F.when(n % 2 == 0, other(0)).otherwise((other(0) + other(1)) / 2)
+    return both.withColumn("relative", F.when(grouped & F.col(value).isNotNull() & (n - 1 >= least), F.col(value) - middle))
+
+
 def peer_median(df: DataFrame, group: str | list[str], value: str, least: int = 3) -> DataFrame:
     """Each row's value less the median of the other members of its group, as ``relative``; null for a null value or with fewer than ``least`` others.
 
@@ -61,9 +81,4 @@ def peer_median(df: DataFrame, group: str | list[str], value: str, least: int =
     first = lambda n: F.floor((n - 2) / 2)  # noqa: E731  of n - 1 others the lower middle one
     places = {f"_s{i}": (lambda n, i=i: F.least(first(n) + i, n - 1)) for i in range(3)}
     found = order_statistics(df, by, value, places)
-    both = df.join(found, by, "left")
-    # the others' k-th value is the group's, one further on if the row itself stands before it
-    other = lambda k: F.when(F.col(value) > F.col(f"_s{k}"), F.col(f"_s{k}")).otherwise(F.col(f"_s{k + 1}"))
-    middle = F.when(F.col("n") % 2 == 0, other(0)).otherwise((other(0) + other(1)) / 2)
-    enough = F.col(value).isNotNull() & (F.col("n") - 1 >= least)
-    return both.withColumn("relative", F.when(enough, F.col(value) - middle)).drop("n", *places)
+    return _relative(df.join(found, by, "left"), value, F.col("n"), F.lit(True), least).drop("n", *places)

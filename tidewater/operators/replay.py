@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pit import insert_if_absent
-from .snapshot import HISTORY_DAYS, STOCK_FEATURES, visible_rows
+from .snapshot import HISTORY_DAYS, OTHERS, STOCK_FEATURES, visible_rows
 
 #: Days of bars in which a key has to have one to belong to an instant's universe.
 UNIVERSE_DAYS = 30
@@ -76,23 +76,26 @@ def universe(bars: DataFrame, instants: DataFrame, days: int = UNIVERSE_DAYS, sl
     return last.select("as_of", "key", "last_bucket", (F.col("last_bucket") != F.col("previous_session")).alias("stale"))
 
 
-def replay_bars(bars: DataFrame, index: DataFrame, instants: DataFrame, sectors: DataFrame | None = None, history_days: int = HISTORY_DAYS, names: tuple[str, ...] = STOCK_FEATURES, slot_seconds: int = 86_400) -> DataFrame:
+def replay_bars(
+    bars: DataFrame, index: DataFrame, instants: DataFrame, sectors: DataFrame | None = None, history_days: int = HISTORY_DAYS, names: tuple[str, ...] = STOCK_FEATURES, slot_seconds: int = 86_400, others: tuple[str, ...] = OTHERS
+) -> DataFrame:
     """The instrument rows of the snapshots of all instants: those of one snapshot an instant, with its ``as_of``.
 
-    ``instants``: as_of, previous_session; ``sectors``: key, sector.  A key and an instant
-    together are the key of every window, fold and median, so what one snapshot does for
-    keys this plan does for pairs.
-    """
-    def keyed(df: DataFrame) -> DataFrame:
-        found = visible_bars(df, instants, history_days, slot_seconds)
-        return found.withColumn("key", F.struct("as_of", "previous_session", "key"))
+    ``instants``: as_of, previous_session; ``sectors``: key, sector; ``others``: which features to make
+    beside those of ``names``.  A key and an instant together are the key of every window, fold
+    and median, so what one snapshot does for keys this plan does for pairs.
 
+    Bars are shuffled by their key before they are laid out over the instants, and all windows
+    are within a key: a bar is written once, however many instants see it.  The tasks are as
+    many as ``spark.sql.shuffle.partitions`` says, because what they read is less than what they make of it.
+    """
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = visible_bars(bars.repartition(tasks, "key"), instants, history_days, slot_seconds)
     with_sector = None
     if sectors is not None:
-        known = sectors.select(F.col("key").alias("_key"), F.col("sector").alias("_sector"))
-        with_sector = lambda df: df.join(known, F.col("key.key") == F.col("_key"), "left").withColumn("sector", F.when(F.col("_sector").isNotNull(), F.struct("key.as_of", "_sector"))).drop("_key", "_sector")
-    rows = visible_rows(keyed(bars), keyed(index), F.col("key.previous_session"), with_sector, ("as_of", "bucket"), names)
-    return rows.select(F.col("key.as_of").alias("as_of"), "scope", F.col("key.key").alias("key"), *[c for c in rows.columns if c not in ("scope", "key")])
+        with_sector = lambda df: df.join(sectors.select("key", "sector"), "key", "left")
+    rows = visible_rows(found, visible_bars(index, instants, history_days, slot_seconds), F.col("previous_session"), with_sector, ("key", "as_of"), names, others)
+    return rows.select("as_of", "scope", "key", *[c for c in rows.columns if c not in ("as_of", "scope", "key")])
 
 
 def undone(instants: DataFrame, stored: DataFrame) -> DataFrame:
