@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import fundamentals, newsrules, stats
+from tidewater.sources import payloads
 
 
 def _plan(df) -> str:
@@ -35,3 +36,12 @@ def test_names_are_split_once(spark):
     got = df.select(newsrules.names_agree(F.col("a"), F.col("b"), strict=True).alias("ok"))
     assert [r.ok for r in got.collect()] == [True, False, False]
     assert _plan(got).count("regexp_replace") <= 4
+
+
+def test_repeated_candles_are_compared_without_distinct_ones(spark):
+    row = lambda at, close: f'["2024-01-01T03:4{at}:00Z",{close},{close},{close},{close},10,0]'
+    body = '{"status":"success","data":{"candles":[' + ",".join([row(5, 1), row(5, 1), row(6, 1), row(6, 2), row(7, "null"), row(7, "null"), row(8, 3)]) + "]}}"
+    df = spark.createDataFrame([("a", body)], "key string, body string").withColumns({"fetched_at": F.lit("2024-01-02").cast("timestamp"), "session_open": F.lit("2024-01-01 03:45:00").cast("timestamp")})
+    got = payloads.candles(df)
+    assert [r.reason for r in got.orderBy("start").collect()] == [None, "CONFLICTING_DUPLICATE", "MALFORMED_ROW", None]
+    assert "distinct" not in _plan(got).lower()

@@ -43,10 +43,11 @@ def candles(payloads: DataFrame, minutes: int = 1) -> DataFrame:
     prices = F.least("open", "high", "low", "close")
     absent = F.exists(F.array("open", "high", "low", "close", "volume"), lambda x: x.isNull())
     values = F.struct("open", "high", "low", "close", "volume")
-    counted = each.groupBy("key", "start").agg(F.count_distinct(values).alias("_v"), *[F.min(c).alias(c) for c in ("fetched_at", "session_open", "_n")], F.min(values).alias("_x")).select("*", "_x.*").drop("_x")
+    # values differ where the least and the greatest do: no distinct ones are kept
+    counted = each.groupBy("key", "start").agg((~F.min(values).eqNullSafe(F.max(values))).alias("_differ"), *[F.min(c).alias(c) for c in ("fetched_at", "session_open", "_n")], F.min(values).alias("_x")).select("*", "_x.*").drop("_x")
     reason = (
         F.when((F.col("_n") < 6) | F.col("start").isNull() | absent, "MALFORMED_ROW")
-        .when(F.col("_v") > 1, "CONFLICTING_DUPLICATE")
+        .when(F.col("_differ"), "CONFLICTING_DUPLICATE")
         .when(prices <= 0, "NON_POSITIVE_PRICE")
         .when((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")), "OHLC_INCONSISTENT")
         .when(F.col("volume") < 0, "NEGATIVE_VOLUME")
