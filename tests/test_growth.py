@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import fundamentals, newsrules, stats
+from tidewater.plans import panel
 from tidewater.sources import payloads
 
 
@@ -45,3 +46,9 @@ def test_repeated_candles_are_compared_without_distinct_ones(spark):
     got = payloads.candles(df)
     assert [r.reason for r in got.orderBy("start").collect()] == [None, "CONFLICTING_DUPLICATE", "MALFORMED_ROW", None]
     assert "distinct" not in _plan(got).lower()
+
+
+def test_a_panel_is_shuffled_once(spark):
+    got = panel.panel_signals(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and plan.count("Exchange") == 1
