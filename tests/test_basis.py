@@ -126,3 +126,20 @@ def test_bars_as_known_against_fractions(spark):
     assert counted["a"][0] == 0 and sum(c[1] for c in counted.values()) == rows.where("refusal = 'low_confidence'").count()
     none = B.bars_as_known(b, f.where("false"), p, x, F.lit(AT(58, 9)).cast("timestamp_ntz"))
     assert {r.status for r in none.collect()} == {"AS_STORED"}
+
+
+def test_ratios_in_longs_equal_those_in_decimals(spark):
+    rng = random.Random(5)
+    rows = [(round(rng.uniform(-900, 900), 2), rng.randrange(1, 60), rng.randrange(1, 60)) for _ in range(200)] + [(0.000005, 2, 1), (0.000015, 10, 1), (-0.000015, 10, 1), (9e12, 7, 3), (9e13, 3, 7), (4e7, 1, 10**10), (None, 2, 1), (0.0, 5, 9)]
+    df = spark.createDataFrame(rows, "v double, n long, d long").selectExpr("v", "CAST(n AS DECIMAL(38,0)) AS num", "CAST(d AS DECIMAL(38,0)) AS den", "n AS _num", "d AS _den")
+    df = df.withColumn("_m_v", B._micro(F.col("v")).try_cast("long"))
+    got = df.select(B._over_long("v", "num", "den").alias("a"), B.over_ratio(F.col("v"), F.col("num"), F.col("den")).alias("b")).collect()
+    assert len(got) == len(rows) and all(r.a == r.b for r in got)
+
+
+def test_bars_are_made_once(spark):
+    from tidewater.plans import replays
+
+    for query in (replays.bars_on_known_basis, replays.refused_bars):
+        read = query(spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not any("lineitem" in f for f in read)  # what is read several times is stored, no lookup rolls the lines up again

@@ -8,11 +8,13 @@ and denominators are kept apart, so every quotient is exact; no bar meets a list
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alike import stored
 from .pit import asof_join
 
 WHOLE = "decimal(38,0)"
@@ -20,6 +22,8 @@ RAW_OBSERVED, VENDOR_ADJUSTED = "RAW_OBSERVED", "VENDOR_ADJUSTED"
 #: |ln F| below this cannot be told from a market move; a jump may be this far off in logarithms.
 DISTINGUISHABLE, TOLERANCE = 0.2, 0.15
 LOW, RECONSTRUCTED = "low_confidence", "reconstructed"
+#: Twice this is a long still.
+_LONG = 4_000_000_000_000_000_000
 
 
 # -- factors --------------------------------------------------------------------------------
@@ -64,6 +68,19 @@ def over_ratio(value: Column, num: Column, den: Column) -> Column:
     return (F.when(value < 0, -1).otherwise(1) * _rounded(_micro(value) * den.cast("decimal(18,0)"), num) / 1_000_000).cast("decimal(24,6)")
 
 
+def _over_long(value: str, num: str, den: str) -> Column:
+    """:func:`over_ratio` of columns whose millionths ``_m_<value>`` and ``_<num>, _<den>`` are there as long: in those where they suffice.
+
+    A column of a row is made once; inside one expression every use of a decimal is worked out anew.
+    """
+    m, n, d = f"`_m_{value}`", f"`_{num}`", f"`_{den}`"
+    low, twice = f"({m} * {d} DIV {n})", f"({m} * {d} % {n} * 2)"
+    fits = F.expr(f"{n} BETWEEN 1 AND {_LONG} AND {d} > 0 AND {m} <= {_LONG} DIV {d}")
+    whole = F.expr(f"{low} + CASE WHEN {twice} > {n} OR ({twice} = {n} AND {low} % 2 = 1) THEN 1L ELSE 0L END")
+    fast = (F.when(F.col(value) < 0, -whole).otherwise(whole).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(24,6)")
+    return F.when(fits, fast).otherwise(over_ratio(F.col(value), F.col(num), F.col(den)))
+
+
 def multiplier(num: Column, den: Column) -> Column:
     """The factor's reciprocal in ten-thousandths, halves up."""
     return _rounded(den.cast("decimal(18,0)") * 10_000, num, even=False)
@@ -231,7 +248,7 @@ def bars_as_known(bars: DataFrame, factors: DataFrame, basis: DataFrame, exclude
     )
     products = ["t_num", "t_den", "b_num", "b_den"]
     along = Window.partitionBy("key").orderBy("ex_date", "action_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = running_products(events, ["key"], ["ex_date", "action_id"], products).withColumns({c: F.sum(c).over(along) for c in ("known", "unknown")})
+    events = stored(running_products(events, ["key"], ["ex_date", "action_id"], products).withColumns({c: F.sum(c).over(along) for c in ("known", "unknown")}), "known-events")
 
     seen = bars.where(F.col("knowable_at") < instant).join(basis, "payload", "left")
     # actions of the bar's own day do not count for it any more: they are looked up with it
@@ -246,6 +263,7 @@ def bars_as_known(bars: DataFrame, factors: DataFrame, basis: DataFrame, exclude
     # excluded actions, by payload: what of them lies between a bar and its payload's basis
     own = excluded.distinct().join(exact.where(applied).select("action_id", "ex_date", "num", "den"), "action_id").join(basis.select("payload", "basis_as_of"), "payload").where("ex_date <= basis_as_of")
     own = running_products(own.select("payload", "ex_date", "action_id", F.col("num").alias("x_num"), F.col("den").alias("x_den")), ["payload"], ["ex_date", "action_id"], ["x_num", "x_den"])
+    own = stored(own, "excluded-products")
     whole = own.groupBy("payload").agg(*[F.max_by(c, F.struct("ex_date", "action_id")).alias(f"end_{c}") for c in ("x_num", "x_den")])
     b = asof_join(at_bar, own, ["payload"], "_at_day", "ex_date", ["ex_date", "action_id"], ["x_num", "x_den"])
     b = b.join(ends, "key", "left").join(at_basis, ["key", "basis_as_of"], "left").join(whole, "payload", "left")
@@ -266,8 +284,10 @@ def bars_as_known(bars: DataFrame, factors: DataFrame, basis: DataFrame, exclude
     b = b.withColumns({"status": status, "confidence": F.when(low, "LOW").otherwise("HIGH")})
     refusal = F.when((F.col("confidence") == "LOW") & F.lit(not allow_low_confidence), LOW).when((F.col("status") == "RECONSTRUCTED") & F.lit(not allow_reconstructed), RECONSTRUCTED)
     b = b.withColumn("refusal", refusal)
-    made = {c: F.when(F.col("refusal").isNull(), over_ratio(F.col(c), F.col("num"), F.col("den"))).otherwise(F.col(c).cast("decimal(24,6)")) for c in ("open", "high", "low", "close")}
-    made["volume"] = F.when(F.col("refusal").isNull(), over_ratio(F.col("volume"), F.col("den"), F.col("num"))).otherwise(F.col("volume").cast("decimal(24,6)"))
+    prices, usable_row = ("open", "high", "low", "close"), F.col("refusal").isNull()
+    b = b.withColumns({"_num": F.col("num").try_cast("long"), "_den": F.col("den").try_cast("long"), **{f"_m_{c}": F.when(usable_row, _micro(F.col(c)).try_cast("long")) for c in (*prices, "volume")}})
+    made = {c: F.when(usable_row, _over_long(c, "num", "den")).otherwise(F.col(c).cast("decimal(24,6)")) for c in prices}
+    made["volume"] = F.when(usable_row, _over_long("volume", "den", "num")).otherwise(F.col("volume").cast("decimal(24,6)"))
     return b.withColumn("actions_known", n("end_known") - n("known")).select(*[made[c].alias(c) if c in made else F.col(c) for c in bars.columns], "num", "den", "status", "confidence", "price_basis", "basis_as_of", "actions_known", "refusal")
 
 

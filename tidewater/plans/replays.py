@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import basis as BA
 from ..operators import pit
 from ..operators import replay as R
+from ..operators.alike import stored
 from .derive import DESK_SQL, INDEX_SQL, MONTHS_SQL, desk_bars, desk_index, months, table, text_of
 
 QUERIES: dict = {}
@@ -152,8 +153,9 @@ def _desk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    days, actions = _desk_days(spark, sf_dir), _desk_actions(spark, sf_dir)
-    basis = BA.price_basis(days.where("key % 17 > 0"))  # the rest has none on record
+    """The bars, what their payloads are based on and the factors; bars and basis are read several times and made once."""
+    days, actions = stored(_desk_days(spark, sf_dir), "desk-days"), _desk_actions(spark, sf_dir)
+    basis = stored(BA.price_basis(days.where("key % 17 > 0")), "desk-basis")  # the rest has none on record
     return days, basis, BA.derive_factors(actions, days, basis, actions.where("action_id % 4 = 1").select("action_id"))
 
 
@@ -189,6 +191,7 @@ def _over(value: str, top: str, bottom: str) -> str:
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, basis, factors = _derived(spark, sf_dir)
+    factors = stored(factors, "desk-factors")
     excluded = factors.where("status = 'EXACT' AND action_id % 3 = 0").selectExpr("concat(key, '-', year(ex_date) - 1) AS payload", "action_id")
     return BA.bars_as_known(days, factors, basis, excluded, F.lit(_INSTANT).cast("timestamp_ntz"))
 
