@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code handles at once; its arrays take some 60 times that.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Rows of text that Spark hands to Python at once, and that it reads from Parquet at once; its own limits (10,000 and
 #: 4,096 rows) are meant for short ones, and the arrays of such batches are so large that they fragment an executor's heap.
-BATCH_ROWS, READ_ROWS = 2000, 512
+BATCH_ROWS, READ_ROWS = 1000, 512
 #: Bytes that a writer of an intermediate table gathers before it writes them out.
 ROW_GROUP = 16 << 20
 #: A task that writes an intermediate table has so many bytes of what is read for it, or a table has this many files a core.
@@ -160,7 +160,7 @@ def short_batches(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a slice have about ``most`` bytes (one row at least)."""
+    """Cut Arrow batches so that the texts of a slice have about ``most`` bytes (one row at least); at the end, Arrow gives back what it no longer uses."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -169,6 +169,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # Spark's Python workers live on for other tasks
 
 
 class Bitmap:
