@@ -35,6 +35,8 @@ MATCHES = 3
 STAR_ROUNDS = 2
 #: What comparing two documents costs, in rows of the prefix join.
 COMPARISON = 50
+#: Bits of a set's sketch, in longs, and how many rows a token has when its pairs are told apart by sketches before they are counted.
+SKETCH, HEAVY = 8, 16
 #: The frequency table has 2**20 counters whatever the corpus; it only orders shingles, so its errors change no result.
 COUNTERS, PAGE = 1 << 20, 1 << 14
 
@@ -75,13 +77,26 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, background: float, percent: i
     return hashes[order[: first + picked - 1]], picked
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """``64 * SKETCH`` bits of every set, a row of longs each: a bit says whether an odd number of the set's shingles fell on it.
+
+    Two sets' sketches differ in no more bits than the sets do in shingles.
+    """
+    bits = 64 * SKETCH
+    at = np.repeat(np.arange(len(sets)) * bits, [len(s) for s in sets])
+    if len(at):
+        at += (np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % bits
+    odd = (np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8).reshape(len(sets), bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _profile(rows: DataFrame, shingle: int) -> DataFrame:
-    """One scan for two things: a row per document (doc_id, n, a, b) with its set's digest, and the counters' pages."""
+    """One scan for two things: a row per document (doc_id, n, a, b, sketch) with its set's digest, and the counters' pages."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["doc_id", "n", "a", "b", "part", "page", "counts"]
+        names = ["doc_id", "n", "a", "b", "sketch", "part", "page", "counts"]
         doc_type = None
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), shingle)
@@ -94,15 +109,16 @@ def _profile(rows: DataFrame, shingle: int) -> DataFrame:
             a = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             b = np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             none = pa.nulls(len(sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), none, none, pa.nulls(len(sets), pa.binary())], names)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(sketches(sets).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), sketch, none, none, pa.nulls(len(sets), pa.binary())], names)
         if doc_type is not None:
             pages = counts.reshape(-1, PAGE)
             some = np.flatnonzero(pages.any(1))
             none = pa.nulls(len(some), pa.int64())
             part = pa.array(np.full(len(some), TaskContext.get().partitionId(), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), doc_type), none, none, none, part, pa.array(some.astype(np.int32)), pa.array([pages[i].tobytes() for i in some], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), doc_type), none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), part, pa.array(some.astype(np.int32)), pa.array([pages[i].tobytes() for i in some], pa.binary())], names)
 
-    return stored(rows.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, part int, page int, counts binary"))
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, sketch array<long>, part int, page int, counts binary"))
 
 
 def _counters(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
@@ -233,11 +249,29 @@ def placed_in(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
     return tokens.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
+def _met(mixed: DataFrame, percent: int, sketched: bool = False) -> DataFrame:
+    """The pairs (x, y) of different components that share a token, once for each token that counts, with the l that they need.
+
+    ``sketched``: rows have a ``sketch``, and pairs go whose sketches differ in more bits than sets of the similarity do
+    in shingles.  A group of near copies that are just too far apart shares its tokens among all its pairs.
+    """
+    cols = ["doc", "n", "pos", "matches", "comp", *["sketch"] * sketched]
+    left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
+    right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
+    need = F.least("l_matches", "r_matches")
+    on = (left["token"] == right["token"]) & (F.col("l_comp") != F.col("r_comp")) & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc"))) & _counts("l_n", "l_pos", "r_n", "r_pos", need, percent)
+    if sketched:
+        apart = sum((F.bit_count(F.col("l_sketch")[i].bitwiseXOR(F.col("r_sketch")[i])) for i in range(SKETCH)), F.lit(0))
+        both = F.col("l_n") + F.col("r_n")
+        on &= apart <= both - 2 * F.ceil(both * percent / (100 + percent))
+    return left.join(right, on).select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y"), need.alias("need"))
+
+
 def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None = None, rounds: int = STAR_ROUNDS) -> DataFrame:
     """:func:`near_duplicates` of rows (doc_id, text) of bigint ids; ``known`` has links (x, y) that hold already, ``rounds`` is that of stars."""
     profile = _profile(rows, shingle)
     sets = profile.where("page IS NULL").select("doc_id", "n", "a", "b")
-    classes = stored(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
+    classes = stored(profile.where("page IS NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     reps = classes.where("rep IS NOT NULL").select("rep")
     counters = broadcast(rows.sparkSession, _counters(profile).astype(np.float32))
     wanted = bitmap(reps.select(F.xxhash64("rep").alias("key")), "key")
@@ -251,23 +285,27 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
 
     # star rounds: each class with the one that leads most of its prefix.  A copy's own edits come first in its order,
     # so the member that has a token earliest is the least edited one: the centre of a group of near copies.  From the
-    # second round on the centres are those of a token's largest component, for the classes that are not in it yet.
+    # second round on the centres are those of a token's largest component (by all its members, so that one aggregation
+    # by token does), for the classes that are not in it yet.
     # What a centre leads is a part of what the two share, so it is not held against l here: the pair is verified
     links = known
     joined = None if known is None else components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
     for _ in range(rounds):
         placed = placed_in(tokens, joined)
-        first = F.min(F.struct("pos", "doc", "n", "matches"))
+        place = [(-F.col("pos")).alias("pos"), F.bitwise_not("doc").alias("doc"), "n", "matches"]
         if joined is None:  # every class is a component of its own: the earliest of them leads
-            most, rank = placed.groupBy("token", "doc", "comp").agg(first.alias("l")) if repeated else placed.withColumn("l", F.struct("pos", "doc", "n", "matches")), F.struct(-F.col("l.pos"), -F.col("l.doc"))
+            leader = placed.groupBy("token").agg(F.max(F.struct(*place)).alias("m"), (F.min("doc") < F.max("doc")).alias("k"))
+            xcomp = F.bitwise_not("m.doc")
         else:
-            most, rank = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), first.alias("l")), F.struct("c", "comp")
-        leader = most.groupBy("token").agg(F.max_by(F.struct("comp", "l"), rank).alias("m"), F.count("*").alias("k")).where("k > 1")
-        led = placed.join(leader.select("token", F.col("m.comp").alias("xcomp"), F.col("m.l.doc").alias("x"), F.col("m.l.n").alias("xn"), F.col("m.l.pos").alias("xpos"), F.col("m.l.matches").alias("xmatches")), "token")
-        if joined is not None:  # components only grow, so a token of one component links nothing in later rounds either
-            led = stored(led)
-            forget(held)
-            held, tokens = led, led.select("token", "doc", "n", "pos", "matches")
+            sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
+            sized = placed_in(tokens, joined.union(sizes.select("component", "component")).join(sizes, "component").select("node", "component", "members"))
+            leader = sized.groupBy("token").agg(F.max(F.struct(F.coalesce("members", F.lit(0)).alias("size"), "comp", *place)).alias("m"), (F.min("comp") < F.max("comp")).alias("k"))
+            xcomp = F.col("m.comp")
+        leader = leader.where("k").select("token", xcomp.alias("xcomp"), F.bitwise_not("m.doc").alias("x"), F.col("m.n").alias("xn"), (-F.col("m.pos")).alias("xpos"), F.col("m.matches").alias("xmatches"))
+        # components only grow, so a token of one component links nothing in later rounds either; nor does one of the filter's false hits
+        led = stored(placed.join(leader, "token"))
+        forget(held)
+        held, tokens = led, led.select("token", "doc", "n", "pos", "matches")
         led = led.where((F.col("comp") != F.col("xcomp")) & _counts("n", "pos", "xn", "xpos", F.least("matches", "xmatches"), percent))
         star = led.groupBy("doc", "x").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
         found = stored(verified(rows, stored(star.select("x", F.col("doc").alias("y"))), repeated, shingle, percent))
@@ -276,21 +314,15 @@ def grouped(rows: DataFrame, shingle: int, percent: int, known: DataFrame | None
 
     # last round: pairs of different components, of which one is not the token's largest
     placed = placed_in(tokens, joined)
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    mixed = stored(placed.join(stored(sizes.select("token", "main")), "token"))
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1")
+    mixed = stored(placed.join(stored(sizes.select("token", "main", (F.col("c") > HEAVY).alias("heavy"))), "token"))
     forget(held)
-    cols = ["doc", "n", "pos", "matches", "comp"]
-    left = mixed.where("comp <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in cols])
-    right = mixed.select("token", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"r_{c}") for c in cols])
-    need = F.least("l_matches", "r_matches")
-    met = left.join(
-        right,
-        (left["token"] == right["token"])
-        & (F.col("l_comp") != F.col("r_comp"))
-        & (F.col("in_main") | (F.col("l_doc") < F.col("r_doc")))
-        & _counts("l_n", "l_pos", "r_n", "r_pos", need, percent),
-    )
-    pairs = met.groupBy(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need")
+    heavy = mixed.where("heavy")
+    if repeated or heavy.isEmpty():  # of repeated ids a row does not know its text's sketch
+        met = _met(mixed, percent)
+    else:
+        met = _met(mixed.where("NOT heavy"), percent).union(_met(heavy.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc"), percent, True))
+    pairs = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
     more = stored(verified(rows, stored(pairs.select("x", "y")), repeated, shingle, percent))
     joined = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
