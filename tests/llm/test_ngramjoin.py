@@ -7,7 +7,7 @@ import pytest
 from helpers import SCHEMA, WORD, awkward, documents
 
 from tidewater.llm.common import components
-from tidewater.llm.ngramjoin import near_duplicates
+from tidewater.llm.ngramjoin import HEAVY, _met, near_duplicates, shingle_sets, sketches
 
 
 def _shingles(text):
@@ -116,3 +116,24 @@ def test_components_of_long_and_wide_graphs(spark):
     want = {n: find(n) for n in root if find(n) != n}
     assert {k: v for k, v in got.items() if k != v} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_group_just_too_far_apart_meets_in_few_pairs(spark):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    family = rng.choices(vocabulary, k=150)
+    texts = [_edited(rng, family, 12, vocabulary) for _ in range(3 * HEAVY)]
+    sets = shingle_sets(pa.array(texts))
+    drawn = sketches(sets).view(np.uint64)
+    rows = [(1, d, len(s), 0, 1, d, -1, [int(x) for x in k.view(np.int64)]) for d, (s, k) in enumerate(zip(sets, drawn))]
+    mixed = spark.createDataFrame(rows, "token long, doc long, n int, pos int, matches int, comp long, main long, sketch array<long>")
+    for a, x in zip(sets, drawn):
+        for b, y in zip(sets, drawn):
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+    plain, told = ({(r.x, r.y) for r in _met(mixed, 75, s).collect()} for s in (False, True))
+    near = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
+    assert near <= told <= plain and len(told) < len(plain) // 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == _brute(texts)
