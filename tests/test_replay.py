@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import bars as B
 from tidewater.operators import pit, snapshot
 from tidewater.operators import replay as R
 
@@ -110,3 +112,87 @@ def test_bars_are_laid_out_behind_the_shuffle(spark):
     rows = [(r.as_of, r.key, r.feature_id, r.value, r.reason) for r in got.collect()]
     every = [(r.as_of, r.key, r.feature_id, r.value, r.reason) for r in R.replay_bars(bars, index, instants).where("feature_id IN ('ret_1d', 'sma_20', 'beta_60')").collect()]
     assert sorted(rows, key=str) == sorted(every, key=str) and len(rows) == 18
+
+
+def _odd_bars(spark, keys, days, seed, late=0.1, again=0.1, values=True):
+    """Bars of a day, some missing, some known late, some revised, some of values that features refuse."""
+    rng, rows = random.Random(seed), []
+    for k in keys:
+        price = 100.0
+        for d in range(days):
+            if rng.random() < 0.05:
+                continue
+            price *= 1 + rng.uniform(-0.05, 0.05)
+            close = rng.choice([0.0, -1.0, None, float("nan")]) if values and rng.random() < 0.01 else price
+            known = START + (d + 1) * DAY + (rng.randrange(15) * DAY if rng.random() < late else 0 * DAY)
+            for version in range(2 if rng.random() < again else 1):
+                rows.append((k, START + d * DAY, price, price * 1.01, price * 0.99, close if version == 0 else price * 1.02, 100 + d, known + version * rng.randrange(4) * DAY, version))
+    return spark.createDataFrame(rows, "key string, bucket timestamp_ntz, open double, high double, low double, close double, volume long, knowable_at timestamp_ntz, version int")
+
+
+def _after(spark, *days):
+    """Instants whose previous session is the day before, the last that a bar in time is of."""
+    return spark.createDataFrame([(START + d * DAY + dt.timedelta(hours=9), START + (d - 1) * DAY) for d in days], "as_of timestamp_ntz, previous_session timestamp_ntz")
+
+
+def _same_both_ways(bars, index, instants, history, names=snapshot.STOCK_FEATURES, others=("volatility_20", "beta_60")):
+    spark = bars.sparkSession
+    keys = [r.key for r in bars.select("key").distinct().collect()]
+    sectors = spark.createDataFrame([(k, "x") for k in keys if k], "key string, sector string")
+    columns = ["as_of", "scope", "key", "feature_id", "value", "reason"]
+    both = [R.replay_bars(bars, index, instants, sectors, history, names, 7 * 86_400, others, provenance=p).select(*columns).collect() for p in (False, True)]
+    made, laid = (sorted((str(tuple(r)) for r in rows)) for rows in both)
+    assert made == laid and len(made) > 0
+    return both[0]
+
+
+def test_features_of_bars_are_those_of_pairs(spark):
+    instants = _after(spark, 0, 1, 3, 25, 40, 66, 67, 90, 101, 119, 120, 135, 190, 400)
+    index = _odd_bars(spark, ["i"], 120, 6, late=0, again=0, values=False)
+    for seed, late, again in ((1, 0, 0), (2, 0.02, 0.01), (3, 0.3, 0.3)):
+        bars = _odd_bars(spark, ["a", "b", "c", "d", "e", None], 120, seed, late, again)
+        rows = _same_both_ways(bars, index, instants, 80)
+        assert {r.reason for r in rows if r.feature_id == "beta_60"} >= {None, "INSUFFICIENT_HISTORY", "MISSING_INPUT"}
+        assert {r.feature_id for r in rows if r.value is not None} >= {"ret_20d", "breakout_20", "volatility_20", "beta_60", "sector_rs_20"}
+    # a bar without a bucket, and one that nothing knows
+    more = spark.createDataFrame([("a", None, 1.0, 1.0, 1.0, 1.0, 1, START + 30 * DAY, 0), ("b", START + 500 * DAY, 1.0, 1.0, 1.0, 1.0, 1, None, 0)], bars.schema)
+    _same_both_ways(_odd_bars(spark, ["a", "b", "c"], 90, 7, 0, 0).union(more), index, instants, 80)
+    assert R.replay_bars(bars, index, instants.where("false"), provenance=False, others=("beta_60",)).count() == 0
+    assert R.replay_bars(bars.where("false"), index, instants, provenance=False, others=("beta_60",)).count() == 0
+
+
+def test_features_of_bars_with_another_index(spark):
+    instants = _after(spark, 66, 67, 90, 100, 119, 120, 121)
+    bars = _odd_bars(spark, ["a", "b", "c", "d"], 120, 8, 0, 0)
+    plain = _odd_bars(spark, ["i"], 120, 9, late=0, again=0, values=False)
+    later = lambda d: plain.withColumn("knowable_at", F.expr(f"knowable_at + INTERVAL '{d}' DAY"))
+    some = (later(1), later(5), later(-1), plain.where("bucket < '2024-03-20'"), plain.where("day(bucket) > 2"), _odd_bars(spark, ["i"], 120, 10, 0.2, 0.2), plain.where("false"))
+    for i, index in enumerate(some):
+        _same_both_ways(bars, index, instants, (75, 62, 450)[i % 3], ("ret_1d", "ret_20d"), ("beta_60",))
+
+
+def test_bars_that_are_known_in_order_are_not_laid_out(spark):
+    from tidewater.plans import replays
+
+    plan = replays.replay_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # every window over bars is one of a key: none of a key at an instant, which would have each bar as often as it is seen
+    assert re.search(r"Window \[.*\], \[key#\w+\]", plan) and not re.search(r"Window \[.*\], \[key#\w+, as_of#", plan)
+
+
+def test_odd_pairs_alone_are_laid_out(spark):
+    instants = _after(spark, 10, 12, 20, 30)
+    bars = _odd_bars(spark, ["a", "b"], 40, 11, 0, 0).where("NOT (key = 'a' AND bucket >= '2024-01-11' AND bucket < '2024-01-13')")
+    late = spark.createDataFrame([("a", START + 10 * DAY, 1.0, 1.0, 1.0, 1.0, 1, START + 14 * DAY, 0), ("a", START + 11 * DAY, 1.0, 1.0, 1.0, 1.0, 1, START + 12 * DAY, 0)], bars.schema)
+    twice = spark.createDataFrame([("b", START + 50 * DAY, 1.0, 1.0, 1.0, 1.0, 1, START + d * DAY, v) for v, d in ((0, 15), (1, 21))], bars.schema)
+    odd = R._odd_pairs(R._prefixes(bars.union(late).union(twice)), instants, 450, 86_400, False).collect()
+    at = lambda d: START + d * DAY + dt.timedelta(hours=9)
+    assert {(r.key, r.as_of) for r in odd} >= {("a", at(12)), ("b", at(20))} and ("a", at(10)) not in {(r.key, r.as_of) for r in odd}
+    assert not {("a", at(20)), ("a", at(30)), ("b", at(10)), ("b", at(12))} & {(r.key, r.as_of) for r in odd}
+
+
+def test_depth_is_where_a_feature_has_a_history(spark):
+    rows = [("k", START + d * DAY, 10.0 + d % 7, 12.0 + d % 7, 9.0 + d % 7, 10.0 + d % 5, 100 + d) for d in range(260)]
+    bars = spark.createDataFrame(rows, "key string, bucket timestamp_ntz, open double, high double, low double, close double, volume long")
+    made = B.with_volatility(B.features(bars)).orderBy("bucket").collect()
+    first = {n: next(i for i, r in enumerate(made, 1) if r[n].reason is None) for n in B.DEPTHS}
+    assert first == B.DEPTHS and set(B.DEPTHS) == {*B.FEATURES, "volatility_20"}

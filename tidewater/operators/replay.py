@@ -11,11 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reasons import DIVISION_UNDEFINED, INSUFFICIENT_HISTORY, MISSING_INPUT, finish, result, unfinished
+from .alike import stored
+from .bars import DEPTHS, along, features, with_volatility
 from .pit import insert_if_absent
-from .snapshot import HISTORY_DAYS, OTHERS, STOCK_FEATURES, visible_rows
+from .snapshot import FOLDED, HISTORY_DAYS, INPUTS, OTHERS, STOCK_FEATURES, last_visible, ranked_rows, visible_rows
 
 #: Days of bars in which a key has to have one to belong to an instant's universe.
 UNIVERSE_DAYS = 30
+#: Returns that a beta is of.
+BETA = 60
 OBSERVED, ASSUMED = "OBSERVED", "ASSUMED"
 
 
@@ -28,6 +33,11 @@ def validity(facts: DataFrame, keys: list[str], order: list[str], knowable: str
     return facts.withColumn("superseded_at", F.lead(knowable).over(Window.partitionBy(*keys).orderBy(knowable, *order)))
 
 
+def _expires(bucket: Column, days: int) -> Column:
+    """Until when a bar is in the history window."""
+    return bucket + F.expr(f"INTERVAL '{days}' DAY")
+
+
 def _slot(at: Column, seconds: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at) / seconds)
 
@@ -63,8 +73,7 @@ def visible_bars(bars: DataFrame, instants: DataFrame, history_days: int = HISTO
     ``bars``: key, bucket, knowable_at and values, and maybe ``version`` (a revised bar has several).
     """
     order = ["version"] if "version" in bars.columns else []
-    expires = F.col("bucket") + F.expr(f"INTERVAL '{history_days}' DAY")
-    return seen(validity(bars, ["key", "bucket"], order), instants, F.least("superseded_at", expires), slot_seconds).drop("superseded_at")
+    return seen(validity(bars, ["key", "bucket"], order), instants, F.least("superseded_at", _expires(F.col("bucket"), history_days)), slot_seconds).drop("superseded_at")
 
 
 def universe(bars: DataFrame, instants: DataFrame, days: int = UNIVERSE_DAYS, slot_seconds: int = 86_400) -> DataFrame:
@@ -77,27 +86,172 @@ def universe(bars: DataFrame, instants: DataFrame, days: int = UNIVERSE_DAYS, sl
 
 
 def replay_bars(
-    bars: DataFrame, index: DataFrame, instants: DataFrame, sectors: DataFrame | None = None, history_days: int = HISTORY_DAYS, names: tuple[str, ...] = STOCK_FEATURES, slot_seconds: int = 86_400, others: tuple[str, ...] = OTHERS
+    bars: DataFrame, index: DataFrame, instants: DataFrame, sectors: DataFrame | None = None, history_days: int = HISTORY_DAYS, names: tuple[str, ...] = STOCK_FEATURES, slot_seconds: int = 86_400, others: tuple[str, ...] = OTHERS, provenance: bool = True
 ) -> DataFrame:
     """The instrument rows of the snapshots of all instants: those of one snapshot an instant, with its ``as_of``.
 
     ``instants``: as_of, previous_session; ``sectors``: key, sector; ``others``: which features to make
-    beside those of ``names``.  A key and an instant together are the key of every window, fold
-    and median, so what one snapshot does for keys this plan does for pairs.
+    beside those of ``names``; ``provenance``: whether rows have the inputs' greatest knowable_at and hash.
+
+    With folds or provenance, which are of all bars that an instant sees, a key and an instant
+    together are the key of every window, fold and median, so what one snapshot does for keys
+    this plan does for pairs.  Bars are shuffled by their key before they are laid out over the
+    instants, and all windows are within a key: a bar is written once, however many instants see
+    it.  The tasks are as many as ``spark.sql.shuffle.partitions`` says, because what they read is less than what they make of it.
 
-    Bars are shuffled by their key before they are laid out over the instants, and all windows
-    are within a key: a bar is written once, however many instants see it.  The tasks are as
-    many as ``spark.sql.shuffle.partitions`` says, because what they read is less than what they make of it.
+    Without them a bar's features are made once for all instants, see :func:`_last_bars`.
     """
-    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = visible_bars(bars.repartition(tasks, "key"), instants, history_days, slot_seconds)
     with_sector = None
     if sectors is not None:
         with_sector = lambda df: df.join(sectors.select("key", "sector"), "key", "left")
+    if not provenance and not any(n in FOLDED for n in others):
+        last = _last_bars(bars, index, instants, history_days, names, slot_seconds, others)
+        rows = ranked_rows(last, F.col("previous_session"), with_sector, ("key", "as_of"), (*names, *others), ())
+        return rows.select("as_of", "scope", "key", "feature_id", "value", "reason")
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = visible_bars(bars.repartition(tasks, "key"), instants, history_days, slot_seconds)
     rows = visible_rows(found, visible_bars(index, instants, history_days, slot_seconds), F.col("previous_session"), with_sector, ("key", "as_of"), names, others)
+    if not provenance:
+        rows = rows.drop(*INPUTS)
     return rows.select("as_of", "scope", "key", *[c for c in rows.columns if c not in ("as_of", "scope", "key")])
 
 
+def _last_bars(bars: DataFrame, index: DataFrame, instants: DataFrame, history_days: int, names: tuple[str, ...], slot_seconds: int, others: tuple[str, ...]) -> DataFrame:
+    """Each instant's last visible bar of every key with its features, made from the rows of bars instead of those of pairs.
+
+    What an instant sees of a key is as a rule all bars up to some bar, in their last versions.
+    Then a feature of the last n bars is that bar's own, whatever the instant, if the first of
+    the n has not left the history window; only the bars' last ones are laid out.  Pairs of a key
+    and an instant for which that does not hold (:func:`_odd_pairs`) are laid out bar by bar.
+    The calendar, the index and the odd pairs are stored.
+    """
+    beta = "beta_60" in others
+    instants = stored(instants, "instants")
+    if beta:
+        index = stored(index.select(*[c for c in ("key", "bucket", "close", "knowable_at", "version") if c in index.columns]), "index-bars")
+        instants = stored(_index_seen(index, instants, history_days, slot_seconds), "instants-index")
+    # what a task reads is less than what it makes: no coalescing by size
+    marked = _prefixes(bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"))
+    odd = stored(_odd_pairs(marked, instants, history_days, slot_seconds, beta), "odd-pairs")
+    made = (*names, *[n for n in others if n != "beta_60"])
+    starts = sorted({DEPTHS[n] for n in made})
+    rows = marked.where(~F.col("_odd"))
+    if beta:  # before the features: its rows are sorted twice more
+        rows = _with_returns(rows, _last_versions(index), history_days)
+    with unfinished():
+        rows = features(rows, list(names))
+        if "volatility_20" in others:
+            rows = with_volatility(rows)
+    rows = rows.withColumns({f"_start{n}": F.lag("bucket", n - 1).over(along()) for n in starts})
+    kept = ["key", "bucket", "_known", "_next", *made, *[f"_start{n}" for n in starts], *(["_beta", "_beta_before"] if beta else [])]
+    pairs = seen(rows.select(*kept), instants, F.least("_next", _expires(F.col("bucket"), history_days)), slot_seconds, "_known")
+    none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(INSUFFICIENT_HISTORY).alias("reason"))
+    whole = {n: F.when(F.col("as_of") <= _expires(F.col(f"_start{DEPTHS[n]}"), history_days), finish(F.col(n))).otherwise(none) for n in made}
+    if beta:
+        whole["beta_60"] = _beta_of(history_days)
+    columns = ["key", "as_of", "previous_session", "bucket"]
+    last = pairs.select(*columns, *[c.alias(n) for n, c in whole.items()])
+    if odd.isEmpty():
+        return last
+    at = odd.select(F.col("key").alias("_k"), F.col("as_of").alias("_t"))
+    these = F.col("key").eqNullSafe(F.col("_k"))
+    found = visible_bars(bars.join(at.select("_k").distinct(), these, "left_semi"), instants, history_days, slot_seconds)
+    found = found.join(at, these & (F.col("as_of") == F.col("_t")), "left_semi")
+    rest = last_visible(found, visible_bars(index, instants.select("as_of"), history_days, slot_seconds), ("key", "as_of"), names, others)
+    return last.join(at, these & (F.col("as_of") == F.col("_t")), "left_anti").unionByName(rest.select(*columns, *whole))
+
+
+def _prefixes(bars: DataFrame) -> DataFrame:
+    """The bars, all versions, with ``_known``: since when they and all before them are; ``_next``: until when they are the last of which that holds.
+
+    ``_odd`` marks rows that are replaced, at ``superseded_at``, by a later version of the bar (or have no bucket),
+    ``_hole`` is when the last of the bars before became knowable.
+    """
+    order = ["bucket", "knowable_at", *(["version"] if "version" in bars.columns else [])]
+    w = Window.partitionBy("key").orderBy(*order)
+    after = F.lead("knowable_at").over(w)
+    upto = lambda last: F.max("knowable_at").over(w.rowsBetween(Window.unboundedPreceding, last))
+    marked = bars.where(F.col("knowable_at").isNotNull()).withColumns({"_after": after, "_again": F.lead("bucket").over(w).eqNullSafe(F.col("bucket")), "_known": upto(0), "_hole": upto(-1)})
+    replaced = F.col("_after").isNotNull() & F.col("_again")
+    return marked.withColumns({
+        "superseded_at": F.when(replaced, F.col("_after")), "_odd": replaced | F.col("bucket").isNull(), "_next": F.when(F.col("_after").isNotNull(), F.greatest("_known", "_after")),
+    }).drop("_after", "_again")
+
+
+def _odd_pairs(marked: DataFrame, instants: DataFrame, history_days: int, slot_seconds: int, beta: bool) -> DataFrame:
+    """``key, as_of`` of the pairs that see an earlier version of a bar, or a bar without one before it.
+
+    For a beta also those whose index is odd in that way, or ends before the bar before the key's last one.
+    """
+    span = lambda start, end, check: F.struct(start.alias("start"), end.alias("end"), F.lit(check).alias("check"))
+    at = F.col("knowable_at")
+    spans = [F.when(F.col("_odd"), span(at, F.col("superseded_at"), False)), F.when(~F.col("_odd") & (at < F.col("_hole")), span(at, F.col("_hole"), False))]
+    if beta:
+        spans.append(F.when(~F.col("_odd"), span(F.col("_known"), F.col("_next"), True)))
+        marked = marked.withColumn("_before", F.lag("bucket").over(along()))
+    rows = marked.select("key", "bucket", *(["_before"] if beta else []), F.explode(F.array_compact(F.array(*spans))).alias("_span")).select("*", "_span.*").drop("_span")
+    pairs = seen(rows, instants, F.least("end", _expires(F.col("bucket"), history_days)), slot_seconds, "start")
+    if beta:
+        pairs = pairs.where(~F.col("check") | F.col("_index_odd") | (F.col("_index_to") < F.col("_before")))
+    return pairs.select("key", "as_of").distinct()
+
+
+def _last_versions(bars: DataFrame) -> DataFrame:
+    order = ["version"] if "version" in bars.columns else []
+    known = bars.where(F.col("knowable_at").isNotNull() & F.col("bucket").isNotNull())
+    return validity(known, ["key", "bucket"], order).where(F.col("superseded_at").isNull()).drop("superseded_at")
+
+
+def _index_seen(index: DataFrame, instants: DataFrame, history_days: int, slot_seconds: int) -> DataFrame:
+    """The instants with ``_index_from, _index_to``, the first and last bucket that they see of the index, and ``_index_odd``: whether they lack one between or see an earlier version."""
+    order = ["version"] if "version" in index.columns else []
+    known = validity(index.where(F.col("knowable_at").isNotNull() & F.col("bucket").isNotNull()), ["key", "bucket"], order)
+    placed = known.withColumn("_i", F.dense_rank().over(along())).select("bucket", "knowable_at", "superseded_at", "_i")
+    met = seen(placed, instants.select("as_of"), F.least("superseded_at", _expires(F.col("bucket"), history_days)), slot_seconds).groupBy("as_of")
+    odd = (F.max("_i") - F.min("_i") + 1 != F.count("*")) | F.bool_or(F.col("superseded_at").isNotNull())
+    both = instants.join(met.agg(F.min("bucket").alias("_index_from"), F.max("bucket").alias("_index_to"), odd.alias("_index_odd")), "as_of", "left")
+    return both.withColumn("_index_odd", F.coalesce("_index_odd", F.lit(False)))
+
+
+def _with_returns(bars: DataFrame, index: DataFrame, history_days: int) -> DataFrame:
+    """The bars with ``_beta``, of the last returns up to each that the index has too, and ``_beta_before``, that of the bar before.
+
+    Both are structs: slope and var of the last :data:`BETA` such returns, the bucket of the newest and the oldest
+    of them, and of the bars before those two.  ``index`` has one bar a bucket; its returns are broadcast.
+
+    A frame of that many rows is dear, so returns that are in no frame which an instant may see
+    whole are left to groups of their own.
+    """
+    before = F.lag("close").over(along())
+    steps = index.withColumn("_p", before).where("_p > 0").select("bucket", (F.col("close") / F.col("_p") - 1).alias("_x"), F.lit(True).alias("_in"))
+    both = bars.withColumns({"_p": before, "_before": F.lag("bucket").over(along())}).join(F.broadcast(steps), "bucket", "left")
+    both = both.withColumn("_on", F.coalesce(F.col("_in") & (F.col("_p") > 0), F.lit(False)))
+    back = lambda c: F.lag(c, BETA - 1).over(met)
+    met = Window.partitionBy("key", "_on").orderBy("bucket")
+    upto = met.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"_oldest": back("bucket"), "_oldest_before": back("_before")})
+    both = both.withColumn("_full", F.coalesce(F.col("_on") & (F.col("_known") < _expires(F.col("_oldest_before"), history_days)), F.lit(False)))
+    both = both.withColumns({"_fulls": F.count_if("_full").over(upto), "_all": F.count_if("_full").over(met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    both = both.withColumn("_used", F.col("_full") | (F.coalesce(F.lead("_fulls", BETA - 1).over(met), "_all") > F.col("_fulls")))
+    both = both.withColumn("_run", F.count_if(~F.col("_used") | ~F.coalesce(F.lag("_used").over(met), F.lit(False))).over(upto))
+    frame = Window.partitionBy("key", "_on", "_run").orderBy("bucket").rowsBetween(1 - BETA, Window.currentRow)
+    r, x = F.when(F.col("_used"), F.col("close") / F.col("_p") - 1), F.when(F.col("_used"), F.col("_x"))
+    both = both.withColumns({"_slope": F.when(F.col("_full"), F.regr_slope(r, x).over(frame)), "_var": F.when(F.col("_full"), F.var_pop(x).over(frame))})
+    own = F.struct(F.col("_slope").alias("slope"), F.col("_var").alias("var"), F.col("bucket").alias("newest"), F.col("_before").alias("newest_before"), F.col("_oldest").alias("oldest"), F.col("_oldest_before").alias("oldest_before"))
+    both = both.withColumn("_beta", F.last(F.when(F.col("_on"), own), ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = both.withColumn("_beta_before", F.lag("_beta").over(along()))
+    return both.select(*bars.columns, "_beta", "_beta_before")
+
+
+def _beta_of(history_days: int) -> Column:
+    """The beta of a pair: of the returns up to its last bar, or up to the one before if the index that it sees ends there."""
+    to_last = F.col("_index_to") >= F.col("bucket")
+    of = lambda c: F.when(to_last, F.col(f"_beta.{c}")).when(F.col("_index_to").isNotNull(), F.col(f"_beta_before.{c}"))
+    # a return takes part if the instant sees the bar before it too, of both series
+    sees = lambda end: F.coalesce((F.col("as_of") <= _expires(of(f"{end}_before"), history_days)) & (of(end) > F.col("_index_from")), F.lit(False))
+    return result(of("slope"), (~sees("newest"), MISSING_INPUT), (~sees("oldest"), INSUFFICIENT_HISTORY), (of("var") == 0, DIVISION_UNDEFINED))
+
+
 def undone(instants: DataFrame, stored: DataFrame) -> DataFrame:
     """The instants that no stored row belongs to: a run that was broken off goes on with them."""
     return instants.join(stored.select("as_of").distinct(), "as_of", "left_anti")

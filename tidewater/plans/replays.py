@@ -72,7 +72,7 @@ def replay_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bar features of every supplier as every month's start saw them, with beta and strength against the nation's median."""
     names = tuple(n for n, *_ in _REPLAYED)
     sectors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("sector"))
-    rows = R.replay_bars(desk_bars(spark, sf_dir), desk_index(spark, sf_dir), months(spark, sf_dir), sectors, names=names, slot_seconds=MONTH, others=("beta_60",))
+    rows = R.replay_bars(desk_bars(spark, sf_dir), desk_index(spark, sf_dir), months(spark, sf_dir), sectors, names=names, slot_seconds=MONTH, others=("beta_60",), provenance=False)
     return rows.where(F.col("feature_id").isin(*names, "beta_60", "sector_rs_20")).select(F.col("as_of").cast("string").alias("as_of"), "key", "feature_id", F.round("value", 6).alias("value"), "reason")
 
 
