@@ -138,11 +138,11 @@ def _last_bars(bars: DataFrame, index: DataFrame, instants: DataFrame, history_d
     rows = marked.where(~F.col("_odd"))
     if beta:  # before the features: its rows are sorted twice more
         rows = _with_returns(rows, _last_versions(index), history_days)
+    rows = rows.withColumns({f"_start{n}": F.lag("bucket", n - 1).over(along()) for n in starts})
     with unfinished():
         rows = features(rows, list(names))
         if "volatility_20" in others:
             rows = with_volatility(rows)
-    rows = rows.withColumns({f"_start{n}": F.lag("bucket", n - 1).over(along()) for n in starts})
     kept = ["key", "bucket", "_known", "_next", *made, *[f"_start{n}" for n in starts], *(["_beta", "_beta_before"] if beta else [])]
     pairs = seen(rows.select(*kept), instants, F.least("_next", _expires(F.col("bucket"), history_days)), slot_seconds, "_known")
     none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(INSUFFICIENT_HISTORY).alias("reason"))
@@ -233,13 +233,13 @@ def _with_returns(bars: DataFrame, index: DataFrame, history_days: int) -> DataF
     both = both.withColumn("_full", F.coalesce(F.col("_on") & (F.col("_known") < _expires(F.col("_oldest_before"), history_days)), F.lit(False)))
     both = both.withColumns({"_fulls": F.count_if("_full").over(upto), "_all": F.count_if("_full").over(met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     both = both.withColumn("_used", F.col("_full") | (F.coalesce(F.lead("_fulls", BETA - 1).over(met), "_all") > F.col("_fulls")))
-    both = both.withColumn("_run", F.count_if(~F.col("_used") | ~F.coalesce(F.lag("_used").over(met), F.lit(False))).over(upto))
+    both = both.withColumn("_run", F.count_if(~F.col("_used")).over(upto))  # a row that is not used, and the used ones up to the next
     frame = Window.partitionBy("key", "_on", "_run").orderBy("bucket").rowsBetween(1 - BETA, Window.currentRow)
     r, x = F.when(F.col("_used"), F.col("close") / F.col("_p") - 1), F.when(F.col("_used"), F.col("_x"))
     both = both.withColumns({"_slope": F.when(F.col("_full"), F.regr_slope(r, x).over(frame)), "_var": F.when(F.col("_full"), F.var_pop(x).over(frame))})
     own = F.struct(F.col("_slope").alias("slope"), F.col("_var").alias("var"), F.col("bucket").alias("newest"), F.col("_before").alias("newest_before"), F.col("_oldest").alias("oldest"), F.col("_oldest_before").alias("oldest_before"))
-    both = both.withColumn("_beta", F.last(F.when(F.col("_on"), own), ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    both = both.withColumn("_beta_before", F.lag("_beta").over(along()))
+    last = lambda end: F.last(F.when(F.col("_on"), own), ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, end))
+    both = both.withColumns({"_beta": last(0), "_beta_before": last(-1)})
     return both.select(*bars.columns, "_beta", "_beta_before")
 
 
